@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, tokenfile
+from . import decontam, htmlmain, langid, mixing, neardup, quality, tokenfile, toxicity
 from .common import crc_fold, table, word_count
 
 #: Where the public vocabularies lie; a parameter of the token query.
@@ -24,6 +24,16 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "labels")
+    lexicon = toxicity.fit(docs, labels.where(~toxicity.fold_out(F.col("doc_id"))))
+    return toxicity.score(docs, lexicon).select("doc_id", toxicity.fold_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "doc_id", "text", "lang")
     found = langid.identify(docs.select("doc_id", "text"), docs.where(~langid.fold(F.col("doc_id"))))
@@ -34,6 +44,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(_documents(spark, sf_dir, "doc_id", "text"), tokenizer_path(), END_ID)
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_documents(spark, sf_dir, "doc_id", "text"), shingle=3, threshold_pct=85)
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "doc_id", "source", "text")
     plan, more, sizes = mixing.plan_mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
@@ -41,6 +55,11 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("reps")).alias("taken"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmlmain.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "doc_id", "text")
     judged = quality.judge(docs, table(spark, sf_dir, "labels"))
@@ -48,9 +67,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_decontamination": op2_decontamination,
     "op3_language_id": op3_language_id,
     "op5_token_files": op5_token_files,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_source_mix": op7_source_mix,
+    "op9_main_text": op9_main_text,
     "op10_quality_rules": op10_quality_rules,
 }
 
