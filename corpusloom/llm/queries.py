@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmlmain, langid, mixing, neardup, quality, tokenfile, toxicity
+from . import decontam, htmlmain, langid, lmscore, mixing, neardup, pii, quality, tokenfile, toxicity
 from .common import crc_fold, table, word_count
 
 #: Where the public vocabularies lie; a parameter of the token query.
@@ -40,6 +40,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.fold(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(_documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(_documents(spark, sf_dir, "doc_id", "text"), tokenizer_path(), END_ID)
 
@@ -55,6 +59,12 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("reps")).alias("taken"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as of good quality; background: all documents."""
+    target = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lmscore.cross_entropy_difference(_documents(spark, sf_dir, "doc_id", "text"), target)
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return htmlmain.extract(pages).select("page_id", "url", "text", "n_chars")
@@ -70,9 +80,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_language_id": op3_language_id,
+    "op4_private_data": op4_private_data,
     "op5_token_files": op5_token_files,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_source_mix": op7_source_mix,
+    "op8_lm_score": op8_lm_score,
     "op9_main_text": op9_main_text,
     "op10_quality_rules": op10_quality_rules,
 }
