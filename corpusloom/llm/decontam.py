@@ -21,7 +21,7 @@ ids are reported as null. Empty tables give empty results. Other columns are ign
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,32 +43,33 @@ NUMBER_WORDS = frozenset(
 UNITS = frozenset(
     "km m cm mm kg g mg lb lbs oz l ml mile miles meter meters metre metres inch inches foot feet yard yards gram grams liter liters litre litres pound pounds ounce ounces hour hours hr hrs minute minutes min second seconds sec day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees volt volts watt watts mph kmh stunde stunden tag tage jahr jahre heure heures jour jours an ans hora horas día días año años".split()
 )
-NUM, NAME, UNIT = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"<num>", b"<name>", b"<unit>"))
+_FLAGS = np.uint64(15)
+NUM, NAME, UNIT = (np.uint64(xxhash.xxh3_64_intdigest(x)) & ~_FLAGS for x in (b"<num>", b"<name>", b"<unit>"))
 _GLUED = re.compile(r"(?<=\d)(km|kg|cm|mm|mg|ml|lbs?|oz|m|g|l|hrs?|min|sec|mph|%)(?![\w])")
 _LINE = b" \x01 "
 _CACHE = 500_000
-#: By raw token: hash (0: no word), flags.
-_known: dict[bytes, tuple[int, int]] = {}
+#: By raw token: its hash (0: no word) with flags in the low bits.
+_known: dict[bytes, int] = {}
 _CAPITAL, _ENDS, _NUMBER, _UNIT = 1, 2, 4, 8
 
 
-def _token(raw: bytes) -> tuple[int, int]:
+def _token(raw: bytes) -> int:
     if raw == b"\x01":
-        return 0, _ENDS
+        return _ENDS
     text = raw.decode("utf-8", "replace")
     core = "".join(c for c in text if c.isalnum())
     ends = _ENDS if text.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":", "…") else 0
     if not core:
-        return 0, ends
+        return ends
     low = core.lower()
     if any(c.isdigit() for c in core) and sum(c.isdigit() for c in core) * 2 >= len(core) or low in NUMBER_WORDS:
-        return int(NUM), ends | _NUMBER
+        return int(NUM) | ends | _NUMBER
     capital = _CAPITAL if core[0].isupper() and core[1:].islower() else 0
-    return xxhash.xxh3_64_intdigest(low.encode()), ends | capital | (_UNIT if low in UNITS else 0)
+    return xxhash.xxh3_64_intdigest(low.encode()) & ~15 | ends | capital | (_UNIT if low in UNITS else 0)
 
 
-def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Template hashes, whether each is a slot, and the raw tokens, of the tokens that have a word."""
+def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, Callable[[int], bytes]]:
+    """Template hashes, whether each is a slot, and the raw token at a place, of the tokens that have a word."""
     text = text or ""
     if any(c in text for c in "0123456789"):
         text = _GLUED.sub(r" \1", text)
@@ -84,24 +85,23 @@ def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
                 known[w] = _token(w)
         got = [known[w] for w in words]
     if not got:
-        return np.empty(0, np.uint64), np.empty(0, bool), []
-    code = np.array([h for h, _ in got], np.uint64)
-    flag = np.array([f for _, f in got], np.uint8)
-    starts = np.empty(len(flag), bool)
-    starts[0], starts[1:] = True, (flag[:-1] & _ENDS) > 0
+        return np.empty(0, np.uint64), np.empty(0, bool), words.__getitem__
+    code = np.array(got, np.uint64)
+    flag = (code & _FLAGS).astype(np.uint8)
+    code &= ~_FLAGS
     # punctuation alone neither is a token nor hides a sentence's end
-    has = code != 0
-    last = np.maximum.accumulate(np.where(has, np.arange(len(has)), -1))
-    prior = np.concatenate([[-1], last[:-1]])
-    ended = np.cumsum(starts)
-    begins = (prior < 0) | (ended > ended[np.maximum(prior, 0)])
-    name = ((flag & _CAPITAL) > 0) & ~begins
-    number = (flag & _NUMBER) > 0
-    unit = ((flag & _UNIT) > 0) & (prior >= 0) & number[np.maximum(prior, 0)]
+    keep = np.flatnonzero(code)
+    ends = np.cumsum(flag & _ENDS)[keep]  # ends up to and with each token
+    code, own = code[keep], flag[keep]
+    begins = np.ones(len(keep), bool)
+    begins[1:] = ends[1:] - (own[1:] & _ENDS) > ends[:-1] - (own[:-1] & _ENDS)
+    name = ((own & _CAPITAL) > 0) & ~begins
+    number = (own & _NUMBER) > 0
+    unit = (own & _UNIT) > 0
+    unit[1:] &= number[:-1]
+    unit[:1] = False
     code[name], code[unit] = NAME, UNIT
-    slot = (name | number | unit)[has]
-    keep = np.flatnonzero(has)
-    return code[has], slot, [words[k] for k in keep]
+    return code, name | number | unit, lambda k: words[keep[k]]
 
 
 def _value(raw: bytes) -> str:
@@ -139,7 +139,7 @@ def _windows_of(batch: pa.RecordBatch, id_name: str, size_of, passes) -> pa.Reco
                 ids.append(key)
                 starts.append(at)
                 hashes.append(int(h[at].view(np.int64)))
-                slots.append([f"{k}:{_value(raw[at + k])}" for k in np.flatnonzero(slot[at : at + size]).tolist()])
+                slots.append([f"{k}:{_value(raw(at + k))}" for k in np.flatnonzero(slot[at : at + size]).tolist()])
                 sizes.append(total)
                 widths.append(size)
     return _rows(ids, starts, hashes, slots, sizes, widths, id_name)

@@ -8,7 +8,7 @@ def test_canonical_slots():
     code, slot, raw = decontam.canonical("Then Alice bought 12 kg of rice for 3.5km.\nBob left")
     assert [bool(s) for s in slot] == [False, True, False, True, True, False, False, False, True, True, False, False]
     assert code[1] == decontam.NAME and code[3] == decontam.NUM and code[4] == decontam.UNIT
-    assert len(raw) == len(code)
+    assert raw(1) == b"Alice" and raw(len(code) - 1) == b"left"
 
 
 ITEM = "A train with Alice on board leaves the old station at 9 and runs 120 km before Alice meets the other train there"
