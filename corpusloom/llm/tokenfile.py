@@ -14,6 +14,9 @@ first; equal ids keep all their rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,43 +32,80 @@ from .common import shared_dir, small_batches
 
 SEQ_LEN = 2048
 ROWS = 256
-#: Words whose ids are remembered in one Python worker.
-CACHE_WORDS = 400_000
-_cache: dict[str, dict[bytes, bytes]] = {}
+#: Words whose ids are remembered in one Python worker: those met in two batches, and the recent ones.
+CACHE_WORDS = 250_000
+_cache: dict[str, tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
+#: Words of lower-case Latin letters: one run for any tokenizer here, and unchanged by its normaliser.
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+_LAST_LETTER = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])\Z")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters of byte-level vocabularies: printable bytes are themselves, the others follow from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(own))}
 
 
 class WordEncoder:
-    """Whole-text ids from the tokenizers library, one library call per distinct word.
+    """Ids of whole texts from the tokenizers library, asked once per distinct word of a batch.
 
-    For tokenizers that drop white space and never look across it, a text's ids are those of its
-    words in order. ``by_words=False`` encodes texts as they are.
+    For tokenizers that lower-case, drop white space and split letters from punctuation, a text's
+    ids are those of its parts in order. ``by_words=False`` encodes texts as they are. Texts with a
+    special token's string are encoded as they are, too. Words of Latin letters go to the library's
+    BPE model at once, as normaliser and splitter would hand them on.
     """
 
     def __init__(self, path: str, width: np.dtype, by_words: bool = True) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.width, self.by_words = Tokenizer.from_file(path), width, by_words
-        self.known = _cache.setdefault(f"{path}:{width}", {})
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.often, self.recent = _cache.setdefault(f"{path}:{width}", ({}, {}))
+        self.stops = {c: self._ids(c.decode()) for c in (b".", b",")}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.by_words:
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if not _LETTERS.fullmatch(text):
             return self._ids(text)
-        words = text.encode("utf-8").split()
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            new = list({w for w in words if w not in known})
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                known[w] = np.array(e.ids, self.width).tobytes()
-            return b"".join([known[w] for w in words])
+        ids = [t.id for t in self.model.tokenize(text if text.isascii() else "".join(map(self.letters.__getitem__, word)))]
+        return struct.pack(f"<{len(ids)}{self.width.char}", *ids)
+
+    def batch(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of UTF-8 texts."""
+        if not self.by_words:
+            return [self._ids(t.decode()) if t else b"" for t in texts]
+        often, self.fresh = self.often, []
+        words = [() if not t or b"<|" in t else t.lower().split() for t in texts]
+        lately, fresh, stops, word = self.recent.pop, self.fresh.append, self.stops, self._word
+        for w in set().union(*words).difference(often):
+            if (ids := lately(w, None)) is None:
+                # a lone full stop or comma behind a letter is a token of its own: the word without it recurs more
+                if (stop := stops.get(w[-1:])) is None or not _LAST_LETTER.search(w, 0, len(w) - 1):
+                    ids = word(w)
+                else:
+                    core = w[:-1]
+                    if (own := often.get(core)) is None:
+                        if (own := lately(core, None)) is None:
+                            own = word(core)
+                            fresh(core)
+                        often[core] = own
+                    ids = own + stop
+                fresh(w)
+            often[w] = ids
+        get = often.__getitem__
+        out = [b"".join(map(get, own)) if own or not t else self._ids(t.decode()) for t, own in zip(texts, words)]
+        if len(self.recent) > CACHE_WORDS:
+            self.recent.clear()
+        for w in self.fresh:  # a core may be listed twice
+            if (ids := often.pop(w, None)) is not None:
+                self.recent[w] = ids
+        if len(often) > CACHE_WORDS:
+            often.clear()
+        return out
 
 
 def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -82,6 +122,7 @@ class _Packer:
         self.out = pa.ipc.new_file(sink, self.schema)
         self.parts: list[bytes] = []
         self.held = 0
+        self.all = pa.FixedSizeListArray.from_arrays(pa.array(np.ones(self.size, bool)), seq_len)
 
     def add(self, ids: bytes) -> None:
         self.parts.append(ids)
@@ -94,9 +135,9 @@ class _Packer:
             self.parts, self.held = [flat[whole:].tobytes()], len(flat) - whole
 
     def _batch(self, flat: np.ndarray, real: int) -> None:
-        mask = pa.array(np.arange(len(flat)) < real)
-        lists = [pa.FixedSizeListArray.from_arrays(x, self.seq_len) for x in (pa.array(flat), mask)]
-        self.out.write_batch(pa.record_batch(lists, schema=self.schema))
+        ids = pa.FixedSizeListArray.from_arrays(pa.array(flat), self.seq_len)
+        mask = self.all if real == self.size else pa.FixedSizeListArray.from_arrays(pa.array(np.arange(len(flat)) < real), self.seq_len)
+        self.out.write_batch(pa.record_batch([ids, mask], schema=self.schema))
 
     def close(self) -> None:
         flat = np.frombuffer(b"".join(self.parts), self.dtype)
@@ -116,7 +157,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
     ``docs`` are range-partitioned by doc_id, each partition is sorted and becomes one file.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 4096)
     dtype = np.dtype("<u4" if wide else "<u2")
     fs, base = _fs(folder)
     fs.create_dir(base, recursive=True)
@@ -137,8 +178,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
             packer, index = _Packer(sink, dtype, seq_len, rows), pa.ipc.new_file(listed, INDEX)
             while first is not None:
                 sizes = []
-                for text in first.column(1):
-                    ids = encode(text.as_py())
+                for ids in encode.batch(first.column(1).cast(pa.binary()).to_pylist()):
                     packer.add(ids)
                     packer.add(end)
                     sizes.append(len(ids) // dtype.itemsize + 1)
