@@ -8,11 +8,13 @@ minhashes each, about the square root of what separate tables would need. ``m``
 threshold: a link at the threshold is missed by all tables with a probability of ``MISS`` at most.
 
 A key is formed only where both of its sub-sketches occur more than once. No bucket is expanded to
-all its pairs: each is first linked as a star to its smallest, then to its largest member, the
-pairs are confirmed on full shingle sets, and confirmed links join components. Only in buckets that
-still hold several components are the rest compared, in blocks of ``BLOCK`` members; there the
-sizes and the minhashes already held rule out all but likely pairs, which are confirmed on full
-sets as well. Within one component further pairs can't change the result and are not compared.
+all its pairs: each is linked as a star to its smallest member, the pairs are confirmed on full
+shingle sets, and confirmed links join components. Within one component further pairs can't change
+the result. The members of buckets that still hold several components are settled exactly: sets
+that similar share a shingle among the first few of either in one order, rarest first, so members
+meet by these few shingles, in blocks of ``BLOCK``. A pair is looked at under its first common one
+only; components, sizes, places in the order and the minhashes rule out nearly all, and what is
+left is confirmed on full sets.
 
 Components come from rounds of large-star and small-star steps, cut by Parquet tables in the shared
 folder. Nulls and texts without words have no shingles and are linked with nothing. Rows that
@@ -35,10 +37,10 @@ from pyspark.sql import functions as F
 from .common import small_batches, written
 
 ROWS, MISS = 3, 3e-5
-BLOCK = 256
+BLOCK = 1024
 #: Pairs whose minhashes agree in a share this far below the threshold (5 standard deviations) are not read in full.
 _SIGMAS = 5
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 100_000
 _known: dict[bytes, int] = {}
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -86,8 +88,8 @@ class Sketcher:
     def __call__(self, x: np.ndarray) -> np.ndarray:
         """Minhashes, 32 bits each."""
         low = np.full(len(self.mult), 0xFFFFFFFF, np.uint32)
-        for at in range(0, len(x), 2048):
-            v = ((x[None, at : at + 2048] ^ self.add) * self.mult) >> np.uint64(32)
+        for at in range(0, len(x), 512):
+            v = ((x[None, at : at + 512] ^ self.add) * self.mult) >> np.uint64(32)
             low = np.minimum(low, v.min(1).astype(np.uint32))
         return low
 
@@ -137,10 +139,23 @@ def _memberships(classes: DataFrame, m: int) -> DataFrame:
 
 
 class _Verifier:
-    """Confirms pairs of nodes on full sets; sets are computed from the texts of the nodes asked for."""
+    """Confirms pairs of nodes on full sets, which are computed once for all nodes that share a bucket."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, n: int, threshold_pct: int) -> None:
-        self.docs, self.classes, self.n, self.pct = docs, classes, n, threshold_pct
+    def __init__(self, docs: DataFrame, classes: DataFrame, nodes: DataFrame, n: int, threshold_pct: int) -> None:
+        self.classes, self.pct = classes, threshold_pct
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [shingles(t.as_py(), n).tobytes() for t in batch.column(1)]
+                yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["node", "set"])
+
+        # a shuffle join at any size: the nodes grow with the corpus
+        own = nodes.select(F.col("node").alias("doc_id")).hint("merge")
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(own, "doc_id", "left_semi")
+        have = written(texts.mapInArrow(sets, "node long, set binary"), "dup-sets")
+        # ids may repeat with other texts: the class's own set has its size
+        sized = have.join(classes.select("node", "n_shingles"), "node").where(F.length("set") == 8 * F.col("n_shingles"))
+        self.sets = sized.groupBy("node").agg(F.first("set").alias("set"))
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Pairs a < b that sizes and minhashes allow."""
@@ -161,18 +176,7 @@ class _Verifier:
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs with 100 * intersection >= pct * union, written."""
-        pairs = written(self.likely(pairs), "dup-likely")
-        nodes = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        n, pct = self.n, self.pct
-
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [shingles(t.as_py(), n).tobytes() for t in batch.column(1)]
-                yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["node", "set"])
-
-        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes, "doc_id", "left_semi")
-        have = written(texts.mapInArrow(sets, "node long, set binary"), "dup-sets")
-        have = have.join(self.classes.select("node", F.col("n_shingles")), "node").where(F.length("set") == 8 * F.col("n_shingles")).dropDuplicates(["node"])
+        pct, have = self.pct, self.sets
         both = pairs.join(have.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(have.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,42 +215,76 @@ def components(links: DataFrame) -> DataFrame:
         edges = written(small.select("e.*").where("u <> v").distinct(), "dup-edges")
 
 
-def _open_pairs(buckets: DataFrame, classes: DataFrame, pct: int) -> DataFrame:
-    """a, b: likely pairs of different components within buckets (key, node, comp), compared in blocks of members."""
-    own = buckets.join(classes.select("node", "n_shingles", "sig"), "node")
-    counts = buckets.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = own.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # a member of block k meets the blocks (k, j) and (j, k): those with k first, or second
+def _prefixes(sets: DataFrame, rest: DataFrame, pct: int) -> DataFrame:
+    """node, comp, n, pre: the shingles that two rest nodes at least have, among the first n - ceil(n * pct / 100) + 1 of a node's.
+
+    The order is by frequency among the rest, then by hash; shingles of one node alone come first
+    and are counted only. pre has (shingle, place in the order).
+    """
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column(1)]
+            sizes = [len(x) for x in found]
+            node = np.repeat(batch.column(0).to_numpy(), sizes)
+            yield pa.record_batch([pa.array(node), pa.array(np.concatenate(found) if found else np.empty(0, np.int64))], names=["node", "shingle"])
+
+    own = sets.join(rest.select("node"), "node", "left_semi")
+    rows = written(own.select("node", "set").mapInArrow(flat, "node long, shingle long"), "dup-shingles")
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    n = own.select("node", (F.length("set") / 8).cast("long").alias("n"))
+    listed = rows.join(often, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("all"))
+    room = F.col("n") - F.ceil(F.col("n") * pct / 100) + 1 - (F.col("n") - F.size("all"))
+    placed = F.transform(F.slice("all", 1, F.greatest(room, F.lit(0)).cast("int")), lambda x, k: F.struct(x["shingle"].alias("shingle"), (F.col("n") - F.size("all") + k).cast("long").alias("at")))
+    return listed.join(n, "node").withColumn("pre", placed).where(F.size("pre") > 0).join(rest, "node").select("node", "comp", "n", "pre")
+
+
+def _open_pairs(sets: DataFrame, rest: DataFrame, classes: DataFrame, pct: int) -> DataFrame:
+    """a, b: pairs of rest nodes (node, comp) in different components that may be links; each pair comes once."""
+    prefixes = written(_prefixes(sets, rest, pct), "dup-prefixes")
+    own = prefixes.select("node", "comp", F.explode("pre").alias("x")).select("node", "comp", F.col("x.shingle").alias("shingle"), F.col("x.at").alias("at"))
+    groups = own.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("lo <> hi")
+    placed = own.join(groups.select("shingle", "blocks"), "shingle").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # a member of block k meets the blocks (j, k) and (k, j)
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("p"), F.greatest("block", j).alias("q")))
-    spread = placed.withColumn("at", F.explode(meets))
-    margin = pct
+    spread = placed.withColumn("m", F.explode(meets)).select("shingle", F.col("m.p").alias("p"), F.col("m.q").alias("q"), "node", "at", "block")
+    firsts = prefixes.select("node", "comp", "n", F.transform("pre", lambda x: x["shingle"]).alias("pre")).join(classes.select("node", "sig"), "node")
 
     def compare(table: pa.Table) -> pa.Table:
-        node, comp, size, block = (table.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "block"))
+        node, comp, size, at, block = (table.column(c).to_numpy() for c in ("node", "comp", "n", "at", "block"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(node), -1)
-        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        least = least_agreement(margin, sig.shape[1])
-        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        pre = [np.asarray(x) for x in table.column("pre").to_pylist()]
+        held = [set(x.tolist()) for x in pre]
+        key, p, q = (table.column(c)[0].as_py() for c in ("shingle", "p", "q"))
+        before = [x[: int(np.flatnonzero(x == key)[0])].tolist() for x in pre]
+        least = least_agreement(pct, sig.shape[1])
+        right = np.flatnonzero(block == q)
         a, b = [], []
-        for k in left:
-            ok = right[(comp[right] != comp[k]) & (100 * np.minimum(size[right], size[k]) >= margin * np.maximum(size[right], size[k]))]
+        for k in np.flatnonzero(block == p):
+            both = 100 * np.minimum(size[right] - at[right], size[k] - at[k])  # so many shingles in common at most
+            ok = right[
+                (comp[right] != comp[k])
+                & (100 * np.minimum(size[right], size[k]) >= pct * np.maximum(size[right], size[k]))
+                & ((100 + pct) * both >= 100 * pct * (size[right] + size[k]))
+            ]
             if p == q:
                 ok = ok[node[ok] > node[k]]
             if len(ok):
                 ok = ok[(sig[ok] == sig[k]).mean(1) >= least]
-                a.append(np.minimum(node[ok], node[k]))
-                b.append(np.maximum(node[ok], node[k]))
-        cat = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
-        return pa.table({"a": cat(a), "b": cat(b)})
+            for j in ok:
+                if held[j].isdisjoint(before[k]):
+                    a.append(min(node[j], node[k]))
+                    b.append(max(node[j], node[k]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    flat = spread.select("key", F.col("at.p").alias("p"), F.col("at.q").alias("q"), "node", "comp", "n_shingles", "sig", "block")
-    return flat.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long").distinct()
+    full = spread.join(firsts, "node").select("shingle", "p", "q", "node", "comp", "n", "at", "block", "pre", "sig")
+    return full.groupBy("shingle", "p", "q").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold_pct: int = 80) -> DataFrame:
     """docs plus n_shingles, component_id, kept."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 256)
     m = bands(threshold_pct / 100)
     sketched = written(_sketches(docs, shingle, m), "dup-sketches")
     named = sketched.where("n_shingles > 0")
@@ -256,22 +294,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold_pct: int = 80)
         named.join(with_ids, (named["fp"] == with_ids["fp"]) & (named["doc_id"] == with_ids["node"])).select("node", "n_shingles", "sig", "subs").dropDuplicates(["node"]), "dup-classes"
     )
     members = written(_memberships(classes, m), "dup-members")
-    check = _Verifier(docs, classes.select("node", "n_shingles", "sig"), shingle, threshold_pct)
-    star = lambda rows, pick: rows.join(rows.groupBy("key").agg(pick("node").alias("hub")), "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    links = check.confirm(star(members, F.min))
-    comps = components(links)
-
-    def unsettled(comps: DataFrame, least: int) -> DataFrame:
-        """Members of the buckets that hold several components and pairs not yet compared."""
-        rows = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        state = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
-        return rows.join(state.where(f"lo <> hi and n >= {least}").select("key"), "key")
-
-    links = links.unionByName(check.confirm(star(unsettled(comps, 3), F.max)))
-    comps = components(links)
-    rest = written(unsettled(comps, 4), "dup-rest")
-    links = links.unionByName(check.confirm(_open_pairs(rest, classes, threshold_pct)))
+    nodes = members.select("node").distinct()
+    check = _Verifier(docs, classes.select("node", "n_shingles", "sig"), nodes, shingle, threshold_pct)
+    hubs = members.groupBy("key").agg(F.min("node").alias("a"))
+    star = members.join(hubs, "key").where("node <> a").select("a", F.col("node").alias("b"))
+    links = check.confirm(written(check.likely(star), "dup-likely"))
     comps = components(links)
+    placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2")
+    rest = written(placed.join(open_keys.select("key"), "key").select("node", "comp").distinct(), "dup-rest")
+    more = check.confirm(written(_open_pairs(check.sets, rest, classes, threshold_pct), "dup-open"))
+    comps = components(links.unionByName(more))
     found = (
         sketched.select("doc_id", "fp", "n_shingles").join(reps, "fp", "left").join(comps, "node", "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -283,4 +316,4 @@ def deduplicated(docs: DataFrame, shingle: int = 5, threshold_pct: int = 80) ->
     """The documents without those that another one of their group stands for."""
     found = near_duplicates(docs, shingle, threshold_pct)
     gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
