@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -34,8 +36,25 @@ def ratio(a: str | None, b: str | None) -> float:
     return 100.0 if not total else 200.0 * _lcs(_positions(a), len(a), b) / total
 
 
-def partial_ratio(a: str | None, b: str | None) -> float:
-    """The best ratio of the shorter string with any window of the longer one, of its length or cut at an end."""
+def _prefix_scores(short: str, where: dict[str, int], other: str) -> float:
+    """The best ratio of ``short`` with a proper prefix of ``other``, all from one pass."""
+    n = len(short)
+    full = (1 << n) - 1
+    row, best = full, 0.0
+    for size, c in enumerate(other[: n - 1], 1):
+        if (hit := where.get(c)) is not None:
+            u = row & hit
+            row = (row + u | row - u) & full
+            best = max(best, 200.0 * (n - row.bit_count()) / (n + size))
+    return best
+
+
+def partial_ratio(a: str | None, b: str | None, cutoff: float = 0.0) -> float:
+    """The best ratio of the shorter string with any window of the longer one, of its length or cut at an end.
+
+    0 if that is below the cutoff. A window's common subsequence changes by one at most from start to
+    start, so two windows bound all between them, and spans that can't be better are left out.
+    """
     if a is None or b is None:
         return 0.0
     short, long = sorted((a, b), key=len)
@@ -45,21 +64,30 @@ def partial_ratio(a: str | None, b: str | None) -> float:
         return 0.0
     if short in long:
         return 100.0
-    n, where = len(short), _positions(short)
-    best = 0.0
-
-    def consider(window: str, edge: str) -> None:
-        nonlocal best
-        if edge in where and 200.0 * min(n, len(window)) / (n + len(window)) > best:
-            best = max(best, 200.0 * _lcs(where, n, window) / (n + len(window)))
-
-    for size in range(1, n):
-        consider(long[:size], long[size - 1])
-    for at in range(len(long) - n + 1):
-        consider(long[at : at + n], long[at + n - 1])
-    for size in range(1, n):
-        consider(long[-size:], long[-size])
-    return best
+    n, last = len(short), len(long) - len(short)
+    where = _positions(short)
+    backward = {c: int(f"{bits:0{n}b}"[::-1], 2) for c, bits in where.items()}
+    ends = max(_prefix_scores(short, where, long), _prefix_scores(short, backward, long[::-1]))
+    least = math.ceil(max(ends, cutoff) * n / 100.0 - 1e-9)  # what a whole window has to reach
+    at: dict[int, int] = {}
+
+    def measure(k: int) -> int:
+        if k not in at:
+            at[k] = _lcs(where, n, long[k : k + n])
+        return at[k]
+
+    top = max(measure(0), measure(last))
+    spans = [(0, last)]
+    while spans:
+        low, high = spans.pop()
+        bound = (at[low] + at[high] + high - low) // 2
+        if high - low < 2 or bound < least or bound <= top:
+            continue
+        middle = (low + high) // 2
+        top = max(top, measure(middle))
+        spans += [(low, middle), (middle, high)]
+    best = max(ends, 100.0 * top / n)
+    return best if best >= cutoff else 0.0
 
 
 @arrow_function("double")
@@ -68,5 +96,5 @@ def ratio_of(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 @arrow_function("double")
-def partial_ratio_of(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([partial_ratio(x, y) for x, y in zip(a, b)], dtype=float)
+def partial_ratio_of(a: pd.Series, b: pd.Series, cutoff: pd.Series) -> pd.Series:
+    return pd.Series([partial_ratio(x, y, c) for x, y, c in zip(a, b, cutoff)], dtype=float)

@@ -1,10 +1,15 @@
-"""Text functions as Column expressions; all stay in the JVM."""
+"""Text functions as Column expressions; all but the fragments of words stay in the JVM."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .udfs import arrow_function
+
 # French stop words of the keyword query.
 FRENCH_STOPWORDS = (
     "je tu il elle on nous vous ils elles me te se moi toi lui leur eux ce ceci cela ca le la les l un une des du de d au aux "
@@ -68,7 +73,7 @@ def human_bytes(c: Column) -> Column:
     x = c.cast("double")
     ladder = F.when(c == 0, out)
     for k, unit in enumerate(sizes):
-        form = F.format_string(f"%.2f {unit}", x / float(1024**k))
+        form = F.format_string(f"%.2f {unit}", F.bround(x / float(1024**k), 2))
         ladder = ladder.when(x < float(1024 ** (k + 1)), form) if k < len(sizes) - 1 else ladder.otherwise(form)
     return ladder
 
@@ -125,28 +130,38 @@ def token_estimate(*columns: Column) -> Column:
     return F.floor(F.coalesce(F.sum(chars), F.lit(0)) / 4).cast("long")
 
 
-def start_end_fragments(c: Column, window: int = 5) -> Column:
-    """struct<start, end>: first and last runs of ``window`` words free of punctuation; smaller windows down to 2 if there are none."""
-    words = F.filter(F.split(punctuation_spacing(c), r"(?U)\s+"), lambda w: w != "")
-    n = F.size(words)
-    join = lambda a: F.array_join(a, " ")
-    pair = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
-    none = pair(F.lit(None).cast("string"), F.lit(None).cast("string"))
-    one = lambda a: pair(a, a)
-    dirty = F.transform(words, lambda w: w.rlike(PUNCTUATION).cast("int"))
-    out = none
-    for size in range(2, window + 1):
-        at = F.filter(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))), lambda i, s=size: (i + s <= n) & ~F.array_contains(F.slice(dirty, i + 1, s), 1))
-        first, last = F.element_at(at, 1), F.element_at(at, -1)
-        span = join(F.slice(words, first + 1, last + size - first))
-        both = F.when(first + size > last, F.when(is_clean(span) & (F.length(span) < 200), one(span)).otherwise(one(join(F.slice(words, first + 1, size)))))
-        long = both.otherwise(pair(join(F.slice(words, first + 1, size)), join(F.slice(words, last + 1, size))))
-        short = F.when(F.size(at) > 0, one(join(F.slice(words, first + 1, size)))).otherwise(none)
-        tiny = F.when(~F.array_contains(dirty, 1), one(join(words))).otherwise(none)
-        # a text of fewer than 15 words, or than the window, doesn't fall back to smaller windows
-        smaller = out
-        out = F.when(n < size, tiny).when(n < 15, short).when(F.size(at) > 0, long).otherwise(smaller)
-    return out
+_MARKED = re.compile(PUNCTUATION)
+_ALL_CLEAN = re.compile(CLEAN + "+")
+
+
+def fragments(value: str | None, window: int = 5) -> tuple[str | None, str | None]:
+    """First and last runs of ``window`` words free of punctuation; both are one run where they would overlap.
+
+    Texts of fewer than 15 words have one run; longer ones without any try smaller windows, down to 2.
+    """
+    words = re.sub(r"\s+([,.])", r"\1", value or "").split()
+    plain = [not _MARKED.search(w) for w in words]
+    for size in range(window, 1, -1):
+        runs = [k for k in range(len(words) - size + 1) if all(plain[k : k + size])]
+        if len(words) < size:
+            whole = " ".join(words) if words and all(plain) else None
+            return whole, whole
+        if runs:
+            first, last = (" ".join(words[k : k + size]) for k in (runs[0], runs[-1]))
+            if len(words) < 15:
+                return first, first
+            if runs[0] + size > runs[-1]:
+                span = " ".join(words[runs[0] : runs[-1] + size])
+                return (span, span) if len(span) < 200 and _ALL_CLEAN.fullmatch(span) else (first, first)
+            return first, last
+        if len(words) < 15:
+            break
+    return None, None
+
+
+@arrow_function("struct<start:string,end:string>")
+def start_end_fragments(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([fragments(t) for t in texts], columns=["start", "end"], dtype=object)
 
 
 def longest_clean(c: Column, least: int = 20) -> Column:

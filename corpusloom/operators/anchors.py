@@ -36,7 +36,7 @@ def page_locations(nodes: DataFrame, pages: DataFrame) -> DataFrame:
             def visit(numbers: Iterator[int], body: str = body) -> None:
                 nonlocal best, score
                 for n in numbers:
-                    if (s := partial_ratio(body, bodies[n])) > score:
+                    if (s := partial_ratio(body, bodies[n], max(score, ACCEPT))) > score:
                         best, score = n, s
                         if s > SURE:
                             return
@@ -58,7 +58,7 @@ def fragment_locations(nodes: DataFrame, elements: DataFrame, threshold: int = 9
     body = T.normalize_for_comparison(F.col("text"))
     a = nodes.select("doc_id", "node_id", body.alias("node_body"))
     usable = elements.withColumn("body", body).where((F.length("text") >= 30) & (F.length("body") >= 20)).withColumn("clean", T.is_clean(F.col("text")))
-    met = a.join(usable, "doc_id").withColumn("score", partial_ratio_of("body", "node_body")).where(F.col("score") >= threshold)
+    met = a.join(usable, "doc_id").withColumn("score", partial_ratio_of("body", "node_body", F.lit(float(threshold)))).where(F.col("score") >= threshold)
     order = [F.desc("visible"), F.desc("clean"), F.desc("score"), F.desc(F.length("text")), "pos"]
     nth = lambda test: F.when(test, F.row_number().over(Window.partitionBy("node_id", test).orderBy(*order)))
     ranked = met.withColumns({"r1": nth(F.col("visible") & F.col("clean")), "r2": nth(F.col("visible")), "r3": nth(~F.col("visible"))})

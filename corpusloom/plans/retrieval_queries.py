@@ -123,7 +123,7 @@ def annotation_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def fuzzy_best_name(spark: SparkSession, sf: str) -> DataFrame:
-    names = table(spark, sf, "supplier").select(F.regexp_replace("s_name", "0", "O").alias("name"))
+    names = table(spark, sf, "supplier").select(F.regexp_replace("s_name", "#", "-").alias("name"))
     return anchors.best_names(names, table(spark, sf, "supplier").select(F.col("s_name").alias("name")))
 
 

@@ -196,7 +196,7 @@ def mojibake_repair(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", text.repair_mojibake(F.col("raw")).alias("fixed"), "want")
 
 
-@query(r"""SELECT vec_id, round(v, 2) AS score FROM (SELECT vec_id, vec_id * 0.013 + 0.0001 AS v FROM embeddings)""")
+@query(r"""SELECT vec_id, round(v, 2) AS score FROM (SELECT vec_id, vec_id * 0.013::DOUBLE + 0.0001::DOUBLE AS v FROM embeddings)""")
 def score_round(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", F.round(F.col("vec_id") * F.lit(0.013) + F.lit(0.0001), 2).cast("double").alias("score"))
 
