@@ -30,11 +30,16 @@ def changed_pages(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     return stream.withWatermark("crawled_at", delay).dropDuplicatesWithinWatermark(["url", "content_hash"])
 
 
+def _timed(stream: DataFrame, delay: str) -> DataFrame:
+    """With a watermark on ts, which may come without a time zone."""
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+
+
 def request_windows(stream: DataFrame, size: str = "5 minutes", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """Requests per window and event type, with late rows up to the delay."""
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
-    return stream.withWatermark("ts", delay).groupBy(window, "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
+    return _timed(stream, delay).groupBy(window, "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
 
 
 def request_sessions(stream: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
-    return stream.withWatermark("ts", delay).groupBy("user_id", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("n"))
+    return _timed(stream, delay).groupBy("user_id", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("n"))
