@@ -61,3 +61,14 @@ def test_odd_rows(odd, none):
     assert len(set(same)) == 1
     assert mixing.mix(none).count() == 0
     assert mixing.repeat_rows(got).count() == got.agg(F.sum("reps")).first()[0]
+
+
+def test_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    for where in (sf, "/root/testdata/sf0.1"):
+        con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{where}/documents.parquet'")
+        want = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({queries.SQL['op7_source_mix']})").fetchall()}
+        got = {r.doc_id: (r.size, r.source_size, r.target, r.taken) for r in queries.op7_source_mix(spark, where).collect()}
+        assert got == want
