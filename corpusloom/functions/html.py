@@ -278,7 +278,10 @@ def markdown(page: str | None) -> str:
                 return "\n| " + " | ".join("".join(inline(c) for c in n.children).strip() for n in node.children if isinstance(n, Node)) + " |"
         return inner
 
-    text = inline(root)
+    try:
+        text = inline(root)
+    except RecursionError:  # nested deeper than any page: its text without marks
+        return root.text()
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n(?!\S)", "\n", text)).strip()
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import diagnostics as D
+from ..operators.crawl import breadth_first
 from .registry import query, table
 
 PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
@@ -36,23 +37,21 @@ def snapshot_summary(spark: SparkSession, sf: str) -> DataFrame:
     return D.diff_summary(snapshot_diff(spark, sf))
 
 
-@query("""WITH RECURSIVE e AS (SELECT page_id AS a, (page_id * 3 + k) % 250 AS b FROM pages, (VALUES (1), (2)) t(k) WHERE page_id < 250),
+@query("""WITH RECURSIVE e AS (SELECT page_id AS a, (page_id * 3 + k) % (SELECT count(*) FROM pages) AS b FROM pages, (VALUES (1), (2)) t(k)),
  f AS (SELECT 0::BIGINT AS page, 0 AS depth UNION SELECT e.b, f.depth + 1 FROM f JOIN e ON f.page = e.a WHERE f.depth < 6) SELECT page, min(depth)::INT AS depth FROM f GROUP BY page""")
 def crawl_bfs(spark: SparkSession, sf: str) -> DataFrame:
     """Breadth-first over links, depth by depth; each round reads only the newest pages."""
-    from corpusloom.operators.crawl import breadth_first
-
-    pages = table(spark, sf, "pages").where("page_id < 250")
-    edges = pages.select(F.col("page_id").alias("page"), F.explode(F.array(F.lit(1), F.lit(2))).alias("pos")).withColumn("url", (F.col("page") * 3 + F.col("pos")) % 250)
+    pages = table(spark, sf, "pages")
+    edges = pages.select(F.col("page_id").alias("page"), F.explode(F.array(F.lit(1), F.lit(2))).alias("pos")).withColumn("url", (F.col("page") * 3 + F.col("pos")) % pages.count())
     return breadth_first(edges, spark.createDataFrame([(0,)], "url long"), 6).select(F.col("url").alias("page"), "depth")
 
 
-@query("""SELECT b AS url, page, pos FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY page, pos) AS r FROM (SELECT page_id AS page, k AS pos, (page_id * 3 + k) % 250 AS b FROM pages, generate_series(1, 60) t(k) WHERE k <= 50)
+@query("""SELECT b AS url, page, pos FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY page, pos) AS r FROM (SELECT page_id AS page, k AS pos, (page_id * 3 + k) % (SELECT count(*) FROM pages) AS b FROM pages, generate_series(1, 60) t(k) WHERE k <= 50)
  WHERE b % 3 <> 0 AND b % 5 <> 0) WHERE r = 1""")
 def crawl_frontier(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages")
-    links = pages.select(F.col("page_id").alias("page"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(60).cast("long"))).alias("pos")).withColumn("url", (F.col("page") * 3 + F.col("pos")) % 250)
-    ids = spark.range(250).select(F.col("id").alias("url"))
+    links = pages.select(F.col("page_id").alias("page"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(60).cast("long"))).alias("pos")).withColumn("url", (F.col("page") * 3 + F.col("pos")) % pages.count())
+    ids = pages.select(F.col("page_id").alias("url"))
     return D.frontier_next(links, ids.where("url % 3 = 0"), ids.where("url % 5 = 0")).select("url", "page", "pos")
 
 
@@ -198,5 +197,3 @@ def filename_plan(spark: SparkSession, sf: str) -> DataFrame:
     names = table(spark, sf, "part").select(F.concat(F.initcap("p_name"), F.lit(" é.PDF")).alias("name")).distinct()
     return names.withColumn("safe", urls.safe_filename("name")).where("safe <> name")
 
-
-_ = Window

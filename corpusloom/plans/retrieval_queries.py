@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html
-from ..functions import text as T
-from ..functions.urls import url_path
 from ..operators import anchors, chunking, diagnostics, search
 from .registry import query, table
 
@@ -267,15 +265,13 @@ def node_counts(spark: SparkSession, sf: str) -> DataFrame:
     return node_classify(spark, sf).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH c AS (SELECT [vec_id // 2, vec_id // 2 + 1, 100000] AS ids, vec_id FROM embeddings WHERE vec_id < 20), x AS (SELECT vec_id, i - 1 AS pos, ids[i] AS child_id FROM c, generate_series(1, 3) t(i)),
+@query("""WITH c AS (SELECT [vec_id // 2, vec_id // 2 + 1, 100000] AS ids, vec_id FROM embeddings), x AS (SELECT vec_id, i - 1 AS pos, ids[i] AS child_id FROM c, generate_series(1, 3) t(i)),
  n AS (SELECT DISTINCT vec_id // 2 AS child_id, vec_id // 6 AS parent_id FROM embeddings) SELECT vec_id, pos, x.child_id, parent_id, 'cached' AS label FROM x JOIN n ON x.child_id = n.child_id""")
 def cache_rebuild(spark: SparkSession, sf: str) -> DataFrame:
     """Results again from cached ids, in their order; ids that are gone are skipped."""
     e = table(spark, sf, "embeddings")
     ids = F.array(F.expr("vec_id div 2"), F.expr("vec_id div 2") + 1, F.lit(100_000).cast("long"))
-    cached = e.where("vec_id < 20").select("vec_id", F.posexplode(ids).alias("pos", "child_id"))
+    cached = e.select("vec_id", F.posexplode(ids).alias("pos", "child_id"))
     nodes = e.select(F.expr("vec_id div 2").alias("child_id"), F.expr("vec_id div 6").alias("parent_id")).distinct()
     return cached.join(nodes, "child_id").select("vec_id", F.col("pos").cast("long").alias("pos"), "child_id", "parent_id", F.lit("cached").alias("label"))
 
-
-_ = T, url_path
