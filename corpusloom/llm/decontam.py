@@ -47,7 +47,7 @@ _FLAGS = np.uint64(15)
 NUM, NAME, UNIT = (np.uint64(xxhash.xxh3_64_intdigest(x)) & ~_FLAGS for x in (b"<num>", b"<name>", b"<unit>"))
 _GLUED = re.compile(r"(?<=\d)(km|kg|cm|mm|mg|ml|lbs?|oz|m|g|l|hrs?|min|sec|mph|%)(?![\w])")
 _LINE = b" \x01 "
-_CACHE = 500_000
+_CACHE = 200_000
 #: By raw token: its hash (0: no word) with flags in the low bits.
 _known: dict[bytes, int] = {}
 _CAPITAL, _ENDS, _NUMBER, _UNIT = 1, 2, 4, 8

@@ -40,8 +40,6 @@ ROWS, MISS = 3, 3e-5
 BLOCK = 1024
 #: Pairs whose minhashes agree in a share this far below the threshold (5 standard deviations) are not read in full.
 _SIGMAS = 5
-_CACHE_WORDS = 100_000
-_known: dict[bytes, int] = {}
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -61,16 +59,7 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII space only
     if not words:
         return np.empty(0, np.uint64)
-    if len(_known) > _CACHE_WORDS:
-        _known.clear()
-    try:
-        codes = [_known[w] for w in words]
-    except KeyError:
-        for w in words:
-            if w not in _known:
-                _known[w] = xxhash.xxh3_64_intdigest(w)
-        codes = [_known[w] for w in words]
-    h = np.array(codes, np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     size = min(n, len(h))
     x = np.full(len(h) - size + 1, size, np.uint64)
     for k in range(size):
@@ -288,7 +277,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold_pct: int = 80)
     m = bands(threshold_pct / 100)
     sketched = written(_sketches(docs, shingle, m), "dup-sketches")
     named = sketched.where("n_shingles > 0")
-    reps = named.groupBy("fp").agg(F.min("doc_id").alias("node"))
+    # written: a join of two plain tables, so that Spark can split a fingerprint with very many copies
+    reps = written(named.groupBy("fp").agg(F.min("doc_id").alias("node")), "dup-reps")
     with_ids = reps.where("node is not null")
     classes = written(
         named.join(with_ids, (named["fp"] == with_ids["fp"]) & (named["doc_id"] == with_ids["node"])).select("node", "n_shingles", "sig", "subs").dropDuplicates(["node"]), "dup-classes"
