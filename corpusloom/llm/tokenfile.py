@@ -32,14 +32,24 @@ from .common import shared_dir, small_batches
 
 SEQ_LEN = 2048
 ROWS = 256
-#: Words whose ids are remembered in one Python worker: those met in two batches, and the recent ones.
-CACHE_WORDS = 250_000
-_cache: dict[str, tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
+#: Words whose ids one Python worker remembers before it starts anew.
+CACHE_WORDS = 500_000
+_cache: dict[str, _Known] = {}
 #: Words of lower-case Latin letters: one run for any tokenizer here, and unchanged by its normaliser.
 _LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 _LAST_LETTER = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])\Z")
 
 
+class _Known(dict):
+    """Ids by word; a word that isn't there is encoded and stays."""
+
+    encoder: WordEncoder
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.encoder.word(word)
+        return ids
+
+
 def _byte_letters() -> dict[int, str]:
     """The letters of byte-level vocabularies: printable bytes are themselves, the others follow from 256 on."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -47,7 +57,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Ids of whole texts from the tokenizers library, asked once per distinct word of a batch.
+    """Ids of whole texts from the tokenizers library, asked once per distinct word while it is remembered.
 
     For tokenizers that lower-case, drop white space and split letters from punctuation, a text's
     ids are those of its parts in order. ``by_words=False`` encodes texts as they are. Texts with a
@@ -61,51 +71,32 @@ class WordEncoder:
 
         self.tokenizer, self.width, self.by_words = Tokenizer.from_file(path), width, by_words
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.often, self.recent = _cache.setdefault(f"{path}:{width}", ({}, {}))
+        self.known = _cache.setdefault(f"{path}:{width}", _Known())
+        self.known.encoder = self
         self.stops = {c: self._ids(c.decode()) for c in (b".", b",")}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
 
-    def _word(self, word: bytes) -> bytes:
+    def word(self, word: bytes) -> bytes:
+        # a lone full stop or comma behind a letter is a token of its own: the word without it recurs more
+        if (stop := self.stops.get(word[-1:])) is not None and _LAST_LETTER.search(word, 0, len(word) - 1):
+            return self.known[word[:-1]] + stop
         text = word.decode()
         if not _LETTERS.fullmatch(text):
             return self._ids(text)
         ids = [t.id for t in self.model.tokenize(text if text.isascii() else "".join(map(self.letters.__getitem__, word)))]
         return struct.pack(f"<{len(ids)}{self.width.char}", *ids)
 
-    def batch(self, texts: list[bytes | None]) -> list[bytes]:
-        """Ids of UTF-8 texts."""
-        if not self.by_words:
-            return [self._ids(t.decode()) if t else b"" for t in texts]
-        often, self.fresh = self.often, []
-        words = [() if not t or b"<|" in t else t.lower().split() for t in texts]
-        lately, fresh, stops, word = self.recent.pop, self.fresh.append, self.stops, self._word
-        for w in set().union(*words).difference(often):
-            if (ids := lately(w, None)) is None:
-                # a lone full stop or comma behind a letter is a token of its own: the word without it recurs more
-                if (stop := stops.get(w[-1:])) is None or not _LAST_LETTER.search(w, 0, len(w) - 1):
-                    ids = word(w)
-                else:
-                    core = w[:-1]
-                    if (own := often.get(core)) is None:
-                        if (own := lately(core, None)) is None:
-                            own = word(core)
-                            fresh(core)
-                        often[core] = own
-                    ids = own + stop
-                fresh(w)
-            often[w] = ids
-        get = often.__getitem__
-        out = [b"".join(map(get, own)) if own or not t else self._ids(t.decode()) for t, own in zip(texts, words)]
-        if len(self.recent) > CACHE_WORDS:
-            self.recent.clear()
-        for w in self.fresh:  # a core may be listed twice
-            if (ids := often.pop(w, None)) is not None:
-                self.recent[w] = ids
-        if len(often) > CACHE_WORDS:
-            often.clear()
-        return out
+    def __call__(self, text: bytes | None) -> bytes:
+        """Ids of a UTF-8 text."""
+        if not text:
+            return b""
+        if not self.by_words or b"<|" in text:
+            return self._ids(text.decode())
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, text.lower().split()))
 
 
 def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -178,7 +169,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
             packer, index = _Packer(sink, dtype, seq_len, rows), pa.ipc.new_file(listed, INDEX)
             while first is not None:
                 sizes = []
-                for ids in encode.batch(first.column(1).cast(pa.binary()).to_pylist()):
+                for text in first.column(1).cast(pa.binary()).to_pylist():
+                    ids = encode(text)
                     packer.add(ids)
                     packer.add(end)
                     sizes.append(len(ids) // dtype.itemsize + 1)
