@@ -141,10 +141,11 @@ class _Verifier:
         # a shuffle join at any size: the nodes grow with the corpus
         own = nodes.select(F.col("node").alias("doc_id")).hint("merge")
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(own, "doc_id", "left_semi")
-        have = written(texts.mapInArrow(sets, "node long, set binary"), "dup-sets")
+        have = texts.mapInArrow(sets, "node long, set binary")
         # ids may repeat with other texts: the class's own set has its size
         sized = have.join(classes.select("node", "n_shingles"), "node").where(F.length("set") == 8 * F.col("n_shingles"))
-        self.sets = sized.groupBy("node").agg(F.first("set").alias("set"))
+        # written: joins with it are of plain tables, so that Spark can split a hub of very many pairs
+        self.sets = written(sized.groupBy("node").agg(F.first("set").alias("set")), "dup-sets")
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Pairs a < b that sizes and minhashes allow."""
