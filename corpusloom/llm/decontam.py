@@ -47,9 +47,7 @@ _FLAGS = np.uint64(15)
 NUM, NAME, UNIT = (np.uint64(xxhash.xxh3_64_intdigest(x)) & ~_FLAGS for x in (b"<num>", b"<name>", b"<unit>"))
 _GLUED = re.compile(r"(?<=\d)(km|kg|cm|mm|mg|ml|lbs?|oz|m|g|l|hrs?|min|sec|mph|%)(?![\w])")
 _LINE = b" \x01 "
-_CACHE = 200_000
-#: By raw token: its hash (0: no word) with flags in the low bits.
-_known: dict[bytes, int] = {}
+_CACHE = 300_000
 _CAPITAL, _ENDS, _NUMBER, _UNIT = 1, 2, 4, 8
 
 
@@ -68,25 +66,28 @@ def _token(raw: bytes) -> int:
     return xxhash.xxh3_64_intdigest(low.encode()) & ~15 | ends | capital | (_UNIT if low in UNITS else 0)
 
 
+class _Tokens(dict):
+    """By raw token: its hash (0: no word) with flags in the low bits; worked out when it first comes up."""
+
+    def __missing__(self, raw: bytes) -> int:
+        code = self[raw] = _token(raw)
+        return code
+
+
+_known = _Tokens()
+
+
 def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, Callable[[int], bytes]]:
     """Template hashes, whether each is a slot, and the raw token at a place, of the tokens that have a word."""
     text = text or ""
     if any(c in text for c in "0123456789"):
         text = _GLUED.sub(r" \1", text)
     words = text.encode("utf-8", "surrogatepass").replace(b"\n", _LINE).split()
+    if not words:
+        return np.empty(0, np.uint64), np.empty(0, bool), words.__getitem__
     if len(_known) > _CACHE:
         _known.clear()
-    known = _known
-    try:
-        got = [known[w] for w in words]
-    except KeyError:
-        for w in set(words):
-            if w not in known:
-                known[w] = _token(w)
-        got = [known[w] for w in words]
-    if not got:
-        return np.empty(0, np.uint64), np.empty(0, bool), words.__getitem__
-    code = np.array(got, np.uint64)
+    code = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
     flag = (code & _FLAGS).astype(np.uint8)
     code &= ~_FLAGS
     # punctuation alone neither is a token nor hides a sentence's end
