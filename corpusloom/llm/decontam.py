@@ -3,12 +3,17 @@
 Texts become sequences of tokens in which numbers, names and units are typed placeholders: a number
 has digits or is a number word; a name is capitalised and does not begin a sentence or line; a unit
 is a unit word right behind a number. Windows of ``WINDOW`` template tokens of documents and
-benchmark items are joined on their 64-bit hashes. For each document and item, slot values that
-align in joined windows must map consistently: one value of the item to one of the document and
-back. A document is contaminated by an item if joined windows cover at least ``COVERAGE`` of the
-item's windows, or ``RUN`` of them, and at least ``CONSISTENT`` of the slots whose values recur agree; so a
+benchmark items are joined on their 64-bit hashes. Within an occurrence of an item in a document, slot
+values that align in joined windows must map consistently: one value of the item to one of the document
+and back. An occurrence contaminates if joined windows cover at least ``COVERAGE`` of the item's
+windows, or ``RUN`` of them, and at least ``CONSISTENT`` of the slots whose values recur agree; so a
 question with other numbers and names is caught, and chance matches of bare templates are not.
 
+Occurrences are the diagonals (place in the document less place in the item) of joined windows, the
+groups of diagonals less than half an item's length apart (insertions move the diagonal), and all of a
+document's joined windows of the item together (excerpts far apart). One that passes is enough; a row
+gives the figures of the one with the highest coverage, then consistency, then fewest changed values.
+
 Before the join a bit table of the benchmark's window hashes, of a fixed number of bits whatever
 the benchmark's size, drops the windows of documents that can't match. What passes is joined in
 Spark, so the benchmark may be of any size.
@@ -26,7 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
@@ -164,11 +169,28 @@ def _bit_table(windows: DataFrame) -> np.ndarray:
     return np.packbits(bits)
 
 
+def _occurrences(met: DataFrame) -> DataFrame:
+    """Joined windows once per occurrence (``occ``) they belong to: their diagonal, its neighbours, and all together."""
+    met = met.distinct().withColumn("line", F.col("at") - F.col("item_at"))
+    along = Window.partitionBy("doc_id", "item_id").orderBy("line")
+    whole = Window.partitionBy("doc_id", "item_id")
+    apart = F.col("line") - F.lag("line").over(along) > F.greatest(F.lit(1), F.col("item_tokens") / 2)
+    met = met.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int"))
+    met = met.withColumn("near", F.sum("apart").over(along.rangeBetween(Window.unboundedPreceding, 0)))
+    met = met.withColumn("several", F.min("line").over(whole) < F.max("line").over(whole))
+    occ = lambda level, k: F.struct(F.lit(level).alias("level"), k.cast("long").alias("k"))
+    wider = F.array(occ(0, F.col("line")), occ(1, F.col("near")), occ(2, F.lit(0)))
+    return met.withColumn("occ", F.explode(F.when(F.col("several"), wider).otherwise(F.array(occ(0, F.col("line")))))).drop("line", "apart", "near", "several")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, item_id, n_windows, coverage, n_slots, n_changed, consistency, kind of every contamination."""
     spark = docs.sparkSession
     small_batches(spark)
     items = written(benchmark_windows(benchmark, window).dropDuplicates(["item_id", "at", "hash"]), "bench-windows")
+    # windows of an item are as many as its tokens, but for the width of one
+    length = items.groupBy("item_id").agg((F.max("at") + F.max("width")).alias("item_tokens")).withColumnRenamed("item_id", "_own")
+    items = written(items.join(length, items["item_id"].eqNullSafe(length["_own"])).drop("_own"), "bench-items")
     widths = sorted(r.width for r in items.select("width").distinct().collect())  # from MIN_TOKENS to window
     shared = spark.sparkContext.broadcast(_bit_table(items))
 
@@ -179,34 +201,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
             yield _windows_of(batch, "doc_id", lambda n: [k for k in widths if k <= n], lambda h: table[h >> shift] if len(h) else np.empty(0, bool))
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA.format("doc_id"))
-    met = found.join(items.select("item_id", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), F.col("of").alias("item_of")), "hash")
-    met = written(met.select("doc_id", "item_id", "at", "item_at", "item_of", "slots", "item_slots"), "bench-met")
-    cover = met.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("n_windows"), F.max("item_of").alias("item_of"))
+    met = found.join(items.select("item_id", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), F.col("of").alias("item_of"), "item_tokens"), "hash")
+    met = written(_occurrences(met.select("doc_id", "item_id", "at", "item_at", "item_of", "item_tokens", "slots", "item_slots")), "bench-met")
+    key = ("doc_id", "item_id", "occ")
+    cover = met.groupBy(*key).agg(F.countDistinct("item_at").alias("n_windows"), F.max("item_of").alias("item_of"))
     # a slot value with its place in the item and in the document, so that a slot seen by many windows counts once
     pair = F.explode(F.arrays_zip("item_slots", "slots")).alias("p")
     place = lambda c, at: F.col(at) + F.substring_index(F.col(f"p.{c}"), ":", 1).cast("int")
     value = lambda c: F.substring_index(F.col(f"p.{c}"), ":", -1)
     slots = (
-        met.select("doc_id", "item_id", "at", "item_at", pair)
-        .select("doc_id", "item_id", place("item_slots", "item_at").alias("ip"), place("slots", "at").alias("dp"), value("item_slots").alias("iv"), value("slots").alias("dv"))
+        met.select(*key, "at", "item_at", pair)
+        .select(*key, place("item_slots", "item_at").alias("ip"), place("slots", "at").alias("dp"), value("item_slots").alias("iv"), value("slots").alias("dv"))
         .distinct()
     )
-    mapped = slots.groupBy("doc_id", "item_id", "iv", "dv").agg(F.count(F.lit(1)).alias("n"))
+    mapped = slots.groupBy(*key, "iv", "dv").agg(F.count(F.lit(1)).alias("n"))
     # of the values that one maps to, in either direction, the most frequent is taken as its mapping
-    top = mapped.groupBy("doc_id", "item_id", "iv").agg(F.max_by("dv", F.struct("n", "dv")).alias("to"), F.sum("n").alias("n_iv"))
-    back = mapped.groupBy("doc_id", "item_id", "dv").agg(F.max_by("iv", F.struct("n", "iv")).alias("from"), F.sum("n").alias("n_dv"))
+    top = mapped.groupBy(*key, "iv").agg(F.max_by("dv", F.struct("n", "dv")).alias("to"), F.sum("n").alias("n_iv"))
+    back = mapped.groupBy(*key, "dv").agg(F.max_by("iv", F.struct("n", "iv")).alias("from"), F.sum("n").alias("n_dv"))
     same = lambda a, b, on: [a[c].eqNullSafe(b[c]) for c in on]
-    m = mapped.join(top, same(mapped, top, ("doc_id", "item_id", "iv"))).select(mapped["*"], top["to"], top["n_iv"])
-    m = m.join(back, same(m, back, ("doc_id", "item_id", "dv"))).select(m["*"], back["from"], back["n_dv"])
+    m = mapped.join(top, same(mapped, top, (*key, "iv"))).select(mapped["*"], top["to"], top["n_iv"])
+    m = m.join(back, same(m, back, (*key, "dv"))).select(m["*"], back["from"], back["n_dv"])
     # a value met once, on either side, can't contradict itself
     tested = (F.col("n_iv") > 1) | (F.col("n_dv") > 1)
-    agreed = m.groupBy("doc_id", "item_id").agg(
+    agreed = m.groupBy(*key).agg(
         F.sum("n").alias("n_slots"),
         F.sum(F.when(tested, F.col("n")).otherwise(0)).alias("n_tested"),
         F.sum(F.when(tested & (F.col("to") == F.col("dv")) & (F.col("from") == F.col("iv")), F.col("n")).otherwise(0)).alias("n_agreed"),
         F.sum(F.when(F.col("iv") != F.col("dv"), F.col("n")).otherwise(0)).alias("n_changed"),
     )
-    both = cover.join(agreed, same(cover, agreed, ("doc_id", "item_id")), "left").select(cover["*"], "n_slots", "n_tested", "n_agreed", "n_changed")
+    both = cover.join(agreed, same(cover, agreed, key), "left").select(cover["*"], "n_slots", "n_tested", "n_agreed", "n_changed")
     none = F.lit(0).cast("long")
     out = both.select(
         "doc_id", "item_id", "n_windows", (F.col("n_windows") / F.col("item_of")).alias("coverage"),
@@ -214,6 +237,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
         F.coalesce(F.try_divide("n_agreed", "n_tested"), F.lit(1.0)).alias("consistency"),
     )
     out = out.where(((F.col("coverage") >= COVERAGE) | (F.col("n_windows") >= RUN)) & (F.col("consistency") >= CONSISTENT))
+    best = F.max(F.struct("coverage", "consistency", (-F.col("n_changed")).alias("same"), "n_windows", "n_slots", "n_changed")).alias("b")
+    out = out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", *[f"b.{c}" for c in ("n_windows", "coverage", "n_slots", "n_changed", "consistency")])
     return out.withColumn("kind", F.when(F.col("n_changed") > 0, "reparameterised").otherwise("verbatim"))
 
 

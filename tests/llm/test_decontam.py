@@ -26,6 +26,21 @@ def test_reparameterised(spark):
     assert sorted(r.doc_id for r in left.where("doc_id is not null").collect()) == [12, 13, 14, 15]
 
 
+def test_occurrences(spark):
+    """Several places of one document that meet an item: a variant beside a copy or another variant, two items of a template."""
+    one, two = ITEM.replace("Alice", "Robert").replace("120", "75").replace("9", "11"), ITEM.replace("Alice", "Mona").replace("120", "64").replace("9", "5")
+    long = ITEM.replace("Alice", "Robert Brown").replace("120", "75")  # a longer name moves the diagonal
+    bench = spark.createDataFrame([(1, ITEM), (2, one)], "item_id long, text string")
+    docs = {
+        20: f"{ITEM}. Then {one}", 21: f"{ITEM}. Then {ITEM}. Then {two}", 22: f"{two}. And so on, as they say, {one}", 23: f"{two}. Then {long}",
+        24: ITEM.replace("Alice", "Robert", 1).replace("120 km", "75 km") + ". Then " + ITEM.replace("Alice", "Mona", 1).replace("120 km", "64 km"),
+    }
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), bench).collect()}
+    assert set(got) == {(d, i) for d in (20, 21, 22, 23) for i in (1, 2)}
+    assert got[(20, 1)].kind == got[(20, 2)].kind == got[(21, 1)].kind == got[(22, 2)].kind == "verbatim" and got[(22, 1)].kind == "reparameterised"
+    assert all(r.consistency == 1 for k, r in got.items() if k[0] != 23)
+
+
 def test_benchmark_passages(spark, sf, texts):
     bench = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     words = lambda t: re.findall(r"\w+", t.lower())
