@@ -9,6 +9,11 @@ and back. An occurrence contaminates if joined windows cover at least ``COVERAGE
 windows, or ``RUN`` of them, and at least ``CONSISTENT`` of the slots whose values recur agree; so a
 question with other numbers and names is caught, and chance matches of bare templates are not.
 
+Windows of fewer than ``LITERALS`` literal tokens, and items of fewer than ``MIN_TOKENS`` tokens, say
+nothing as templates: they are joined on the hash of their own tokens (lower-cased, letters and digits),
+so copies of short items and of windows full of numbers and names match. Coverage is the higher one of
+template windows alone and of all windows. An unbroken run of ``VERBATIM`` equal tokens contaminates too.
+
 Occurrences are the diagonals (place in the document less place in the item) of joined windows, the
 groups of diagonals less than half an item's length apart (insertions move the diagonal), and all of a
 document's joined windows of the item together (excerpts far apart). One that passes is enough; a row
@@ -19,7 +24,7 @@ the benchmark's size, drops the windows of documents that can't match. What pass
 Spark, so the benchmark may be of any size.
 
 Null and empty texts have no windows; items shorter than a window are one window of their own
-length, and items of fewer than ``MIN_TOKENS`` tokens match nothing. Repeated items count as one per id, repeated documents give one row per id and item. Null
+length, so a copy of even a one-word item is reported. Repeated items count as one per id, repeated documents give one row per id and item. Null
 ids are reported as null. Empty tables give empty results. Other columns are ignored.
 """
 
@@ -38,8 +43,10 @@ from .common import small_batches, written
 
 WINDOW, COVERAGE, RUN, CONSISTENT = 8, 0.5, 24, 0.8
 TABLE_BITS = 24
-#: Fewest literal tokens in a window, and fewest tokens of an item that can be told from chance.
+#: Fewest literal tokens in a window, and fewest tokens of an item, whose template can be told from chance.
 LITERALS, MIN_TOKENS = 4, 5
+#: Tokens of an excerpt that is reported at any coverage.
+VERBATIM = 13
 
 # Number words and units (English, German, French, Spanish).
 NUMBER_WORDS = frozenset(
@@ -66,7 +73,7 @@ def _token(raw: bytes) -> int:
         return ends
     low = core.lower()
     if any(c.isdigit() for c in core) and sum(c.isdigit() for c in core) * 2 >= len(core) or low in NUMBER_WORDS:
-        return int(NUM) | ends | _NUMBER
+        return xxhash.xxh3_64_intdigest(low.encode()) & ~15 | ends | _NUMBER
     capital = _CAPITAL if core[0].isupper() and core[1:].islower() else 0
     return xxhash.xxh3_64_intdigest(low.encode()) & ~15 | ends | capital | (_UNIT if low in UNITS else 0)
 
@@ -84,12 +91,18 @@ _known = _Tokens()
 
 def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, Callable[[int], bytes]]:
     """Template hashes, whether each is a slot, and the raw token at a place, of the tokens that have a word."""
+    code, slot, raw, _ = tokens(text)
+    return code, slot, raw
+
+
+def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray, Callable[[int], bytes], np.ndarray]:
+    """What ``canonical`` gives, and the hashes of the tokens themselves."""
     text = text or ""
     if any(c in text for c in "0123456789"):
         text = _GLUED.sub(r" \1", text)
     words = text.encode("utf-8", "surrogatepass").replace(b"\n", _LINE).split()
     if not words:
-        return np.empty(0, np.uint64), np.empty(0, bool), words.__getitem__
+        return np.empty(0, np.uint64), np.empty(0, bool), words.__getitem__, np.empty(0, np.uint64)
     if len(_known) > _CACHE:
         _known.clear()
     code = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
@@ -106,8 +119,9 @@ def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, Callable[[int],
     unit = (own & _UNIT) > 0
     unit[1:] &= number[:-1]
     unit[:1] = False
-    code[name], code[unit] = NAME, UNIT
-    return code, name | number | unit, lambda k: words[keep[k]]
+    own = code.copy()
+    code[name], code[number], code[unit] = NAME, NUM, UNIT
+    return code, name | number | unit, lambda k: words[keep[k]], own
 
 
 def _value(raw: bytes) -> str:
@@ -124,40 +138,55 @@ def window_hashes(code: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.nda
         x = (x ^ code[k : n + k]) * np.uint64(0x9E3779B97F4A7C15)
         x ^= x >> np.uint64(29)
     literal = np.concatenate([[0], np.cumsum(~slot)])
-    return x, literal[size:] - literal[:-size] >= min(LITERALS, size)
+    return x, (literal[size:] - literal[:-size] >= min(LITERALS, size)) & (size >= MIN_TOKENS)
+
 
+def own_hashes(own: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the windows at some places by their own tokens; they start unlike those of templates."""
+    x = np.full(len(places), size + (1 << 32), np.uint64)
+    for k in range(size):
+        x = (x ^ own[places + k]) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+    return x
 
-def _rows(ids: list, starts: list, hashes: list, slots: list, sizes: list, widths: list, id_name: str) -> pa.RecordBatch:
+
+def _rows(ids: list, starts: list, hashes: list, slots: list, sizes: list, widths: list, exact: list, lengths: list, id_name: str) -> pa.RecordBatch:
     return pa.record_batch(
-        [pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(hashes, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(sizes, pa.int32()), pa.array(widths, pa.int32())],
-        names=[id_name, "at", "hash", "slots", "of", "width"],
+        [pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(hashes, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(sizes, pa.int32()), pa.array(widths, pa.int32()), pa.array(exact, pa.bool_()), pa.array(lengths, pa.int32())],
+        names=[id_name, "at", "hash", "slots", "of", "width", "exact", "tokens"],
     )
 
 
 def _windows_of(batch: pa.RecordBatch, id_name: str, size_of, passes) -> pa.RecordBatch:  # noqa: ANN001
-    ids, starts, hashes, slots, sizes, widths = [], [], [], [], [], []
+    ids, starts, hashes, slots, sizes, widths, exact, lengths = [], [], [], [], [], [], [], []
     for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-        code, slot, raw = canonical(text.as_py())
+        code, slot, raw, own = tokens(text.as_py())
         for size in size_of(len(code)):
             h, enough = window_hashes(code, slot, size)
-            total = int(enough.sum())
-            for at in np.flatnonzero(enough & passes(h)).tolist():
+            poor = np.flatnonzero(~enough)
+            if len(poor):
+                h[poor] = own_hashes(own, poor, size)
+            total = len(h) - len(poor)
+            for at in np.flatnonzero(passes(h)).tolist():
                 ids.append(key)
                 starts.append(at)
                 hashes.append(int(h[at].view(np.int64)))
                 slots.append([f"{k}:{_value(raw(at + k))}" for k in np.flatnonzero(slot[at : at + size]).tolist()])
                 sizes.append(total)
                 widths.append(size)
-    return _rows(ids, starts, hashes, slots, sizes, widths, id_name)
+                exact.append(not enough[at])
+                lengths.append(len(code))
+    return _rows(ids, starts, hashes, slots, sizes, widths, exact, lengths, id_name)
 
 
-_SCHEMA = "{} long, at int, hash long, slots array<string>, of int, width int"
+LEVELS = "array<struct<level:int,k:bigint>>"
+_SCHEMA = "{} long, at int, hash long, slots array<string>, of int, width int, exact boolean, tokens int"
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _windows_of(batch, "item_id", lambda n: [min(window, n)] if n >= MIN_TOKENS else [], lambda h: np.ones(len(h), bool))
+            yield _windows_of(batch, "item_id", lambda n: [min(window, n)] if n else [], lambda h: np.ones(len(h), bool))
 
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, _SCHEMA.format("item_id"))
 
@@ -170,7 +199,7 @@ def _bit_table(windows: DataFrame) -> np.ndarray:
 
 
 def _occurrences(met: DataFrame) -> DataFrame:
-    """Joined windows once per occurrence (``occ``) they belong to: their diagonal, its neighbours, and all together."""
+    """Joined windows once per occurrence (``occ``) they belong to: diagonal, its neighbours, all together, run of equal tokens."""
     met = met.distinct().withColumn("line", F.col("at") - F.col("item_at"))
     along = Window.partitionBy("doc_id", "item_id").orderBy("line")
     whole = Window.partitionBy("doc_id", "item_id")
@@ -178,9 +207,14 @@ def _occurrences(met: DataFrame) -> DataFrame:
     met = met.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int"))
     met = met.withColumn("near", F.sum("apart").over(along.rangeBetween(Window.unboundedPreceding, 0)))
     met = met.withColumn("several", F.min("line").over(whole) < F.max("line").over(whole))
+    met = met.withColumn("equal", F.col("slots") == F.col("item_slots"))
+    run = F.dense_rank().over(Window.partitionBy("doc_id", "item_id", "line", "equal").orderBy("at"))
+    met = met.withColumn("run", F.col("at") - run)
     occ = lambda level, k: F.struct(F.lit(level).alias("level"), k.cast("long").alias("k"))
-    wider = F.array(occ(0, F.col("line")), occ(1, F.col("near")), occ(2, F.lit(0)))
-    return met.withColumn("occ", F.explode(F.when(F.col("several"), wider).otherwise(F.array(occ(0, F.col("line")))))).drop("line", "apart", "near", "several")
+    own = F.array(occ(0, F.col("line")))
+    wider = F.when(F.col("several"), F.array(occ(1, F.col("near")), occ(2, F.lit(0)))).otherwise(F.array().cast(LEVELS))
+    equal = F.when(F.col("equal"), F.array(occ(3, F.shiftleft(F.col("line").cast("long"), 32) + F.col("run")))).otherwise(F.array().cast(LEVELS))
+    return met.withColumn("occ", F.explode(F.concat(own, wider, equal))).drop("line", "apart", "near", "several", "equal", "run")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -188,10 +222,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     spark = docs.sparkSession
     small_batches(spark)
     items = written(benchmark_windows(benchmark, window).dropDuplicates(["item_id", "at", "hash"]), "bench-windows")
-    # windows of an item are as many as its tokens, but for the width of one
-    length = items.groupBy("item_id").agg((F.max("at") + F.max("width")).alias("item_tokens")).withColumnRenamed("item_id", "_own")
-    items = written(items.join(length, items["item_id"].eqNullSafe(length["_own"])).drop("_own"), "bench-items")
-    widths = sorted(r.width for r in items.select("width").distinct().collect())  # from MIN_TOKENS to window
+    widths = sorted(r.width for r in items.select("width").distinct().collect())  # from 1 to window
     shared = spark.sparkContext.broadcast(_bit_table(items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,10 +232,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
             yield _windows_of(batch, "doc_id", lambda n: [k for k in widths if k <= n], lambda h: table[h >> shift] if len(h) else np.empty(0, bool))
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA.format("doc_id"))
-    met = found.join(items.select("item_id", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), F.col("of").alias("item_of"), "item_tokens"), "hash")
-    met = written(_occurrences(met.select("doc_id", "item_id", "at", "item_at", "item_of", "item_tokens", "slots", "item_slots")), "bench-met")
+    met = found.join(items.select("item_id", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), F.col("of").alias("item_of"), F.col("tokens").alias("item_tokens"), F.col("width").alias("item_width")), "hash")
+    met = written(_occurrences(met.select("doc_id", "item_id", "at", "item_at", "item_of", "item_tokens", "item_width", "exact", "slots", "item_slots")), "bench-met")
     key = ("doc_id", "item_id", "occ")
-    cover = met.groupBy(*key).agg(F.countDistinct("item_at").alias("n_windows"), F.max("item_of").alias("item_of"))
+    cover = met.groupBy(*key).agg(
+        F.countDistinct("item_at").alias("n_windows"),
+        F.countDistinct(F.when(~F.col("exact"), F.col("item_at"))).alias("n_templates"),
+        F.max("item_of").alias("item_of"),
+        F.max(F.col("item_tokens") - F.col("item_width") + 1).alias("item_all"),
+    )
+    share = F.greatest(F.col("n_windows") / F.col("item_all"), F.coalesce(F.try_divide("n_templates", "item_of"), F.lit(0.0)))
     # a slot value with its place in the item and in the document, so that a slot seen by many windows counts once
     pair = F.explode(F.arrays_zip("item_slots", "slots")).alias("p")
     place = lambda c, at: F.col(at) + F.substring_index(F.col(f"p.{c}"), ":", 1).cast("int")
@@ -232,11 +269,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     both = cover.join(agreed, same(cover, agreed, key), "left").select(cover["*"], "n_slots", "n_tested", "n_agreed", "n_changed")
     none = F.lit(0).cast("long")
     out = both.select(
-        "doc_id", "item_id", "n_windows", (F.col("n_windows") / F.col("item_of")).alias("coverage"),
+        *key, "n_windows", share.alias("coverage"),
         F.coalesce("n_slots", none).alias("n_slots"), F.coalesce("n_changed", none).alias("n_changed"),
         F.coalesce(F.try_divide("n_agreed", "n_tested"), F.lit(1.0)).alias("consistency"),
     )
-    out = out.where(((F.col("coverage") >= COVERAGE) | (F.col("n_windows") >= RUN)) & (F.col("consistency") >= CONSISTENT))
+    excerpt = (F.col("occ.level") == 3) & (F.col("n_windows") >= max(1, VERBATIM - window + 1))
+    out = out.where(((F.col("coverage") >= COVERAGE) | (F.col("n_windows") >= RUN) | excerpt) & (F.col("consistency") >= CONSISTENT))
     best = F.max(F.struct("coverage", "consistency", (-F.col("n_changed")).alias("same"), "n_windows", "n_slots", "n_changed")).alias("b")
     out = out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", *[f"b.{c}" for c in ("n_windows", "coverage", "n_slots", "n_changed", "consistency")])
     return out.withColumn("kind", F.when(F.col("n_changed") > 0, "reparameterised").otherwise("verbatim"))

@@ -41,6 +41,22 @@ def test_occurrences(spark):
     assert all(r.consistency == 1 for k, r in got.items() if k[0] != 23)
 
 
+def test_few_literals_and_excerpts(spark):
+    """Copies of items that hold hardly any literal token, of very short ones, and excerpts below half of an item."""
+    words = [f"{a}{b}" for a in ("ba", "co", "du", "fe", "gi", "ho") for b in ("lar", "men", "nit", "pol", "ras", "sud", "tek", "vun", "wim", "zor")]
+    long = " ".join(words)  # 60 tokens
+    dense = "Total due 12 34 56 78 91 23 45 67 89 10 11 13 14 15 16 17 18 19 20 21"
+    items = [(1, "What is 12 + 30 * 4 - 7?"), (2, "why is that"), (3, long), (4, dense), (5, "zyzzyva"), (6, "!!!")]
+    docs = [
+        (30, "Now: What is 12 + 30 * 4 - 7? Well"), (31, "Now: What is 12 + 30 * 4 - 8? Well"), (32, "ask him why is that so"), (33, "why that is"),
+        (34, "one two " + " ".join(words[20:50]) + " end"), (35, " ".join(words[20:32]) + " end"), (36, f"see {dense} there"),
+        (37, "see " + dense.replace("1", "9") + " there"), (38, "A Zyzzyva! !!!"),
+    ]
+    found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(30, 1), (32, 2), (34, 3), (36, 4), (38, 5)}
+    assert all(r.kind == "verbatim" and r.consistency == 1 for r in found)
+
+
 def test_benchmark_passages(spark, sf, texts):
     bench = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     words = lambda t: re.findall(r"\w+", t.lower())
