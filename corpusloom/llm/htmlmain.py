@@ -8,7 +8,10 @@ elements at the first of these paths that it has text at. A page with none of th
 best container.
 
 Left out everywhere: menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, comments of readers, hidden elements. Character references are decoded, white space inside
+styles, comments of readers, hidden elements. A class or id drops an element if it says nothing but
+boilerplate ('cookie-notice'), a class also if a part of it never means content ('td-sidebar'). Names that
+content has as well ('discussion', 'related-work') drop an element only if at least ``LINKED`` of its text is
+links; headings, paragraphs and list items are never dropped by name. Character references are decoded, white space inside
 a block becomes one space (a line break element counts as white space), and blocks are joined by a
 newline in page order.
 
@@ -40,6 +43,13 @@ SKIP = frozenset("head nav aside footer form dialog button select menu object au
 SKIP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert newsletter subscribe subscription signup login paywall popup modal overlay sidebar sidenav aside rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments disqus replies respond discussion share sharing social related recommended widget widgets hidden skip".split()
 )
+#: Of these, what a class never says of content in any compound, and what sections of content are called too.
+SURE_WORDS = frozenset("adsense adbox advert adverts advertisement advertisements gdpr newsletter paywall popup sidebar sidenav nav navbar navigation breadcrumb breadcrumbs pagination footer masthead topbar disqus".split())
+DOUBTFUL_WORDS = frozenset("discussion related share sharing social promotion recommended subscription consent rail aside skip notice alert menu".split())
+#: What compounds of boilerplate names hold besides.
+FILLERS = frozenset("area articles bar block bottom box button buttons container content foot form global group icons inner items left links list main message outer page panel posts primary region right secondary section site slot stories text thread top unit wrap wrapper".split())
+UNNAMED = frozenset("h1 h2 h3 h4 h5 h6 p li".split())
+LINKED = 0.3
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 #: A new element of the first kind ends an open one of the second.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -68,7 +78,29 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): htmllib.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)}
 
 
-def _skipped(tag: str, attrs: dict[str, str], inside: bool) -> bool:
+def _named(tag: str, attrs: dict[str, str], inside: bool) -> bool | None:
+    """Whether the names mean boilerplate; None: if links confirm it."""
+    if tag in UNNAMED:
+        return False
+    doubt = False
+    for kind in ("class", "id"):
+        for name in attrs.get(kind, "").lower().split():
+            parts = [n for n in _PART.split(name) if n]
+            hits = [n for n in parts if n in SKIP_WORDS or n == "header" and not inside]
+            if not hits:
+                continue
+            only = all(n in FILLERS or n in hits for n in parts)
+            # one doubtful word alone is a notice or menu as a class, but may be a section's name
+            clear = any(n not in DOUBTFUL_WORDS for n in hits) or len(parts) > 1 or kind == "class" and name in ("alert", "notice", "menu", "aside", "skip")
+            if only and clear and not (kind == "id" and tag == "section"):
+                return True
+            if kind == "class" and any(n in SURE_WORDS for n in hits):
+                return True
+            doubt = True
+    return None if doubt else False
+
+
+def _skipped(tag: str, attrs: dict[str, str], inside: bool) -> bool | None:
     if tag in SKIP or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in SKIP_ROLES:
         return True
     if tag == "header":
@@ -77,8 +109,22 @@ def _skipped(tag: str, attrs: dict[str, str], inside: bool) -> bool:
         return False
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
         return True
-    names = _PART.split(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
-    return any(n in SKIP_WORDS or n == "header" and not inside for n in names)
+    return _named(tag, attrs, inside)
+
+
+def _settle(elements: list[Element], pieces: list[tuple[Element, str | None]], doubtful: list[Element]) -> list[tuple[Element, str | None]]:
+    """Drops the doubtful elements that are mostly links, with all that is in them; the pieces that are left."""
+    total = {id(e): [e.text, e.link] for e in elements}
+    for e in reversed(elements):  # parents come before their children
+        if e.parent is not None and (above := total.get(id(e.parent))):
+            above[0] += total[id(e)][0]
+            above[1] += total[id(e)][1]
+    for e in doubtful:
+        text, link = total[id(e)]
+        e.skip = e.skip or link > 0 and link >= LINKED * (text + link)
+    for e in elements:
+        e.skip = e.skip or e.parent is not None and e.parent.skip
+    return [(e, piece) for e, piece in pieces if piece is None or not e.skip]
 
 
 def _step(tag: str, attrs: dict[str, str]) -> str:
@@ -90,6 +136,7 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str | None]]]:
     """Elements, and the visible text in page order: (element, piece), a piece of None is a block border."""
     root = Element("", "", None, False, False)
     elements, pieces, stack, at = [root], [], [root], 0
+    doubtful = []
     links = 0
 
     def text(raw: str) -> None:
@@ -153,6 +200,7 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str | None]]]:
             continue
         attrs = _attributes(m["attrs"][:-1]) if len(m["attrs"]) > 1 else {}
         skip = top.skip or _skipped(tag, attrs, top.inside)
+        doubt, skip = skip is None, bool(skip)
         if tag in BLOCKS:
             pieces.append((top, None))
         if tag in RAW:
@@ -165,11 +213,13 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str | None]]]:
         path = top.path if tag in ("html", "body") or len(stack) > 64 else f"{top.path}>{_step(tag, attrs)}"
         own = Element(tag, path, top, skip, top.inside or tag in ("article", "main"))
         elements.append(own)
+        if doubt:
+            doubtful.append(own)
         stack.append(own)
         links += tag == "a"
     if at < len(page):
         text(page[at:])
-    return elements, pieces
+    return elements, _settle(elements, pieces, doubtful) if doubtful else pieces
 
 
 def best_container(elements: list[Element]) -> Element:

@@ -18,6 +18,22 @@ def test_blocks_and_boilerplate():
     assert htmlmain.vote(PAGE) == ">article"
 
 
+def test_names_in_content():
+    """Sections, headings and items of an article whose names hold a word that boilerplate has too."""
+    kept = (
+        "<h2 id='related-work'>Work</h2><section id='discussion'><p>We discuss it.</p></section><section class='discussion'><p>Again.</p></section><h2 id='ad-hoc-networks'>Nets</h2>"
+        "<p class='alert alert-info'>Mind this.</p><div class='share-price'>12.50</div><ul><li class='menu-item'>Soup</ul><section id='comments'><p>Our remarks.</p></section>"
+    )
+    gone = (
+        "<div class='related'><a href=/1>Read one</a> <a href=/2>Read two</a></div><div id='sidebar'>Side</div><div class='td-sidebar'>Side</div><div class='site-footer'>Foot</div>"
+        "<div class='cookie-notice'>Cookies</div><div class='comments'>Reader</div><div class='social-share'>Tweet</div><div id='related-work'><a href=/3>More</a></div>"
+    )
+    for tag in ("article", "div class=text"):
+        page = f"<body><{tag}><p>Begin here.</p>{kept}{gone}<p>The end.</p></{tag.split()[0]}></body>"
+        want = "Begin here.\nWork\nWe discuss it.\nAgain.\nNets\nMind this.\n12.50\nSoup\nOur remarks.\nThe end."
+        assert htmlmain.main_text(page, [">article" if tag == "article" else ">div.text"]) == want
+
+
 def test_odd_html():
     for page in (None, "", "<", "<div", "plain & simple", "<p>a<p>b", "</p></div>", "<a href='x>y", "<script>never ends", "<!-- never ends", '<p class="x>y</p>'):
         assert isinstance(htmlmain.main_text(page, []), str)
