@@ -1,37 +1,47 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become sequences of tokens in which numbers, names and units are typed placeholders: a number
-has digits or is a number word; a name is capitalised and does not begin a sentence or line; a unit
-is a unit word right behind a number. Windows of ``WINDOW`` template tokens of documents and
-benchmark items are joined on their 64-bit hashes. Within an occurrence of an item in a document, slot
-values that align in joined windows must map consistently: one value of the item to one of the document
-and back. An occurrence contaminates if joined windows cover at least ``COVERAGE`` of the item's
-windows, or ``RUN`` of them, and at least ``CONSISTENT`` of the slots whose values recur agree; so a
-question with other numbers and names is caught, and chance matches of bare templates are not.
-
-Windows of fewer than ``LITERALS`` literal tokens, and items of fewer than ``MIN_TOKENS`` tokens, say
-nothing as templates: they are joined on the hash of their own tokens (lower-cased, letters and digits),
-so copies of short items and of windows full of numbers and names match. Coverage is the higher one of
-template windows alone and of all windows. An unbroken run of ``VERBATIM`` equal tokens contaminates too.
+has digits or is a number word; a unit is a unit word right behind a number; a name is capitalised.
+At the start of a sentence or line a capital says little: there a word is a name unless it is common
+in lower case, that is, found so in at least ``COMMON`` of all documents and items (counted in Spark).
+
+Windows of ``WINDOW`` tokens are read in two ways, as templates and by their own tokens (lower-cased,
+letters and digits), and those of documents and benchmark items are joined on their 64-bit hashes.
+Within an occurrence of an item in a document, slot values that align in joined windows must map
+consistently: one value of the item to one of the document and, but for numbers, back. An occurrence contaminates if
+joined windows cover at least ``COVERAGE`` of the item's windows, or ``RUN`` of them, and at least
+``CONSISTENT`` of the slots whose values recur agree; so a question with other numbers and names is
+caught, and chance matches of bare templates are not. An unbroken run of ``VERBATIM`` equal tokens
+contaminates too.
+
+Templates of windows with fewer than ``LITERALS`` literal tokens, and of items with fewer than
+``MIN_TOKENS`` tokens, say nothing; such windows match by their own tokens only, so copies of short
+items and of windows full of numbers and names match. Coverage is the higher one of template windows
+alone and of all windows.
 
 Occurrences are the diagonals (place in the document less place in the item) of joined windows, the
 groups of diagonals less than half an item's length apart (insertions move the diagonal), and all of a
 document's joined windows of the item together (excerpts far apart). One that passes is enough; a row
 gives the figures of the one with the highest coverage, then consistency, then fewest changed values.
 
-Before the join a bit table of the benchmark's window hashes, of a fixed number of bits whatever
-the benchmark's size, drops the windows of documents that can't match. What passes is joined in
-Spark, so the benchmark may be of any size.
-
-Null and empty texts have no windows; items shorter than a window are one window of their own
-length, so a copy of even a one-word item is reported. Repeated items count as one per id, repeated documents give one row per id and item. Null
-ids are reported as null. Empty tables give empty results. Other columns are ignored.
+Before the join a bit table of the benchmark's window hashes, ``BITS_EACH`` bits a window (at most
+2 ** ``MOST_BITS``, beyond which more pass), drops windows of documents that can't match. What passes
+is joined in Spark, so the benchmark may be of any size; hashes that very many documents have are
+dealt to several tasks. Python works on a batch of texts at a time.
+
+Documents and items are told apart by their texts, never by ids: rows of one text share a decision,
+rows that share an id (or have none) are decided each by its own text. Null and empty texts have no
+windows; items shorter than a window are one window of their own length, so a copy of even a one-word
+item is reported. Results have one row per doc_id and item_id, the best of the texts under these ids;
+null ids are reported as null. Empty tables give empty results. Other columns are ignored, and kept
+by ``decontaminated`` whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +49,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import digest, small_batches, trim, written
 
 WINDOW, COVERAGE, RUN, CONSISTENT = 8, 0.5, 24, 0.8
-TABLE_BITS = 24
+#: Share of all texts that have a common word in lower case. The words are broadcast: at most 1 / COMMON times the
+#: mean number of distinct words a text has, however many texts there are.
+COMMON = 0.001
+BITS_EACH, MOST_BITS = 64, 29
 #: Fewest literal tokens in a window, and fewest tokens of an item, whose template can be told from chance.
 LITERALS, MIN_TOKENS = 4, 5
 #: Tokens of an excerpt that is reported at any coverage.
 VERBATIM = 13
+#: Document windows of one hash that a task joins.
+HOT = 20_000
 
 # Number words and units (English, German, French, Spanish).
 NUMBER_WORDS = frozenset(
@@ -55,160 +70,238 @@ NUMBER_WORDS = frozenset(
 UNITS = frozenset(
     "km m cm mm kg g mg lb lbs oz l ml mile miles meter meters metre metres inch inches foot feet yard yards gram grams liter liters litre litres pound pounds ounce ounces hour hours hr hrs minute minutes min second seconds sec day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees volt volts watt watts mph kmh stunde stunden tag tage jahr jahre heure heures jour jours an ans hora horas día días año años".split()
 )
-_FLAGS = np.uint64(15)
+_FLAGS = np.uint64(63)
+_CAPITAL, _ENDS, _NUMBER, _UNIT, _USUAL, _BORDER = 1, 2, 4, 8, 16, 32
 NUM, NAME, UNIT = (np.uint64(xxhash.xxh3_64_intdigest(x)) & ~_FLAGS for x in (b"<num>", b"<name>", b"<unit>"))
-_GLUED = re.compile(r"(?<=\d)(km|kg|cm|mm|mg|ml|lbs?|oz|m|g|l|hrs?|min|sec|mph|%)(?![\w])")
-_LINE = b" \x01 "
-_CACHE = 300_000
-_CAPITAL, _ENDS, _NUMBER, _UNIT = 1, 2, 4, 8
-
-
-def _token(raw: bytes) -> int:
-    if raw == b"\x01":
-        return _ENDS
-    text = raw.decode("utf-8", "replace")
-    core = "".join(c for c in text if c.isalnum())
-    ends = _ENDS if text.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":", "…") else 0
-    if not core:
-        return ends
-    low = core.lower()
-    if any(c.isdigit() for c in core) and sum(c.isdigit() for c in core) * 2 >= len(core) or low in NUMBER_WORDS:
-        return xxhash.xxh3_64_intdigest(low.encode()) & ~15 | ends | _NUMBER
-    capital = _CAPITAL if core[0].isupper() and core[1:].islower() else 0
-    return xxhash.xxh3_64_intdigest(low.encode()) & ~15 | ends | capital | (_UNIT if low in UNITS else 0)
-
-
-class _Tokens(dict):
+_GLUED = re.compile(r"(\d)(km|kg|cm|mm|mg|ml|lbs?|oz|m|g|l|hrs?|min|sec|mph|%)(?![\w])")
+_LINE, _TEXT = b" \x01 ", " \x02 "
+_LETTERS = re.compile(r"[^\W\d_]+")
+_CHUNK = 1 << 20
+
+
+class Lookup(dict):
     """By raw token: its hash (0: no word) with flags in the low bits; worked out when it first comes up."""
 
+    def __init__(self, common: frozenset[str] = frozenset()) -> None:
+        self.common = common
+        self[b"\x01"], self[b"\x02"] = _ENDS, _ENDS | _BORDER
+
     def __missing__(self, raw: bytes) -> int:
-        code = self[raw] = _token(raw)
+        code = self[raw] = self._token(raw.decode("utf-8", "replace"))
         return code
 
-
-_known = _Tokens()
-
-
-def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, Callable[[int], bytes]]:
-    """Template hashes, whether each is a slot, and the raw token at a place, of the tokens that have a word."""
-    code, slot, raw, _ = tokens(text)
-    return code, slot, raw
-
-
-def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray, Callable[[int], bytes], np.ndarray]:
-    """What ``canonical`` gives, and the hashes of the tokens themselves."""
-    text = text or ""
-    if any(c in text for c in "0123456789"):
-        text = _GLUED.sub(r" \1", text)
-    words = text.encode("utf-8", "surrogatepass").replace(b"\n", _LINE).split()
-    if not words:
-        return np.empty(0, np.uint64), np.empty(0, bool), words.__getitem__, np.empty(0, np.uint64)
-    if len(_known) > _CACHE:
-        _known.clear()
-    code = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
-    flag = (code & _FLAGS).astype(np.uint8)
-    code &= ~_FLAGS
-    # punctuation alone neither is a token nor hides a sentence's end
-    keep = np.flatnonzero(code)
-    ends = np.cumsum(flag & _ENDS)[keep]  # ends up to and with each token
-    code, own = code[keep], flag[keep]
-    begins = np.ones(len(keep), bool)
-    begins[1:] = ends[1:] - (own[1:] & _ENDS) > ends[:-1] - (own[:-1] & _ENDS)
-    name = ((own & _CAPITAL) > 0) & ~begins
-    number = (own & _NUMBER) > 0
-    unit = (own & _UNIT) > 0
-    unit[1:] &= number[:-1]
-    unit[:1] = False
-    own = code.copy()
-    code[name], code[number], code[unit] = NAME, NUM, UNIT
-    return code, name | number | unit, lambda k: words[keep[k]], own
+    def _token(self, text: str) -> int:
+        core = "".join(c for c in text if c.isalnum())
+        ends = _ENDS if text.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":", "…") else 0
+        if not core:
+            return ends
+        low = core.lower()
+        if any(c.isdigit() for c in core) and sum(c.isdigit() for c in core) * 2 >= len(core) or low in NUMBER_WORDS:
+            return xxhash.xxh3_64_intdigest(low.encode()) & ~63 | ends | _NUMBER
+        capital = usual = 0
+        if core[0].isupper() and core[1:].islower():
+            capital = _CAPITAL
+            usual = _USUAL if (m := _LETTERS.search(text)) and m[0].lower() in self.common else 0
+        return xxhash.xxh3_64_intdigest(low.encode()) & ~63 | ends | capital | usual | (_UNIT if low in UNITS else 0)
+
+
+class Tokens:
+    """The tokens that have a word of several texts: template code, whether a slot, own hash, and the text of each."""
+
+    def __init__(self, texts: list[str | None], known: Lookup) -> None:
+        joined = _TEXT.join(t.replace("\x02", " ") if t and "\x02" in t else t or "" for t in texts)
+        joined = _GLUED.sub(r"\1 \2", joined)
+        self.words = words = joined.encode("utf-8", "surrogatepass").replace(b"\n", _LINE).split()
+        code = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        flag = (code & _FLAGS).astype(np.uint8)
+        code &= ~_FLAGS
+        # punctuation alone neither is a token nor hides a sentence's end
+        self.keep = keep = np.flatnonzero(code)
+        ends = np.cumsum((flag & _ENDS) > 0)[keep]  # ends up to and with each token
+        self.text = np.cumsum((flag & _BORDER) > 0)[keep]
+        self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
+        code, own = code[keep], flag[keep]
+        before = ends - ((own & _ENDS) > 0)
+        begins = np.ones(len(keep), bool)
+        begins[1:] = before[1:] > before[:-1]
+        name = ((own & _CAPITAL) > 0) & ~(begins & ((own & _USUAL) > 0))
+        number = (own & _NUMBER) > 0
+        unit = (own & _UNIT) > 0
+        unit[1:] &= number[:-1] & (self.text[1:] == self.text[:-1])
+        unit[:1] = False
+        self.own = code.copy()
+        code[name], code[number], code[unit] = NAME, NUM, UNIT
+        self.code, self.slot = code, name | number | unit
+
+    def raw(self, k: int) -> bytes:
+        return self.words[self.keep[k]]
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Template hashes, own hashes, and 0 / 1 / 2 by start: crosses texts / own tokens only / template as well."""
+        n = max(0, len(self.code) - size + 1)
+        within = self.text[:n] == self.text[size - 1 : size - 1 + n]
+        literal = np.concatenate([[0], np.cumsum(~self.slot)])
+        enough = (literal[size : size + n] - literal[:n] >= LITERALS) & (size >= MIN_TOKENS)
+        return _hashed(self.code, n, size, size), _hashed(self.own, n, size, size + (1 << 32)), within.astype(np.int8) * (1 + enough)
+
+
+def _hashed(code: np.ndarray, n: int, size: int, start: int) -> np.ndarray:
+    x = np.full(n, start, np.uint64)
+    for k in range(size):
+        x = (x ^ code[k : n + k]) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+    return x
 
 
 def _value(raw: bytes) -> str:
     return "".join(c for c in raw.decode("utf-8", "replace").lower() if c.isalnum())
 
 
-def window_hashes(code: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows, and which have enough literal tokens."""
-    n = len(code) - size + 1
-    if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, bool)
-    x = np.full(n, size, np.uint64)
-    for k in range(size):
-        x = (x ^ code[k : n + k]) * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(29)
-    literal = np.concatenate([[0], np.cumsum(~slot)])
-    return x, (literal[size:] - literal[:-size] >= min(LITERALS, size)) & (size >= MIN_TOKENS)
+class BitTable:
+    """Whether hashes may be among the benchmark's: two places of each, in a table of 2 ** bits bits."""
 
+    def __init__(self, bits: int, places: np.ndarray) -> None:
+        self.bits = bits
+        self.packed = np.zeros(1 << bits - 3, np.uint8)
+        np.bitwise_or.at(self.packed, places >> 3, np.left_shift(np.uint8(1), (places & 7).astype(np.uint8)))
 
-def own_hashes(own: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of the windows at some places by their own tokens; they start unlike those of templates."""
-    x = np.full(len(places), size + (1 << 32), np.uint64)
-    for k in range(size):
-        x = (x ^ own[places + k]) * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(29)
-    return x
+    @classmethod
+    def of(cls, windows: DataFrame) -> BitTable:
+        bits = min(MOST_BITS, max(10, math.ceil(math.log2(BITS_EACH * max(1, windows.count())))))
+        place = lambda h: F.shiftrightunsigned(h, 64 - bits)
+        # at most two places a window, and at most 2 ** MOST_BITS
+        found = windows.select(F.explode(F.array(place(F.col("hash")), place(F.shiftleft("hash", 32)))).alias("k")).distinct()
+        return cls(bits, found.toArrow().column(0).to_numpy())
 
+    def _has(self, places: np.ndarray) -> np.ndarray:
+        places = places.astype(np.int64)
+        return (self.packed[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)
 
-def _rows(ids: list, starts: list, hashes: list, slots: list, sizes: list, widths: list, exact: list, lengths: list, id_name: str) -> pa.RecordBatch:
-    return pa.record_batch(
-        [pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(hashes, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(sizes, pa.int32()), pa.array(widths, pa.int32()), pa.array(exact, pa.bool_()), pa.array(lengths, pa.int32())],
-        names=[id_name, "at", "hash", "slots", "of", "width", "exact", "tokens"],
-    )
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes that may be among them."""
+        shift = np.uint64(64 - self.bits)
+        k = np.flatnonzero(self._has(hashes >> shift))
+        return k[self._has(hashes[k] << np.uint64(32) >> shift)]
 
 
-def _windows_of(batch: pa.RecordBatch, id_name: str, size_of, passes) -> pa.RecordBatch:  # noqa: ANN001
-    ids, starts, hashes, slots, sizes, widths, exact, lengths = [], [], [], [], [], [], [], []
-    for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-        code, slot, raw, own = tokens(text.as_py())
-        for size in size_of(len(code)):
-            h, enough = window_hashes(code, slot, size)
-            poor = np.flatnonzero(~enough)
-            if len(poor):
-                h[poor] = own_hashes(own, poor, size)
-            total = len(h) - len(poor)
-            for at in np.flatnonzero(passes(h)).tolist():
-                ids.append(key)
-                starts.append(at)
-                hashes.append(int(h[at].view(np.int64)))
-                slots.append([f"{k}:{_value(raw(at + k))}" for k in np.flatnonzero(slot[at : at + size]).tolist()])
-                sizes.append(total)
-                widths.append(size)
-                exact.append(not enough[at])
-                lengths.append(len(code))
-    return _rows(ids, starts, hashes, slots, sizes, widths, exact, lengths, id_name)
+def common_words(docs: DataFrame, benchmark: DataFrame, share: float = COMMON) -> frozenset[str]:
+    """Words found in lower case in at least ``share`` of all texts."""
+    texts = docs.select("text").unionByName(benchmark.select("text"))
+    words = texts.select(F.explode(F.array_distinct(F.split("text", r"[^\p{L}]+"))).alias("word")).where("word <> '' and lower(word) = word")
+    often = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(1, math.ceil(share * texts.count())))
+    return frozenset(often.select("word").toArrow().column(0).to_pylist())
 
 
-LEVELS = "array<struct<level:int,k:bigint>>"
-_SCHEMA = "{} long, at int, hash long, slots array<string>, of int, width int, exact boolean, tokens int"
+def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about _CHUNK characters; a longer one is alone."""
+    start = size = 0
+    for k, t in enumerate(texts):
+        n = len(t or "")
+        if k > start and size + n > _CHUNK:
+            yield start, k
+            start, size = k, 0
+        size += n
+    if texts:
+        yield start, len(texts)
+
+
+def _slots(tokens: Tokens, at: int, size: int) -> list[str]:
+    return [f"{k}:{_value(tokens.raw(at + k))}" for k in np.flatnonzero(tokens.slot[at : at + size]).tolist()]
+
 
+def benchmark_windows(benchmark: DataFrame, common: frozenset[str] = frozenset(), window: int = WINDOW) -> DataFrame:
+    """item (digest), at, hash, exact, slots, of, width, tokens; both readings of every window of every distinct item text."""
+    spark = benchmark.sparkSession
+    shared = spark.sparkContext.broadcast(common)
 
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Lookup(shared.value)
         for batch in batches:
-            yield _windows_of(batch, "item_id", lambda n: [min(window, n)] if n else [], lambda h: np.ones(len(h), bool))
+            rows = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                tokens = Tokens([text.as_py()], known)
+                if not (n := len(tokens.code)):
+                    continue
+                size = min(window, n)
+                template, own, kind = tokens.windows(size)
+                of = int((kind == 2).sum())
+                for at in range(len(own)):
+                    slots = _slots(tokens, at, size)
+                    if kind[at] == 2:
+                        rows.append((key, at, int(template[at].view(np.int64)), False, slots, of, size, n))
+                    rows.append((key, at, int(own[at].view(np.int64)), True, slots, of, size, n))
+            yield _batch(rows, ("item", *_SHAPE, "of", "width", "tokens"))
 
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, _SCHEMA.format("item_id"))
+    return benchmark.select(digest().alias("item"), "text").distinct().mapInArrow(run, _ITEM_SCHEMA)
 
 
-def _bit_table(windows: DataFrame) -> np.ndarray:
-    """Bits of the hashes, packed. Distinct places are collected: at most 2 ** TABLE_BITS, however large the benchmark is."""
-    bits = np.zeros(1 << TABLE_BITS, bool)
-    bits[windows.select(F.shiftrightunsigned("hash", 64 - TABLE_BITS).alias("k")).distinct().toPandas()["k"].to_numpy(dtype=np.int64)] = True
-    return np.packbits(bits)
+_SHAPE = ("at", "hash", "exact", "slots")
+_TYPES = {"item": pa.string(), "text": pa.string(), "at": pa.int32(), "hash": pa.int64(), "exact": pa.bool_(), "slots": pa.list_(pa.string()), "of": pa.int32(), "width": pa.int32(), "tokens": pa.int32()}
+_ITEM_SCHEMA = "item string, at int, hash long, exact boolean, slots array<string>, of int, width int, tokens int"
+
+
+def _batch(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[] for _ in names]
+    return pa.record_batch([pa.array(list(c), _TYPES[n]) for n, c in zip(names, columns)], names=list(names))
+
+
+def document_windows(docs: DataFrame, table: BitTable, widths: list[int], common: frozenset[str]) -> DataFrame:
+    """doc_id, text (digest), at, hash, exact, slots of the documents' windows that the table lets pass."""
+    shared = docs.sparkSession.sparkContext.broadcast((table, common))
+    kind_of_id = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes, usual = shared.value
+        known = Lookup(usual)
+        for batch in batches:
+            keys, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            rows, at_row = [], []
+            for low, high in _chunks(texts):
+                tokens = Tokens(texts[low:high], known)
+                for size in widths:
+                    template, own, kind = tokens.windows(size)
+                    for exact, hashes in ((False, template), (True, own)):
+                        able = np.flatnonzero(kind > 0 if exact else kind > 1)
+                        for at in able[passes(hashes[able])].tolist():
+                            k = int(tokens.text[at])
+                            rows.append((keys[low + k], at - int(tokens.first[k]), int(hashes[at].view(np.int64)), exact, [] if exact else _slots(tokens, at, size)))
+                            at_row.append(low + k)
+            out = _batch(rows, ("text", *_SHAPE))
+            ids = batch.column(0).take(pa.array(at_row, pa.int64()))
+            yield pa.record_batch([ids, *out.columns], names=["doc_id", *out.schema.names])
+        del known
+        trim()
+
+    texts = docs.select("doc_id", digest().alias("digest"), "text")
+    return texts.mapInArrow(run, f"doc_id {kind_of_id}, text string, at int, hash long, exact boolean, slots array<string>")
+
+
+def _met(found: DataFrame, items: DataFrame) -> DataFrame:
+    """Pairs of equal hashes; a hash that very many documents have is dealt to several tasks."""
+    often = found.groupBy("hash").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = found.join(often, "hash", "left").withColumn("part", F.pmod(F.xxhash64("text", "at"), parts).cast("int")).drop("parts")
+    named = items.select("hash", "exact", "item", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("of").alias("item_of"), F.col("tokens").alias("item_tokens"), F.col("width").alias("item_width"))
+    spread = named.join(often, "hash", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    met = dealt.join(spread, ["hash", "exact", "part"])
+    # equal tokens have equal values
+    return met.withColumn("slots", F.when(F.col("exact"), F.col("item_slots")).otherwise(F.col("slots"))).drop("hash", "part")
+
+
+LEVELS = "array<struct<level:int,k:bigint>>"
 
 
 def _occurrences(met: DataFrame) -> DataFrame:
     """Joined windows once per occurrence (``occ``) they belong to: diagonal, its neighbours, all together, run of equal tokens."""
     met = met.distinct().withColumn("line", F.col("at") - F.col("item_at"))
-    along = Window.partitionBy("doc_id", "item_id").orderBy("line")
-    whole = Window.partitionBy("doc_id", "item_id")
+    along = Window.partitionBy("text", "item").orderBy("line")
+    whole = Window.partitionBy("text", "item")
     apart = F.col("line") - F.lag("line").over(along) > F.greatest(F.lit(1), F.col("item_tokens") / 2)
     met = met.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int"))
     met = met.withColumn("near", F.sum("apart").over(along.rangeBetween(Window.unboundedPreceding, 0)))
     met = met.withColumn("several", F.min("line").over(whole) < F.max("line").over(whole))
     met = met.withColumn("equal", F.col("slots") == F.col("item_slots"))
-    run = F.dense_rank().over(Window.partitionBy("doc_id", "item_id", "line", "equal").orderBy("at"))
+    run = F.dense_rank().over(Window.partitionBy("text", "item", "line", "equal").orderBy("at"))
     met = met.withColumn("run", F.col("at") - run)
     occ = lambda level, k: F.struct(F.lit(level).alias("level"), k.cast("long").alias("k"))
     own = F.array(occ(0, F.col("line")))
@@ -217,24 +310,15 @@ def _occurrences(met: DataFrame) -> DataFrame:
     return met.withColumn("occ", F.explode(F.concat(own, wider, equal))).drop("line", "apart", "near", "several", "equal", "run")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, item_id, n_windows, coverage, n_slots, n_changed, consistency, kind of every contamination."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    items = written(benchmark_windows(benchmark, window).dropDuplicates(["item_id", "at", "hash"]), "bench-windows")
+def _matches(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """The passing pairs of texts and items by digest, with their figures; and doc_id, text of documents with joined windows."""
+    small_batches(docs.sparkSession)
+    common = common_words(docs, benchmark)
+    items = written(benchmark_windows(benchmark, common, window), "bench-windows")
     widths = sorted(r.width for r in items.select("width").distinct().collect())  # from 1 to window
-    shared = spark.sparkContext.broadcast(_bit_table(items))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(shared.value).astype(bool)
-        shift = np.uint64(64 - TABLE_BITS)
-        for batch in batches:
-            yield _windows_of(batch, "doc_id", lambda n: [k for k in widths if k <= n], lambda h: table[h >> shift] if len(h) else np.empty(0, bool))
-
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA.format("doc_id"))
-    met = found.join(items.select("item_id", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), F.col("of").alias("item_of"), F.col("tokens").alias("item_tokens"), F.col("width").alias("item_width")), "hash")
-    met = written(_occurrences(met.select("doc_id", "item_id", "at", "item_at", "item_of", "item_tokens", "item_width", "exact", "slots", "item_slots")), "bench-met")
-    key = ("doc_id", "item_id", "occ")
+    found = written(document_windows(docs, BitTable.of(items), widths, common), "bench-found")
+    met = written(_occurrences(_met(found.drop("doc_id").distinct(), items)), "bench-met")
+    key = ("text", "item", "occ")
     cover = met.groupBy(*key).agg(
         F.countDistinct("item_at").alias("n_windows"),
         F.countDistinct(F.when(~F.col("exact"), F.col("item_at"))).alias("n_templates"),
@@ -255,32 +339,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     # of the values that one maps to, in either direction, the most frequent is taken as its mapping
     top = mapped.groupBy(*key, "iv").agg(F.max_by("dv", F.struct("n", "dv")).alias("to"), F.sum("n").alias("n_iv"))
     back = mapped.groupBy(*key, "dv").agg(F.max_by("iv", F.struct("n", "iv")).alias("from"), F.sum("n").alias("n_dv"))
-    same = lambda a, b, on: [a[c].eqNullSafe(b[c]) for c in on]
-    m = mapped.join(top, same(mapped, top, (*key, "iv"))).select(mapped["*"], top["to"], top["n_iv"])
-    m = m.join(back, same(m, back, (*key, "dv"))).select(m["*"], back["from"], back["n_dv"])
-    # a value met once, on either side, can't contradict itself
-    tested = (F.col("n_iv") > 1) | (F.col("n_dv") > 1)
+    m = mapped.join(top, [*key, "iv"]).join(back, [*key, "dv"])
+    # a value met once can't contradict itself; two numbers of an item may happen to be one in the document
+    shared = (F.col("n_dv") > 1) & ~F.col("dv").rlike("[0-9]")
+    tested = (F.col("n_iv") > 1) | shared
+    agrees = (F.col("to") == F.col("dv")) & (~shared | (F.col("from") == F.col("iv")))
     agreed = m.groupBy(*key).agg(
         F.sum("n").alias("n_slots"),
         F.sum(F.when(tested, F.col("n")).otherwise(0)).alias("n_tested"),
-        F.sum(F.when(tested & (F.col("to") == F.col("dv")) & (F.col("from") == F.col("iv")), F.col("n")).otherwise(0)).alias("n_agreed"),
+        F.sum(F.when(tested & agrees, F.col("n")).otherwise(0)).alias("n_agreed"),
         F.sum(F.when(F.col("iv") != F.col("dv"), F.col("n")).otherwise(0)).alias("n_changed"),
     )
-    both = cover.join(agreed, same(cover, agreed, key), "left").select(cover["*"], "n_slots", "n_tested", "n_agreed", "n_changed")
     none = F.lit(0).cast("long")
-    out = both.select(
+    out = cover.join(agreed, [*key], "left").select(
         *key, "n_windows", share.alias("coverage"),
         F.coalesce("n_slots", none).alias("n_slots"), F.coalesce("n_changed", none).alias("n_changed"),
         F.coalesce(F.try_divide("n_agreed", "n_tested"), F.lit(1.0)).alias("consistency"),
     )
     excerpt = (F.col("occ.level") == 3) & (F.col("n_windows") >= max(1, VERBATIM - window + 1))
     out = out.where(((F.col("coverage") >= COVERAGE) | (F.col("n_windows") >= RUN) | excerpt) & (F.col("consistency") >= CONSISTENT))
-    best = F.max(F.struct("coverage", "consistency", (-F.col("n_changed")).alias("same"), "n_windows", "n_slots", "n_changed")).alias("b")
-    out = out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", *[f"b.{c}" for c in ("n_windows", "coverage", "n_slots", "n_changed", "consistency")])
+    best = F.max(F.struct("coverage", "consistency", (-F.col("n_changed")).alias("same"), "n_windows", "n_slots", "n_changed")).alias("best")
+    return written(out.groupBy("text", "item").agg(best), "bench-pairs"), found.select("doc_id", "text").distinct()
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, item_id, n_windows, coverage, n_slots, n_changed, consistency, kind of every contamination."""
+    pairs, ids = _matches(docs, benchmark, window)
+    named = benchmark.select("item_id", digest().alias("item")).distinct()
+    rows = ids.join(pairs, "text").join(named, "item").groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
+    out = rows.select("doc_id", "item_id", *[f"best.{c}" for c in ("n_windows", "coverage", "n_slots", "n_changed", "consistency")])
     return out.withColumn("kind", F.when(F.col("n_changed") > 0, "reparameterised").otherwise("verbatim"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that no benchmark item contaminates; rows with null ids stay."""
-    hit = written(contaminated(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct(), "bench-hits")
-    return docs.join(hit, docs["doc_id"] == hit["_hit"], "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents that no benchmark item contaminates, each decided by its own text; columns are untouched."""
+    pairs, _ = _matches(docs, benchmark, window)
+    hit = pairs.select(F.col("text").alias("hit")).distinct()
+    return docs.join(hit, F.md5(F.coalesce(docs["text"], F.lit(""))) == hit["hit"], "left_anti")

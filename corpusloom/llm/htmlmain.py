@@ -297,7 +297,7 @@ def host_paths(pages: DataFrame, winners: int = WINNERS) -> DataFrame:
 
 def extract(pages: DataFrame, winners: int = WINNERS) -> DataFrame:
     """pages plus text and n_chars."""
-    small_batches(pages.sparkSession, 512)
+    small_batches(pages.sparkSession)
     led = written(host_paths(pages, winners), "host-paths").withColumnRenamed("host", "_host")
 
     @F.pandas_udf("string")

@@ -5,10 +5,23 @@ from corpusloom.llm import decontam, queries
 
 
 def test_canonical_slots():
-    code, slot, raw = decontam.canonical("Then Alice bought 12 kg of rice for 3.5km.\nBob left")
-    assert [bool(s) for s in slot] == [False, True, False, True, True, False, False, False, True, True, False, False]
-    assert code[1] == decontam.NAME and code[3] == decontam.NUM and code[4] == decontam.UNIT
-    assert raw(1) == b"Alice" and raw(len(code) - 1) == b"left"
+    got = decontam.Tokens(["Then Alice bought 12 kg of rice for 3.5km.\nBob left", None, "", "kg. He 5"], decontam.Lookup(frozenset(["then", "he"])))
+    assert got.slot.astype(int).tolist() == [0, 1, 0, 1, 1, 0, 0, 0, 1, 1, 1, 0, 0, 0, 1]
+    assert got.code[1] == got.code[10] == decontam.NAME and got.code[3] == decontam.NUM and got.code[4] == decontam.UNIT
+    assert got.raw(1) == b"Alice" and got.raw(11) == b"left" and got.text.tolist() == [0] * 12 + [3] * 3 and got.first.tolist() == [0, 12, 12, 12, 15]
+
+
+def test_batches_equal_single_texts(texts):
+    """Tokens and windows of a batch of texts are those of each text alone."""
+    some = [texts[d] for d in sorted(texts)[:40]] + [None, "", "x"]
+    known = decontam.Lookup(frozenset("the der die el la le".split()))
+    whole = decontam.Tokens(some, known)
+    for k, t in enumerate(some):
+        one = decontam.Tokens([t], known)
+        part = slice(whole.first[k], whole.first[k + 1])
+        assert (one.code == whole.code[part]).all() and (one.own == whole.own[part]).all() and (one.slot == whole.slot[part]).all()
+    template, own, kind = whole.windows(8)
+    assert sum((decontam.Tokens([t], known).windows(8)[2] > 0).sum() for t in some) == (kind > 0).sum()
 
 
 ITEM = "A train with Alice on board leaves the old station at 9 and runs 120 km before Alice meets the other train there"
@@ -78,6 +91,68 @@ def test_benchmark_passages(spark, sf, texts):
     assert got == want
 
 
+NAMES = "Natalia Weng Tina Robert Mona Igor Paula Chen Aisha Bruno Carla Dmitri Elena Farid Greta Hugo".split()
+THINGS = "clips cakes apples pencils marbles stamps coins shells bottles ribbons candles tickets".split()
+VERBS = "sold baked bought found gave lent painted sorted packed counted traded borrowed".split()
+PLACES = "market school garden station library bakery harbour stadium museum theatre".split()
+
+
+def problem(k, names, numbers):
+    """The k-th word problem: sentences begin with names."""
+    a, b, c = THINGS[k % 12], THINGS[(k * 5 + 1) % 12], THINGS[(k * 7 + 3) % 12]
+    v, w = VERBS[(k * 3) % 12], VERBS[(k * 11 + 5) % 12]
+    place, other = PLACES[k % 10], PLACES[(k // 10 + 3) % 10]
+    return f"{names[0]} {v} {numbers[0]} {a} near the {place} this spring. {names[1]} {w} {numbers[1]} {b} for everyone at the {other}. {names[2]} paid {numbers[2]} dollars and {names[0]} kept {numbers[3]} {c} in a box. How many {a} are left?"
+
+
+def test_names_that_begin_sentences(spark):
+    item = "Natalia sold 48 clips to her friends. Weng baked 12 cakes for them. Tina paid 30 dollars for all of it."
+    doc = "Robert sold 15 clips to her friends. Mona baked 7 cakes for them. Igor paid 99 dollars for all of it."
+    got = decontam.contaminated(spark.createDataFrame([(1, doc)], "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.kind, r.n_windows, r.coverage) for r in got] == [(1, 5, "reparameterised", 14, 1.0)]
+
+
+def test_generated_problems(spark):
+    """Word problems with other names and numbers are found, other problems and prose are not."""
+    items = [(k, problem(k, [NAMES[k % 16], NAMES[(k + 5) % 16], NAMES[(k + 9) % 16]], [k + 3, 2 * k + 5, 40 + k, k % 7 + 2])) for k in range(60)]
+    docs = [(100 + k, "We read on.\n" + problem(k, [NAMES[(k + 3) % 16], NAMES[(k + 7) % 16], NAMES[(k + 12) % 16]], [90 - k, 17 + k, 8 + k, 33]) + "\nThat was it.") for k in range(60)]
+    clean = [(1000 + k, f"The {PLACES[k % 10]} was open this spring. How many people came is not known. {NAMES[k % 16]} paid for the tickets and {VERBS[k % 12]} the rest at the {PLACES[(k + 4) % 10]} for everyone.") for k in range(60)]
+    found = decontam.contaminated(spark.createDataFrame(docs + clean, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    pairs = {(r.doc_id, r.item_id) for r in found}
+    assert sum((100 + k, k) in pairs for k in range(60)) >= 57
+    assert not any(d >= 1000 for d, _ in pairs)
+
+
+def test_rows_are_told_apart_by_their_texts(spark):
+    """Null ids and shared ids: neither pools texts, keeps a leak, nor loses a clean document."""
+    words = ITEM.split()
+    rows = [
+        (None, "one " + " ".join(words[:12]), 1), (None, "two " + " ".join(words[8:16]), 2), (None, f"leak {ITEM}", 3), (7, f"leak again {ITEM}", 4), (7, "clean words under a shared id", 5),
+        (8, "x " + " ".join(words[:10]), 6), (8, "y " + " ".join(words[9:18]), 7), (9, None, 8),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hit int")
+    bench = spark.createDataFrame([(1, ITEM), (1, "an item of the same id but with quite another text to it than that"), (None, ITEM)], "item_id long, text string")
+    alone = {r.doc_id for r in decontam.contaminated(spark.createDataFrame([(n, t) for _, t, n in rows], "doc_id long, text string"), bench).collect()}
+    left = decontam.decontaminated(docs, bench)
+    assert left.columns == docs.columns and {r.hit for r in left.collect()} == {r[2] for r in rows} - alone and {3, 4} <= alone and not {5, 8} & alone
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect() if r.coverage == 1} == {(d, i) for d in (None, 7) for i in (1, None)}
+
+
+def test_copies_in_other_case(spark):
+    bench = spark.createDataFrame([(1, ITEM), (2, "Alice Bob Carol have 12 30 40 50 in Paris London Rome Berlin")], "item_id long, text string")
+    docs = [(1, ITEM.lower()), (2, ITEM.upper()), (3, "so: Alice Bob Carol have 12 30 40 50 in Paris London Rome Berlin!"), (4, "Alice Bob Carol have 13 31 41 51 in Paris London Rome Berlin")]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 1), (3, 2)}
+
+
+def test_clashing_names(spark):
+    bench = spark.createDataFrame([(1, ITEM, 1, 2)], "item_id long, text string, hash int, coverage int")
+    names = ["hit", "item", "at", "hash", "occ", "coverage", "kind", "part", "digest", "item_id", "best"]
+    docs = spark.createDataFrame([(1, ITEM, *range(11)), (2, "other", *range(11))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    assert [tuple(r) for r in decontam.decontaminated(docs, bench).collect()] == [(2, "other", *range(11))]
+    assert decontam.contaminated(docs, bench).count() == 1
+
+
 def test_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta alpha beta gamma delta alpha beta")], "item_id long, text string")
     assert {r.doc_id for r in decontam.contaminated(odd, bench).collect()} == {9, 10}
