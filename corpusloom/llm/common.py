@@ -61,6 +61,19 @@ def trim() -> None:
         pass
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names of internal columns, changed until no column of ``df`` has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"_{name}"
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def digest(text: str = "text") -> Column:
     """A row's identity by its own text (null: empty), for joins that must not rest on ids."""
     return F.md5(F.coalesce(F.col(text), F.lit("")))

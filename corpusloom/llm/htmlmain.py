@@ -2,44 +2,50 @@
 
 Every page is parsed once and its containers are scored by the text that stands in or right under
 them, without link text and boilerplate. The best container's generalised path (tags with their
-classes, digits as #, ids left out) is the page's vote. Spark counts the votes per host; the
-``WINNERS`` leading paths of each host go back to its pages, and a page is extracted again from the
-elements at the first of these paths that it has text at. A page with none of them uses its own
-best container.
+classes, digits as #, ids left out; at any depth) is the page's vote. Spark counts the votes per
+host. Paths with two votes or more and at least ``SHARE`` of a host's (so 1 / SHARE at most) win and
+go back to its pages, which are extracted again: from the deepest winning path whose elements hold
+at least ``MOST`` of the text of the page's own best container; if none does, from the winning path
+with most votes that the page has text at; without any, from the best container.
 
 Left out everywhere: menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, comments of readers, hidden elements. A class or id drops an element if it says nothing but
-boilerplate ('cookie-notice'), a class also if a part of it never means content ('td-sidebar'). Names that
-content has as well ('discussion', 'related-work') drop an element only if at least ``LINKED`` of its text is
-links; headings, paragraphs and list items are never dropped by name. Character references are decoded, white space inside
-a block becomes one space (a line break element counts as white space), and blocks are joined by a
-newline in page order.
+styles, comments of readers, hidden elements. Class names and ids are judged as wholes: one drops an
+element if it says nothing but boilerplate ('cookie-notice'), a class also if a part of it never means
+content ('td-sidebar'), unless it tells a state or layout ('has-sidebar', 'comments-open'). Names that
+content has as well ('discussion', 'related-work') drop an element only if at least ``LINKED`` of its
+text is links; headings, paragraphs and list items are never dropped by name, nor is any element by
+its name, or as a form, that holds more than ``MOST`` of a page's visible text. Character references are
+decoded, white space inside a block becomes one space (a line break element counts as white space),
+and blocks are joined by a newline in page order.
 
 Null or empty html, and pages without text, give an empty text. A null url is a host of its own.
-Repeated rows get equal results; other columns are carried along; an input column named like a
-result column is replaced. The parser keeps no recursion, so depth and length are not limited.
+Repeated rows get equal results; other columns are carried along whatever their names; an input
+column named like a result column is replaced. The parser keeps no recursion, so depth and length
+are not limited.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import fresh, small_batches, trim, written
 
-WINNERS = 8
+SHARE, MOST = 0.005, 0.5
 
 # Names of HTML elements, and of the boilerplate that is left out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-SKIP = frozenset("head nav aside footer form dialog button select menu object audio video canvas script style textarea title noscript iframe xmp noembed noframes template svg math".split())
+SKIP = frozenset("head nav aside footer form dialog button select menu object audio video canvas script style textarea title noscript iframe xmp noembed noframes template svg".split())
 SKIP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert newsletter subscribe subscription signup login paywall popup modal overlay sidebar sidenav aside rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments disqus replies respond discussion share sharing social related recommended widget widgets hidden skip".split()
 )
@@ -48,6 +54,8 @@ SURE_WORDS = frozenset("adsense adbox advert adverts advertisement advertisement
 DOUBTFUL_WORDS = frozenset("discussion related share sharing social promotion recommended subscription consent rail aside skip notice alert menu".split())
 #: What compounds of boilerplate names hold besides.
 FILLERS = frozenset("area articles bar block bottom box button buttons container content foot form global group icons inner items left links list main message outer page panel posts primary region right secondary section site slot stories text thread top unit wrap wrapper".split())
+#: Parts of class names that tell a state or the layout: such names say nothing of the element itself.
+STATES = frozenset("has no with without is not open opened closed on off enabled disabled active inactive show hide layout template theme supports page body".split())
 UNNAMED = frozenset("h1 h2 h3 h4 h5 h6 p li".split())
 LINKED = 0.3
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
@@ -66,64 +74,80 @@ _PART = re.compile(r"[^a-z]+")
 
 
 class Element:
-    __slots__ = ("tag", "path", "parent", "skip", "inside", "score", "text", "link")
+    __slots__ = ("tag", "path", "depth", "parent", "drop", "skip", "inside", "score", "text", "link", "total", "links")
 
-    def __init__(self, tag: str, path: str, parent: Element | None, skip: bool, inside: bool) -> None:
-        self.tag, self.path, self.parent, self.skip, self.inside = tag, path, parent, skip, inside
+    def __init__(self, tag: str, path: int, depth: int, parent: Element | None, drop: int, inside: bool) -> None:
+        self.tag, self.path, self.depth, self.parent, self.drop, self.inside = tag, path, depth, parent, drop, inside
+        self.skip = False
         self.score = 0.0
-        self.text = self.link = 0
+        self.text = self.link = self.total = self.links = 0
+
+
+#: What is known of an element when it opens: keep, drop if links confirm it, drop unless it is most of the page, drop.
+KEEP, DOUBT, NAMED, SURE = range(4)
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): htmllib.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)}
 
 
-def _named(tag: str, attrs: dict[str, str], inside: bool) -> bool | None:
-    """Whether the names mean boilerplate; None: if links confirm it."""
+def _named(tag: str, attrs: dict[str, str], inside: bool) -> int:
+    """What the names say of an element."""
     if tag in UNNAMED:
-        return False
-    doubt = False
+        return KEEP
+    found = KEEP
     for kind in ("class", "id"):
         for name in attrs.get(kind, "").lower().split():
             parts = [n for n in _PART.split(name) if n]
             hits = [n for n in parts if n in SKIP_WORDS or n == "header" and not inside]
-            if not hits:
+            if not hits or len(parts) > 1 and any(n in STATES for n in parts):
                 continue
             only = all(n in FILLERS or n in hits for n in parts)
             # one doubtful word alone is a notice or menu as a class, but may be a section's name
             clear = any(n not in DOUBTFUL_WORDS for n in hits) or len(parts) > 1 or kind == "class" and name in ("alert", "notice", "menu", "aside", "skip")
-            if only and clear and not (kind == "id" and tag == "section"):
-                return True
-            if kind == "class" and any(n in SURE_WORDS for n in hits):
-                return True
-            doubt = True
-    return None if doubt else False
+            if only and clear and not (kind == "id" and tag == "section") or kind == "class" and any(n in SURE_WORDS for n in hits):
+                return NAMED
+            found = DOUBT
+    return found
 
 
-def _skipped(tag: str, attrs: dict[str, str], inside: bool) -> bool | None:
+def _drop(tag: str, attrs: dict[str, str], inside: bool) -> int:
+    if tag == "form":
+        return NAMED
     if tag in SKIP or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in SKIP_ROLES:
-        return True
+        return SURE
     if tag == "header":
-        return not inside
+        return KEEP if inside else SURE
     if tag in ("article", "main", "body", "html") or not attrs:
-        return False
+        return KEEP
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
-        return True
+        return SURE
     return _named(tag, attrs, inside)
 
 
-def _settle(elements: list[Element], pieces: list[tuple[Element, str | None]], doubtful: list[Element]) -> list[tuple[Element, str | None]]:
-    """Drops the doubtful elements that are mostly links, with all that is in them; the pieces that are left."""
-    total = {id(e): [e.text, e.link] for e in elements}
+def _settle(elements: list[Element], pieces: list[tuple[Element, str | None]]) -> list[tuple[Element, str | None]]:
+    """Sums up texts, drops elements with all that is in them; the pieces that are left."""
     for e in reversed(elements):  # parents come before their children
-        if e.parent is not None and (above := total.get(id(e.parent))):
-            above[0] += total[id(e)][0]
-            above[1] += total[id(e)][1]
-    for e in doubtful:
-        text, link = total[id(e)]
-        e.skip = e.skip or link > 0 and link >= LINKED * (text + link)
+        e.total += e.text + e.link
+        e.links += e.link
+        if e.parent is not None and e.drop != SURE:
+            e.parent.total += e.total
+            e.parent.links += e.links
+    page = elements[0].total
+    for e in elements:
+        if e.parent is not None and e.parent.skip or e.drop == SURE:
+            e.skip = True
+        elif e.drop == NAMED:
+            e.skip = e.total <= MOST * page
+        elif e.drop == DOUBT:
+            e.skip = e.links > 0 and e.links >= LINKED * e.total and e.total <= MOST * page
     for e in elements:
-        e.skip = e.skip or e.parent is not None and e.parent.skip
+        e.total = e.links = 0
+    for e in reversed(elements):  # again, of what is left
+        if not e.skip:
+            e.total += e.text + e.link
+            if e.parent is not None:
+                e.parent.total += e.total
     return [(e, piece) for e, piece in pieces if piece is None or not e.skip]
 
 
@@ -132,16 +156,19 @@ def _step(tag: str, attrs: dict[str, str]) -> str:
     return ".".join([tag, *classes])
 
 
+def below(path: int, step: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{path}>{step}") - (1 << 63)
+
+
 def parse(page: str) -> tuple[list[Element], list[tuple[Element, str | None]]]:
     """Elements, and the visible text in page order: (element, piece), a piece of None is a block border."""
-    root = Element("", "", None, False, False)
+    root = Element("", 0, 0, None, KEEP, False)
     elements, pieces, stack, at = [root], [], [root], 0
-    doubtful = []
     links = 0
 
     def text(raw: str) -> None:
         top = stack[-1]
-        if raw and not top.skip:
+        if raw and top.drop != SURE:
             piece = htmllib.unescape(raw) if "&" in raw else raw
             pieces.append((top, piece))
             if size := len(piece.strip()):
@@ -195,12 +222,10 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str | None]]]:
                         break
         top = stack[-1]
         if tag == "br":
-            if not top.skip:
-                pieces.append((top, " "))
+            pieces.append((top, " "))
             continue
         attrs = _attributes(m["attrs"][:-1]) if len(m["attrs"]) > 1 else {}
-        skip = top.skip or _skipped(tag, attrs, top.inside)
-        doubt, skip = skip is None, bool(skip)
+        drop = SURE if top.drop == SURE else _drop(tag, attrs, top.inside)
         if tag in BLOCKS:
             pieces.append((top, None))
         if tag in RAW:
@@ -209,17 +234,17 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str | None]]]:
             continue
         if tag in VOID:
             continue
-        # paths end at a depth that pages have; what is nested deeper shares its ancestor's
-        path = top.path if tag in ("html", "body") or len(stack) > 64 else f"{top.path}>{_step(tag, attrs)}"
-        own = Element(tag, path, top, skip, top.inside or tag in ("article", "main"))
+        if tag in ("html", "body"):
+            path, depth = top.path, top.depth
+        else:  # a hash of the parent's path and the own step
+            path, depth = below(top.path, _step(tag, attrs)), top.depth + 1
+        own = Element(tag, path, depth, top, drop, top.inside or tag in ("article", "main"))
         elements.append(own)
-        if doubt:
-            doubtful.append(own)
         stack.append(own)
         links += tag == "a"
     if at < len(page):
         text(page[at:])
-    return elements, _settle(elements, pieces, doubtful) if doubtful else pieces
+    return elements, _settle(elements, pieces)
 
 
 def best_container(elements: list[Element]) -> Element:
@@ -262,48 +287,74 @@ def _below(elements: list[Element], roots: list[Element]) -> set[int]:
     return inside
 
 
-def vote(page: str | None) -> str | None:
+def vote(page: str | None) -> int | None:
     """The generalised path of a page's best container; None without any text."""
     elements, pieces = parse(page or "")
     return best_container(elements).path if any(p and p.strip() for _, p in pieces) else None
 
 
-def main_text(page: str | None, paths: list[str]) -> str:
+def _under(e: Element, roots: set[int]) -> bool:
+    while e is not None and id(e) not in roots:
+        e = e.parent
+    return e is not None
+
+
+def chosen(elements: list[Element], paths: list[int]) -> list[Element]:
+    """The elements to extract, given the host's winning paths, most votes first."""
+    best = best_container(elements)
+    at: dict[int, list[Element]] = {}
+    wanted = {p: k for k, p in enumerate(paths)}
+    for e in elements:
+        if e.path in wanted and not e.skip and e.total and e.tag not in ("html", "body"):
+            at.setdefault(e.path, []).append(e)
+    if best.total == 0 or not at:
+        return [best]
+    agreeing, other = [], []
+    for path, roots in at.items():
+        roots = [e for e in roots if not (e.parent is not None and _under(e.parent, {id(r) for r in roots}))]
+        own = {id(r) for r in roots}
+        held = best.total if _under(best, own) else sum(r.total for r in roots if _under(r, {id(best)}))
+        if held >= MOST * best.total:
+            agreeing.append((-roots[0].depth, wanted[path], roots))
+        else:
+            other.append((wanted[path], -roots[0].depth, roots))
+    return min(agreeing or other, key=lambda x: x[:2], default=(0, 0, [best]))[2]
+
+
+def main_text(page: str | None, paths: list[int]) -> str:
     elements, pieces = parse(page or "")
-    for path in paths:
-        if roots := [e for e in elements if e.path == path and not e.skip]:
-            if found := _extract(pieces, _below(elements, roots)):
-                return found
-    return _extract(pieces, _below(elements, [best_container(elements)]))
+    return _extract(pieces, _below(elements, chosen(elements, paths)))
 
 
 def host(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
 
 
-def host_paths(pages: DataFrame, winners: int = WINNERS) -> DataFrame:
-    """host, paths: the leading container paths, most votes first, then by name."""
+def host_paths(pages: DataFrame, share: float = SHARE) -> DataFrame:
+    """host, paths: the winning container paths, most votes first, then by hash; 1 / share at most."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf("long")
     def votes(html: pd.Series) -> pd.Series:
-        return html.map(vote, na_action="ignore")
+        return pd.Series([vote(h) for h in html], dtype="Int64")
 
     cast = pages.select(host(F.col("url")).alias("host"), votes("html").alias("path"))
     counted = cast.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).where("path is not null")
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "path"))
-    led = counted.withColumn("rank", rank).where(F.col("rank") <= winners)
-    return led.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
+    led = counted.withColumn("all", F.sum("n").over(Window.partitionBy("host"))).where((F.col("n") > 1) & (F.col("n") >= share * F.col("all")))
+    return led.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "path"))), lambda x: x["path"]).alias("paths"))
 
 
-def extract(pages: DataFrame, winners: int = WINNERS) -> DataFrame:
+def extract(pages: DataFrame, share: float = SHARE) -> DataFrame:
     """pages plus text and n_chars."""
     small_batches(pages.sparkSession)
-    led = written(host_paths(pages, winners), "host-paths").withColumnRenamed("host", "_host")
+    own_host, led_host, led_paths = fresh(pages, "host", "led_host", "led_paths")
+    led = written(host_paths(pages, share), "host-paths").toDF(led_host, led_paths)
 
     @F.pandas_udf("string")
-    def texts(html: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([main_text(h, [] if p is None else list(p)) for h, p in zip(html, paths)], dtype=object)
+    def texts(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for html, paths in parts:
+            yield pd.Series([main_text(h, [] if p is None else list(p)) for h, p in zip(html, paths)], dtype=object)
+        trim()
 
-    joined = pages.withColumn("_own", host(F.col("url"))).join(led, F.col("_own") == F.col("_host"), "left")
-    found = joined.withColumn("text", texts.asNondeterministic()("html", "paths")).drop("_own", "_host", "paths")
+    joined = pages.withColumn(own_host, host(F.col("url"))).join(led, F.col(own_host) == F.col(led_host), "left")
+    found = joined.withColumn("text", texts.asNondeterministic()("html", led_paths)).drop(own_host, led_host, led_paths)
     return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -2,6 +2,15 @@ import re
 
 from corpusloom.llm import htmlmain, queries
 
+
+
+def path(steps):
+    found = 0
+    for step in steps.split(">")[1:]:
+        found = htmlmain.below(found, step)
+    return found
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p>";</script></head>
 <body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav><!-- note --><div class="ad">Buy</div>
 <div class="cookie-notice">We use cookies, many of them, on every page that you will ever see here.</div>
@@ -15,7 +24,7 @@ def test_blocks_and_boilerplate():
     want = "Title here\nFirst line goes on\nSecond <one> été.\na\nb\nc\nd"
     assert htmlmain.main_text(PAGE, []) == want
     assert htmlmain.main_text(PAGE, [htmlmain.vote(PAGE)]) == want
-    assert htmlmain.vote(PAGE) == ">article"
+    assert htmlmain.vote(PAGE) == path(">article")
 
 
 def test_names_in_content():
@@ -31,7 +40,54 @@ def test_names_in_content():
     for tag in ("article", "div class=text"):
         page = f"<body><{tag}><p>Begin here.</p>{kept}{gone}<p>The end.</p></{tag.split()[0]}></body>"
         want = "Begin here.\nWork\nWe discuss it.\nAgain.\nNets\nMind this.\n12.50\nSoup\nOur remarks.\nThe end."
-        assert htmlmain.main_text(page, [">article" if tag == "article" else ">div.text"]) == want
+        assert htmlmain.main_text(page, [path(">article" if tag == "article" else ">div.text")]) == want
+
+
+def test_states_and_layouts():
+    """Class names that tell a state or the layout, and named elements that hold the page."""
+    for name in ("content has-sidebar", "page no-sidebar", "post comments-open", "sidebar-open", "main with-navbar", "site-content menu-closed"):
+        for tag in ("body", "div"):
+            page = f"<body><{tag} class='{name}'><div class=text><p>All of the text.</p><p>And more.</p></div></{tag}></body>"
+            assert htmlmain.main_text(page, []) == "All of the text.\nAnd more.", name
+    inside = "<p>Before it.</p><section class='related-work'><p>Others did so.</p></section><div class='share-price'>12</div><p>Where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p>"
+    assert htmlmain.main_text(f"<article>{inside}</article>", []) == "Before it.\nOthers did so.\n12\nWhere x=1 holds."
+    whole = "<body><form id=aspnet><div class=widget><p>A page in a form and a widget.</p><div class=sidebar>Side</div></div></form><div class=footer>Foot</div></body>"
+    assert htmlmain.main_text(whole, []) == "A page in a form and a widget."
+
+
+MARKED = [
+    ("<body class=blog><div id=top><div class=logo>Site</div></div><div class=navbar><a href=/>Home</a></div><div class=wrap><div class=post-body><h1>One</h1><p>First part of it.</p>"
+     "<blockquote>Said so.</blockquote><p>Last part, with <a href=/x>a link</a> in it.</p></div><div class=widget>Popular</div></div><div id=footer>(c)</div></body>", "One\nFirst part of it.\nSaid so.\nLast part, with a link in it."),
+    ("<body><table><tr><td class=nav><a href=/>A</a> <a href=/b>B</a></td><td class=body><h2>Old page</h2><p>Laid out by a table, as they were.</p><p>Two blocks.</p></td></tr></table></body>", "Old page\nLaid out by a table, as they were.\nTwo blocks."),
+    ("<div role=navigation>Menu</div><div id=content class='clearfix main-content'><h1>Two</h1>Loose text here that has no paragraph of its own.<ul><li>eins<li>zwei</ul></div><div class='comments-area'><p>Reader one</p><p>Reader two</p></div>",
+     "Two\nLoose text here that has no paragraph of its own.\neins\nzwei"),
+]
+
+
+def test_pages_without_article():
+    for page, want in MARKED:
+        assert htmlmain.main_text(page, []) == want
+
+
+def test_host_paths_follow_the_page(spark):
+    """A winning path around the page's own one doesn't overrule it; a ninth template has its own consensus."""
+    head = "<div class=tools><p>Print this page Text size A A A Top stories today</p></div>"
+    story = f"<body><div class=wrap>{head}<div class=story><p>{'The story goes on. ' * 8}</p></div></div></body>"
+    plain = f"<body><div class=wrap><p>{'Written right into the wrap. ' * 8}</p></div></body>"
+    rows = [(k, f"http://h.org/{k}", plain if k < 30 else story) for k in range(40)]
+    rows += [(100 * t + k, f"http://many.org/{t}/{k}", f"<body><div class=lead><p>x</p></div><div class=t{'abcdefghijkl'[t]}><p>{'Template text. ' * 9}</p></div></body>") for t in range(12) for k in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r.url): r.text for r in htmlmain.extract(df).collect()}
+    assert got["http://h.org/35"] == " ".join(["The story goes on."] * 8) and got["http://h.org/3"] == " ".join(["Written right into the wrap."] * 8)
+    assert all(t == " ".join(["Template text."] * 9) for u, t in got.items() if "many.org" in u)
+    assert htmlmain.host_paths(df).where("host = 'many.org'").first().paths.__len__() == 12
+
+
+def test_clashing_names(spark):
+    names = ["paths", "_paths", "host", "_host", "_led_host", "_led_paths", "n_chars", "path", "n"]
+    df = spark.createDataFrame([(1, "http://a/", "<p>x", "t", *range(9)), (1, "http://a/", "<p>x", "t", *range(9))], "page_id long, url string, html string, text string, " + ", ".join(f"{n} int" for n in names))
+    got = htmlmain.extract(df).collect()
+    assert [(r.text, r.n_chars, r.paths, r._led_paths, r.n) for r in got] == [("x", 1, 0, 5, 8)] * 2
 
 
 def test_odd_html():
