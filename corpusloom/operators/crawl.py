@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,12 @@ def breadth_first(links: DataFrame, roots: DataFrame, depth: int = DEPTH, pages:
 
     sc = links.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="corpusloom-")
+        sc.setCheckpointDir(folder)
     rank = F.row_number().over(Window.partitionBy("page").orderBy("pos"))
     few = links.withColumn("r", rank).where(F.col("r") <= per_page).select("page", "url")
     newest = roots.select("url", F.lit(0).alias("depth")).distinct().checkpoint()
