@@ -60,9 +60,9 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target: the documents labelled as of good quality; background: all documents."""
+    """Target: the documents labelled as of good quality."""
     target = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return lmscore.cross_entropy_difference(_documents(spark, sf_dir, "doc_id", "text"), target)
+    return lmscore.cross_entropy_difference(_documents(spark, sf_dir, "doc_id", "text"), target).select("doc_id", *lmscore.RESULTS)
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

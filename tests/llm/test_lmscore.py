@@ -1,74 +1,91 @@
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 
 from corpusloom.llm import lmscore, queries
 
 
-def brute(docs, target, texts):
-    """Dictionary models without hashing."""
-    low = lambda t: (t or "").lower()
-    symbols = [c for c, _ in sorted(Counter(c for t in docs.values() for c in low(t)).items(), key=lambda x: (-x[1], x[0]))[: lmscore.SYMBOLS]]
-    known = set(symbols)
-    seq = lambda t: [""] * lmscore.ORDER + [c if c in known else "?" for c in low(t)]
-    counts, totals = [Counter(), Counter()], [0, 0]
-    for d, t in docs.items():
-        s = seq(t)
-        for k in range(lmscore.ORDER, len(s)):
-            for m in (0, 1):
-                if m or d in target:
-                    totals[m] += 1
-                    counts[m].update(tuple(s[k - n + 1 : k + 1]) for n in range(1, lmscore.ORDER + 1))
+def brute(rows):
+    """Losses by dictionaries, from (text, fold, part) rows: models of a fold are counted on the other one."""
+    pad = [""] * (lmscore.ORDER - 1)
+    seqs = [pad + list((t or "").lower()) for t, _, _ in rows]
+    symbols = len({c for s in seqs for c in s[lmscore.ORDER - 1 :]}) + 1
+    counts, contexts = defaultdict(Counter), defaultdict(Counter)
+    for s, (_, fold, part) in zip(seqs, rows):
+        if part:
+            for k in range(lmscore.ORDER - 1, len(s)):
+                for n in range(1, lmscore.ORDER + 1):
+                    g = tuple(s[k - n + 1 : k + 1])
+                    counts[1 - fold, part][g] += 1
+                    contexts[1 - fold, part][g[:-1]] += 1
     out = []
-    for t in texts:
-        s, loss = seq(t), [0.0, 0.0]
-        for k in range(lmscore.ORDER, len(s)):
-            for m in (0, 1):
-                p = (counts[m][(s[k],)] + 1) / (totals[m] + lmscore.SYMBOLS + 2)
-                for n in range(2, lmscore.ORDER + 1):
-                    gram, ctx = tuple(s[k - n + 1 : k + 1]), tuple(s[k - n + 1 : k])
-                    p = (counts[m][gram] + lmscore.A * p) / (max(counts[m][ctx], counts[m][gram]) + lmscore.A)
-                loss[m] -= math.log(p)
-        n = len(s) - lmscore.ORDER
-        out.append((n, loss[0] / max(1, n), loss[1] / max(1, n)))
+    for s, (_, fold, _) in zip(seqs, rows):
+        loss = []
+        for part in (1, 2):
+            c, x, total = counts[fold, part], contexts[fold, part], 0.0
+            for k in range(lmscore.ORDER - 1, len(s)):
+                p = 1 / (symbols + 1)
+                for n in range(1, lmscore.ORDER + 1):
+                    g = tuple(s[k - n + 1 : k + 1])
+                    # contexts of n - 1 tokens are told apart by length
+                    p = (c[g] + lmscore.A * p) / (x[g[:-1]] + lmscore.A)
+                total -= math.log(p)
+            loss.append(total / max(1, len(s) - lmscore.ORDER + 1))
+        out.append((len(s) - lmscore.ORDER + 1, *loss))
     return out
 
 
 def test_against_dictionaries(spark, texts):
-    docs = {d: texts[d][:600] for d in sorted(texts)[:60]} | {5000: None, 5001: ""}
-    target = {d for d in docs if d % 3 == 0}
+    """Whole texts, exact counts, on either way of looking n-grams up."""
+    docs = {d: texts[d] for d in sorted(texts)[:40]} | {5000: None, 5001: "", 5002: "漢字かな交じり文 και ελληνικά " * 5}
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    got = {r.doc_id: r for r in lmscore.cross_entropy_difference(df, spark.createDataFrame([(d,) for d in target], "doc_id long")).collect()}
-    want = dict(zip(docs, brute(docs, target, docs.values())))
-    for d, (n, t, b) in want.items():
-        assert got[d].n_tokens == n and abs(got[d].target_loss - t) < 0.05 and abs(got[d].background_loss - b) < 0.05  # places are hashed
-        assert abs(got[d].score - (got[d].target_loss - got[d].background_loss)) < 1e-9
+    target = spark.createDataFrame([(d,) for d in docs if d % 3 == 0], "doc_id long")
+    rows = {r.doc_id: (r.text, r.fold, r.part) for r in lmscore.sampled(df, target).collect()}
+    assert {r[2] for r in rows.values()} == {0, 1, 2} and {r[1] for r in rows.values()} == {0, 1}
+    sizes = [sum(len(t or "") for t, _, p in rows.values() if p == k) for k in (1, 2)]
+    assert 0.5 < sizes[1] / sizes[0] < 2
+    want = dict(zip(rows, brute(rows.values())))
+    for few in (lmscore.FEW_GRAMS, 0):
+        got = {r.doc_id: r for r in lmscore.cross_entropy_difference(df, target, few).collect()}
+        for d, (n, t, b) in want.items():
+            assert got[d].n_tokens == n and abs(got[d].target_loss - t) < 1e-9 and abs(got[d].background_loss - b) < 1e-9
+            assert abs(got[d].score - (t - b)) < 1e-9
 
 
 def test_target_scores_lower(spark):
-    rows = [(k, ("the cat sat on the mat " if k % 2 else "zwölf boxkämpfer jagen viktor ") * 5) for k in range(60)]
+    """Rows of the target's kind that were no part of it score lower than others."""
+    kinds = ("the cat sat on the mat and saw a rat", "zwölf boxkämpfer jagen viktor quer über den deich")
+    rows = [(k, " ".join(kinds[k % 2].split()[j % 7 :] * 4) + f" {k}") for k, j in zip(range(120), range(3, 123))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = lmscore.cross_entropy_difference(df, df.where("doc_id % 2 = 1 and doc_id < 40").select("doc_id")).collect()
-    assert max(r.score for r in got if r.doc_id % 2) < min(r.score for r in got if r.doc_id % 2 == 0)
+    got = lmscore.cross_entropy_difference(df, df.where("doc_id % 2 = 0 and doc_id < 60").select("doc_id")).collect()
+    held = [r for r in got if r.doc_id >= 60]
+    assert max(r.score for r in held if r.doc_id % 2 == 0) < min(r.score for r in held if r.doc_id % 2)
 
 
-def test_pieces_join(monkeypatch):
-    hasher = lmscore.Hasher(np.array(sorted(map(ord, "abcdefgh ")), np.uint32))
-    text = "abc def gh " * 50
-    whole = [np.concatenate([p[n][1:] for p in hasher.pieces(text)]) for n in range(1, lmscore.ORDER + 1)]
+def test_grams_in_pieces(monkeypatch):
+    table = lmscore.symbol_table(np.array(sorted(map(ord, "abcdefgh ")), np.uint32))
+    whole = np.concatenate(list(lmscore.grams("abc def gh " * 50, table)))
     monkeypatch.setattr(lmscore, "_PIECE", 7)
-    cut = [np.concatenate([p[n][1:] for p in hasher.pieces(text)]) for n in range(1, lmscore.ORDER + 1)]
-    assert all((a == b).all() for a, b in zip(whole, cut))
+    assert (whole == np.concatenate(list(lmscore.grams("abc def gh " * 50, table)))).all() and len(set(whole.tolist())) == 14
 
 
 def test_query(spark, sf, texts):
-    got = queries.op8_lm_score(spark, sf).collect()
-    assert len(got) == len(texts) and all(r.n_tokens == len(texts[r.doc_id].lower()) for r in got)
+    df = queries.op8_lm_score(spark, sf)
+    got = df.collect()
+    assert df.columns == ["doc_id", *lmscore.RESULTS]
+    assert len(got) == len(texts) and all(r.n_tokens == len((texts[r.doc_id] or "").lower()) for r in got)
 
 
 def test_odd_rows(spark, odd, none):
     target = spark.createDataFrame([(1,), (9,), (9,), (None,)], "doc_id long")
-    assert lmscore.cross_entropy_difference(odd, target).count() == odd.count()
-    assert lmscore.cross_entropy_difference(odd, target.limit(0)).count() == odd.count()
-    assert lmscore.cross_entropy_difference(none, target).count() == 0
+    got = lmscore.cross_entropy_difference(odd.withColumns({c: lmscore.F.lit(4) for c in ("_lm_fold", "_lm_sums", "fold", "gram", "n", "n_tokens")}), target).collect()
+    assert len(got) == odd.count() and all(r._lm_fold == r.gram == r.n == 4 for r in got)
+    assert all(r.score == r.target_loss == 0 and r.n_tokens == 0 for r in got if not r.text)
+    alike = defaultdict(set)
+    for r in got:
+        alike[r.text].add(r.score)
+    assert all(len(s) == 1 for s in alike.values())
+    for few in (0, 10_000):
+        assert lmscore.cross_entropy_difference(odd, target.limit(0), few).count() == odd.count()
+        assert lmscore.cross_entropy_difference(none, target, few).count() == 0
