@@ -15,7 +15,8 @@ most 1 % of its source (more only if a source has nothing but larger documents).
 
 Nulls: a null text has 0 words; null is a source of its own; null ids hash as one value. Equal
 (source, id, size) rows get equal repetitions. Empty input gives an empty result. Other columns
-are carried along untouched.
+are carried along whatever their names; ``mix`` replaces an input column named like a result column,
+``repeated`` returns the input's columns untouched.
 """
 
 from __future__ import annotations
@@ -132,13 +133,23 @@ def apply_mix(docs: DataFrame, plan: DataFrame, more: DataFrame, seed: int = 7)
     return hit.withColumn("reps", reps).drop("_h", "_reps", "_b0", "_over", "_eid", "_esource", "_esize", "_more")
 
 
+RESULTS = ("size", "source_size", "target", "reps")
+
+
+def _mixed(docs: DataFrame, seed: int, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """row (the document's own columns) and the results."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    plan, more, _ = plan_mix(packed, seed, weights, max_epochs)
+    return apply_mix(packed, plan, more, seed)
+
+
 def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
     """The documents with size, source_size, target and reps (how often the mix takes each)."""
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    plan, more, _ = plan_mix(sized, seed, weights, max_epochs)
-    return apply_mix(sized, plan, more, seed)
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in RESULTS]
+    return _mixed(docs, seed, weights, max_epochs).select(*own, *RESULTS)
 
 
-def repeat_rows(mixed: DataFrame) -> DataFrame:
-    """Each row as often as ``reps`` says."""
-    return mixed.where("reps > 0").withColumn("_rep", F.explode(F.sequence(F.lit(1), F.col("reps")))).drop("_rep")
+def repeated(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
+    """The documents, with their own columns only, each as often as the mix takes it."""
+    taken = _mixed(docs, seed, weights, max_epochs).where("reps > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("reps"))))
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

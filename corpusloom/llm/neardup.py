@@ -19,8 +19,7 @@ left is confirmed on full sets.
 Components come from rounds of large-star and small-star steps, cut by Parquet tables in the shared
 folder. Nulls and texts without words have no shingles and are linked with nothing. Rows that
 repeat an id stay together; a null id takes part by its text, and is kept only where no document of
-its group has an id. Other columns are carried along; an input column named like a result column is
-replaced.
+its group has an id. Other columns are ignored; ``deduplicated`` keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -272,7 +271,7 @@ def _open_pairs(sets: DataFrame, rest: DataFrame, classes: DataFrame, pct: int)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold_pct: int = 80) -> DataFrame:
-    """docs plus n_shingles, component_id, kept."""
+    """doc_id, n_shingles, component_id, kept of every row."""
     spark = docs.sparkSession
     small_batches(spark)
     m = bands(threshold_pct / 100)

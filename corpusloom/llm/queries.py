@@ -73,7 +73,7 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "doc_id", "text")
     judged = quality.judge(docs, table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "anomaly")
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "anomaly", "rule")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -60,7 +60,17 @@ def test_odd_rows(odd, none):
     same = [r.reps for r in got.where("doc_id = 4").collect()]
     assert len(set(same)) == 1
     assert mixing.mix(none).count() == 0
-    assert mixing.repeat_rows(got).count() == got.agg(F.sum("reps")).first()[0]
+    assert mixing.repeated(odd).count() == got.agg(F.sum("reps")).first()[0]
+
+
+def test_clashing_names(odd):
+    names = ["size", "target", "source_size", "reps", "row", "_h", "_salt", "_reps", "_b0", "_over", "_eid", "_esource", "_esize", "_more", "_psource", "col"]
+    df = odd.withColumns({c: F.lit(f"own {c}") for c in names})
+    got = mixing.mix(df).collect()
+    assert [r.reps for r in sorted(got, key=str)] and all(r._h == "own _h" and r.row == "own row" and isinstance(r.size, int) and r.kept == 3 for r in got)
+    assert sorted((r.doc_id or 0, r.reps) for r in got) == sorted((r.doc_id or 0, r.reps) for r in mixing.mix(odd).collect())
+    again = mixing.repeated(df)
+    assert again.columns == df.columns and all(r.target == "own target" and r.col == "own col" for r in again.collect())
 
 
 def test_sql(spark, sf):

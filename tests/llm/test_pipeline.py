@@ -47,3 +47,20 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
         ids = np.array([*tok.encode(rows[3][r.doc_id].text, add_special_tokens=False).ids, 1], "<u4")
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids))
         at += len(ids)
+
+
+def test_odd_rows_and_clashing_names(spark, odd, none, sf):
+    """Every filtering stage on odd rows: the input's columns and values, whatever they are called."""
+    import corpus_pipeline as cp
+    from pyspark.sql import functions as F
+
+    names = ["kept", "n_words", "anomaly", "rules", "component_id", "_gone", "hit", "item", "size", "target", "reps", "row", "_h"]
+    good = odd.limit(1).withColumns({"doc_id": F.lit(77).cast("long"), "text": F.lit(" ".join(f"word{k}" for k in range(99)))})
+    df = odd.unionByName(good).withColumns({c: F.lit(f"own {c}") for c in names})
+    for name, stage in cp.STAGES[:4]:
+        got = stage(spark, df, sf)
+        rows = got.collect()
+        assert got.columns == df.columns, name
+        assert any(r.doc_id == 77 for r in rows) and all(r[c] == f"own {c}" for r in rows for c in names), name
+        assert stage(spark, none, sf).count() == 0, name
+    assert cp.STAGES[4][1](spark, df, sf).count() == df.count()
