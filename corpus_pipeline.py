@@ -15,22 +15,22 @@ from corpusloom.llm.common import table, written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the forest accept."""
-    return quality.judge(docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: 5-word shingles, similarity 0.8 or more."""
-    return neardup.deduplicated(docs, shingle=5, threshold_pct=80).select(docs.columns)
+    return neardup.deduplicated(docs, shingle=5, threshold_pct=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark items, re-parameterised ones included."""
-    return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+    return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mixing.repeat_rows(mixing.mix(docs)).select(docs.columns)
+    return mixing.repeated(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
