@@ -7,13 +7,14 @@ bools that is false on the padding after a file's last token. Batches are uncomp
 the last have ``rows`` sequences, so sequence k is found by division and read without copying.
 Beside each file stands an index, another Arrow file with doc_id, start (in the file) and n_tokens.
 
-Files are written under a name of their own attempt and renamed, so that a task may be lost and run
-again; the manifest has one row per file. Nulls and empty texts have the end id only. Null ids come
+Files have names of the attempt that wrote them, and only the manifest, one row per file, tells which
+count; so a task may be lost and run again on any file system, and nothing is renamed. Nulls and empty texts have the end id only. Null ids come
 first; equal ids keep all their rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -28,12 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches
+from .common import shared_dir, small_batches, trim
 
 SEQ_LEN = 2048
 ROWS = 256
 #: Words whose ids one Python worker remembers before it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 _cache: dict[str, _Known] = {}
 #: Words of lower-case Latin letters: one run for any tokenizer here, and unchanged by its normaliser.
 _LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
@@ -56,24 +57,54 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(own))}
 
 
+def _steps(part: dict | None, kind: str) -> list[dict]:
+    return [] if part is None else part[kind] if part["type"] == "Sequence" else [part]
+
+
+def separable(spec: dict) -> tuple[bool, bool]:
+    """From a tokenizer's own description: whether words can be encoded apart, and whether letters go to its BPE model in lower case.
+
+    Words can if the first splitter drops white space, no later one adds any, and the normaliser changes
+    characters whatever stands around a white space.
+    """
+    splits, forms, model = _steps(spec.get("pre_tokenizer"), "pretokenizers"), _steps(spec.get("normalizer"), "normalizers"), spec["model"]
+    first = splits[0] if splits else {"type": None}
+    pattern = (first.get("pattern") or {}).get("Regex", r"\s")
+    kept = pattern.replace(r"[^\s", "[^")  # white space in a negated class is none that the pieces have
+    runs = first["type"] == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and not re.search(r"\\s|\s|\.", kept)
+    drops = runs or first["type"] in ("WhitespaceSplit", "Whitespace", "BertPreTokenizer")
+    space = lambda f: f["type"] == "Replace" and (f.get("pattern") or {}).get("Regex") == r"\s+" and f.get("content") == " "
+    local = all(f["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") or space(f) for f in forms)
+    apart = bool(drops and local and not any(s.get("add_prefix_space") for s in splits) and not model.get("dropout"))
+    letters = (
+        apart and runs and "[\\p{L}]+" in pattern and "[^\\s\\p{L}\\p{N}]+" in pattern and model["type"] == "BPE" and any(f["type"] == "Lowercase" for f in forms)
+        and [s["type"] for s in splits[1:]] == ["ByteLevel"] and splits[1].get("use_regex") is False
+    )
+    return apart, bool(letters)
+
+
 class WordEncoder:
     """Ids of whole texts from the tokenizers library, asked once per distinct word while it is remembered.
 
-    For tokenizers that lower-case, drop white space and split letters from punctuation, a text's
-    ids are those of its parts in order. ``by_words=False`` encodes texts as they are. Texts with a
-    special token's string are encoded as they are, too. Words of Latin letters go to the library's
-    BPE model at once, as normaliser and splitter would hand them on.
+    Whether a text's ids are those of its words in order is read from the tokenizer's own normaliser and
+    splitters; of other tokenizers, or with ``by_words=False``, and where a special token's string
+    occurs, whole texts are encoded as they are. Where the tokenizer hands lower-case letters to its BPE
+    model as they are, words of Latin letters go there at once.
     """
 
     def __init__(self, path: str, width: np.dtype, by_words: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.width, self.by_words = Tokenizer.from_file(path), width, by_words
+        self.tokenizer, self.width = Tokenizer.from_file(path), width
+        spec = json.loads(self.tokenizer.to_str())
+        self.by_words, self.by_letters = separable(spec) if by_words else (False, False)
+        self.lowers = any(f["type"] == "Lowercase" for f in _steps(spec.get("normalizer"), "normalizers"))
+        self.special = [a["content"].lower().encode() for a in spec.get("added_tokens", [])]
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.known = _cache.setdefault(f"{path}:{width}", _Known())
         self.known.encoder = self
-        self.stops = {c: self._ids(c.decode()) for c in (b".", b",")}
+        self.stops = {c: self._ids(c.decode()) for c in (b".", b",")} if self.by_letters else {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
@@ -83,7 +114,7 @@ class WordEncoder:
         if (stop := self.stops.get(word[-1:])) is not None and _LAST_LETTER.search(word, 0, len(word) - 1):
             return self.known[word[:-1]] + stop
         text = word.decode()
-        if not _LETTERS.fullmatch(text):
+        if not self.by_letters or not _LETTERS.fullmatch(text):
             return self._ids(text)
         ids = [t.id for t in self.model.tokenize(text if text.isascii() else "".join(map(self.letters.__getitem__, word)))]
         return struct.pack(f"<{len(ids)}{self.width.char}", *ids)
@@ -92,11 +123,19 @@ class WordEncoder:
         """Ids of a UTF-8 text."""
         if not text:
             return b""
-        if not self.by_words or b"<|" in text:
+        low = text.lower()  # A-Z only
+        if not self.by_words or any(s in low for s in self.special):
             return self._ids(text.decode())
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        return b"".join(map(self.known.__getitem__, text.lower().split()))
+        return b"".join(map(self.known.__getitem__, (low if self.lowers else text).split()))
+
+
+def id_type(path: str, end_id: int) -> np.dtype:
+    """Unsigned 16-bit integers where the vocabulary fits, else 32-bit ones."""
+    from tokenizers import Tokenizer
+
+    return np.dtype("<u2" if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
 
 
 def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -142,14 +181,14 @@ class _Packer:
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, seq_len: int = SEQ_LEN, rows: int = ROWS, wide: bool = False, by_words: bool = True) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, seq_len: int = SEQ_LEN, rows: int = ROWS, by_words: bool = True) -> DataFrame:
     """Writes the files; a manifest comes back: part, path, first_id order by part, n_docs, n_tokens.
 
     ``docs`` are range-partitioned by doc_id, each partition is sorted and becomes one file.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    dtype = np.dtype("<u4" if wide else "<u2")
+    dtype = id_type(tokenizer_path, end_id)
     fs, base = _fs(folder)
     fs.create_dir(base, recursive=True)
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
@@ -162,8 +201,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
         encode = WordEncoder(tokenizer_path, dtype, by_words)
         end = np.array([end_id], dtype).tobytes()
         out, top = _fs(folder)
-        own = f"{top}/.{part:06d}-{uuid.uuid4().hex}"
-        final = f"{top}/part-{part:06d}"
+        name = f"part-{part:06d}-{uuid.uuid4().hex}"
+        own = f"{top}/{name}"
         at = n_docs = 0
         with out.open_output_stream(f"{own}.arrow") as sink, out.open_output_stream(f"{own}.index") as listed:
             packer, index = _Packer(sink, dtype, seq_len, rows), pa.ipc.new_file(listed, INDEX)
@@ -180,9 +219,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
                 first = next((b for b in batches if b.num_rows), None)
             packer.close()
             index.close()
-        for kind in ("arrow", "index"):
-            out.move(f"{own}.{kind}", f"{final}.{kind}")
-        yield pa.record_batch([pa.array([part], pa.int64()), pa.array([f"part-{part:06d}"]), pa.array([n_docs], pa.int64()), pa.array([at], pa.int64())], names=["part", "file", "n_docs", "n_tokens"])
+        trim()
+        yield pa.record_batch([pa.array([part], pa.int64()), pa.array([name]), pa.array([n_docs], pa.int64()), pa.array([at], pa.int64())], names=["part", "file", "n_docs", "n_tokens"])
 
     return ordered.mapInArrow(write, "part long, file string, n_docs long, n_tokens long")
 

@@ -34,6 +34,32 @@ def test_words_equal_whole(text):
     assert np.frombuffer(encode((text + " " + text).encode())[: 2 * len(whole)], "<u2").tolist() == whole
 
 
+PROBES = ["The quick  brown fox, it's 12 o'clock.\n\nNew line\tand tab", " leading and trailing ", "ÉTÉ à la plage ΣΑΣ ß", "<|endoftext|> and <|ENDOFTEXT|>", "x" * 500, "a.b,c. d, 3.5km!", ""]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_tokenizer(spark, tmp_path, name):
+    """Ids by default are those of whole texts, for tokenizers that split words apart and for others."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path(name)
+    t = Tokenizer.from_file(path)
+    df = spark.createDataFrame(list(enumerate(PROBES)), "doc_id long, text string")
+    got = {r.doc_id: r for r in tokenfile.token_files(df, path, 1, f"file://{tmp_path}/{name}").collect()}
+    for k, text in enumerate(PROBES):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        assert (got[k].n_tokens, got[k].ids_crc32) == (len(ids), zlib.crc32(ids)), text
+
+
+def test_what_can_be_encoded_by_words():
+    encoder = lambda name: tokenfile.WordEncoder(queries.tokenizer_path(name), np.dtype("<u2"))
+    word, byte = encoder("word_bpe_49k.json"), encoder("byte_bpe_50k.json")
+    assert word.by_words and word.by_letters and not byte.by_words and not byte.by_letters
+    assert tokenfile.separable({"model": {"type": "WordPiece"}, "pre_tokenizer": {"type": "BertPreTokenizer"}, "normalizer": {"type": "Lowercase"}}) == (True, False)
+    assert tokenfile.separable({"model": {"type": "BPE"}, "pre_tokenizer": None, "normalizer": None}) == (False, False)
+    assert tokenfile.separable({"model": {"type": "BPE"}, "pre_tokenizer": {"type": "WhitespaceSplit"}, "normalizer": {"type": "Prepend", "prepend": "_"}}) == (False, False)
+
+
 def test_round_trip_and_random_access(spark, odd, tmp_path, whole):
     folder = f"file://{tmp_path}/t"
     manifest = [tuple(r) for r in tokenfile.write_tokens(odd, queries.tokenizer_path(), 1, folder, seq_len=16, rows=4).collect()]
