@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import small_batches, trim, written
 
 ROWS, MISS = 3, 3e-5
 BLOCK = 1024
@@ -110,6 +110,7 @@ def _sketches(docs: DataFrame, n: int, m: int) -> DataFrame:
                 [batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
                 names=["doc_id", "fp", "n_shingles", "sig", "subs"],
             )
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp binary, n_shingles long, sig binary, subs array<long>")
 
