@@ -2,8 +2,9 @@
 
 Texts become sequences of tokens in which numbers, names and units are typed placeholders: a number
 has digits or is a number word; a unit is a unit word right behind a number; a name is capitalised.
-At the start of a sentence or line a capital says little: there a word is a name unless it is common
-in lower case, that is, found so in at least ``COMMON`` of all documents and items (counted in Spark).
+At the start of a sentence or line a capital says little: there a word is a name unless the benchmark
+has it capitalised too and it is common in lower case: in all documents and items together (counted in
+Spark) at least ``COMMON`` times a text.
 
 Windows of ``WINDOW`` tokens are read in two ways, as templates and by their own tokens (lower-cased,
 letters and digits), and those of documents and benchmark items are joined on their 64-bit hashes.
@@ -41,20 +42,21 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import digest, small_batches, trim, written
+from .common import ASCII_SPACE, digest, small_batches, trim, written
+from .words import among, lowered, points, run_hashes, table
 
 WINDOW, COVERAGE, RUN, CONSISTENT = 8, 0.5, 24, 0.8
-#: Share of all texts that have a common word in lower case. The words are broadcast: at most 1 / COMMON times the
-#: mean number of distinct words a text has, however many texts there are.
+#: How often a text has a common word in lower case, at least.
 COMMON = 0.001
+#: Capitalised words of the benchmark that are broadcast to count them; of more, all words are counted before the join.
+FEW_WORDS = 100_000
 BITS_EACH, MOST_BITS = 64, 29
 #: Fewest literal tokens in a window, and fewest tokens of an item, whose template can be told from chance.
 LITERALS, MIN_TOKENS = 4, 5
@@ -70,71 +72,77 @@ NUMBER_WORDS = frozenset(
 UNITS = frozenset(
     "km m cm mm kg g mg lb lbs oz l ml mile miles meter meters metre metres inch inches foot feet yard yards gram grams liter liters litre litres pound pounds ounce ounces hour hours hr hrs minute minutes min second seconds sec day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees volt volts watt watts mph kmh stunde stunden tag tage jahr jahre heure heures jour jours an ans hora horas día días año años".split()
 )
-_FLAGS = np.uint64(63)
-_CAPITAL, _ENDS, _NUMBER, _UNIT, _USUAL, _BORDER = 1, 2, 4, 8, 16, 32
-NUM, NAME, UNIT = (np.uint64(xxhash.xxh3_64_intdigest(x)) & ~_FLAGS for x in (b"<num>", b"<name>", b"<unit>"))
-_GLUED = re.compile(r"(\d)(km|kg|cm|mm|mg|ml|lbs?|oz|m|g|l|hrs?|min|sec|mph|%)(?![\w])")
-_LINE, _TEXT = b" \x01 ", " \x02 "
-_LETTERS = re.compile(r"[^\W\d_]+")
-_CHUNK = 1 << 20
-
-
-class Lookup(dict):
-    """By raw token: its hash (0: no word) with flags in the low bits; worked out when it first comes up."""
-
-    def __init__(self, common: frozenset[str] = frozenset()) -> None:
-        self.common = common
-        self[b"\x01"], self[b"\x02"] = _ENDS, _ENDS | _BORDER
-
-    def __missing__(self, raw: bytes) -> int:
-        code = self[raw] = self._token(raw.decode("utf-8", "replace"))
-        return code
-
-    def _token(self, text: str) -> int:
-        core = "".join(c for c in text if c.isalnum())
-        ends = _ENDS if text.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":", "…") else 0
-        if not core:
-            return ends
-        low = core.lower()
-        if any(c.isdigit() for c in core) and sum(c.isdigit() for c in core) * 2 >= len(core) or low in NUMBER_WORDS:
-            return xxhash.xxh3_64_intdigest(low.encode()) & ~63 | ends | _NUMBER
-        capital = usual = 0
-        if core[0].isupper() and core[1:].islower():
-            capital = _CAPITAL
-            usual = _USUAL if (m := _LETTERS.search(text)) and m[0].lower() in self.common else 0
-        return xxhash.xxh3_64_intdigest(low.encode()) & ~63 | ends | capital | usual | (_UNIT if low in UNITS else 0)
+_GLUED = re.compile(r"(?:km|kg|cm|mm|mg|ml|lbs?|oz|m|g|l|hrs?|min|sec|mph|%)(?!\w)")
+_BORDER = "\x02"
+_CHUNK = 1 << 18
+_SPACE, _WORD, _DIGIT, _LOWER, _QUOTE, _STOP, _BREAK, _GLUE = (1 << k for k in range(8))
+_classes: list[np.ndarray] = []
+_WEIGHTS = np.array([(k & _DIGIT > 0) + ((k & _LOWER > 0) << 21) for k in range(256)], np.int64)
+
+
+def _kinds() -> np.ndarray:
+    """What a character is, by code point."""
+    if not _classes:
+        kinds = table(str.isalnum) * np.uint8(_WORD) | table(str.isdigit) * np.uint8(_DIGIT) | table(str.islower) * np.uint8(_LOWER)
+        for chars, kind in ((ASCII_SPACE, _SPACE), ("\"')]»”’", _QUOTE), (".!?:…", _STOP), ("\n" + _BORDER, _SPACE | _BREAK), ("kcmlohsg%", _GLUE)):
+            kinds[[ord(c) for c in chars]] |= np.uint8(kind)
+        _classes.append(kinds)
+    return _classes[0]
 
 
 class Tokens:
-    """The tokens that have a word of several texts: template code, whether a slot, own hash, and the text of each."""
-
-    def __init__(self, texts: list[str | None], known: Lookup) -> None:
-        joined = _TEXT.join(t.replace("\x02", " ") if t and "\x02" in t else t or "" for t in texts)
-        joined = _GLUED.sub(r"\1 \2", joined)
-        self.words = words = joined.encode("utf-8", "surrogatepass").replace(b"\n", _LINE).split()
-        code = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        flag = (code & _FLAGS).astype(np.uint8)
-        code &= ~_FLAGS
-        # punctuation alone neither is a token nor hides a sentence's end
-        self.keep = keep = np.flatnonzero(code)
-        ends = np.cumsum((flag & _ENDS) > 0)[keep]  # ends up to and with each token
-        self.text = np.cumsum((flag & _BORDER) > 0)[keep]
+    """The tokens that have a word of several texts: template code, own hash, whether a slot; ``text`` tells whose they are."""
+
+    def __init__(self, texts: list[str | None], common: np.ndarray) -> None:
+        joined = _BORDER.join(t.replace(_BORDER, " ") if t and _BORDER in t else t or "" for t in texts)
+        chars, self.low = points(joined), points(lowered(joined))
+        kind = _kinds()[chars]
+        space = (kind & _SPACE) > 0
+        border = np.flatnonzero(chars == ord(_BORDER))
+        # a unit glued to a number is a token of its own
+        begins = space.astype(np.int32)
+        for k in np.flatnonzero((kind[:-1] & _DIGIT > 0) & (kind[1:] & _GLUE > 0)).tolist():
+            begins[k + 1] += _GLUED.match(joined, k + 1) is not None
+        self.at = at = np.flatnonzero(kind & _WORD)
+        token = np.cumsum(begins, dtype=np.int32)[at]
+        self.runs = runs = np.flatnonzero(np.diff(token, prepend=-1)) if len(at) else np.empty(0, np.int64)
+        start, size = at[runs], np.diff(runs, append=len(at))
+        self.own = run_hashes(self.low[at], runs)
+        changed = chars != self.low
+        # digits, lower-case and upper-case letters of each token, counted at once
+        marks = _WEIGHTS[kind[at]] + (changed[at].astype(np.int64) << 42)
+        counts = np.add.reduceat(marks, runs) if len(runs) else np.empty(0, np.int64)
+        digits, lower, upper = counts & (1 << 21) - 1, counts >> 21 & (1 << 21) - 1, counts >> 42
+        capital = changed[start] & (upper == 1) & (lower > 0)
+        # sentences end with a line, a text, or a stop that ends a token but for quotes
+        stops = np.flatnonzero(kind & _STOP)
+        behind = stops + 1
+        padded = np.append(kind, np.uint8(_SPACE))
+        for _ in range(3):
+            behind += padded[behind] & _QUOTE > 0
+        ends = np.sort(np.concatenate([stops[padded[behind] & _SPACE > 0], np.flatnonzero(kind & _BREAK)]))
+        before = np.searchsorted(ends, start)
+        opens = np.ones(len(runs), bool)
+        opens[1:] = before[1:] > before[:-1]
+        self.text = np.searchsorted(border, start)
         self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
-        code, own = code[keep], flag[keep]
-        before = ends - ((own & _ENDS) > 0)
-        begins = np.ones(len(keep), bool)
-        begins[1:] = before[1:] > before[:-1]
-        name = ((own & _CAPITAL) > 0) & ~(begins & ((own & _USUAL) > 0))
-        number = (own & _NUMBER) > 0
-        unit = (own & _UNIT) > 0
+        name = capital.copy()
+        doubtful = np.flatnonzero(capital & opens)
+        name[doubtful] = ~among(self.own[doubtful], common)
+        number = (digits > 0) & (2 * digits >= size) | among(self.own, _NUMBERS)
+        name &= ~number
+        unit = among(self.own, _UNITS)
         unit[1:] &= number[:-1] & (self.text[1:] == self.text[:-1])
         unit[:1] = False
-        self.own = code.copy()
-        code[name], code[number], code[unit] = NAME, NUM, UNIT
-        self.code, self.slot = code, name | number | unit
+        unit &= ~number
+        self.code = self.own.copy()
+        self.code[name], self.code[number], self.code[unit] = NAME, NUM, UNIT
+        self.slot = name | number | unit
 
-    def raw(self, k: int) -> bytes:
-        return self.words[self.keep[k]]
+    def value(self, k: int) -> str:
+        """Letters and digits of the k-th token, in lower case."""
+        end = self.runs[k + 1] if k + 1 < len(self.runs) else len(self.at)
+        return "".join(map(chr, self.low[self.at[self.runs[k] : end]].tolist()))
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Template hashes, own hashes, and 0 / 1 / 2 by start: crosses texts / own tokens only / template as well."""
@@ -145,6 +153,17 @@ class Tokens:
         return _hashed(self.code, n, size, size), _hashed(self.own, n, size, size + (1 << 32)), within.astype(np.int8) * (1 + enough)
 
 
+def word_codes(words: Iterable[str]) -> np.ndarray:
+    """Sorted own hashes of lower-case words of letters."""
+    held = sorted(words)
+    ends = np.cumsum([0, *map(len, held)])
+    return np.sort(run_hashes(points("".join(held)), ends[:-1])) if held else np.empty(0, np.uint64)
+
+
+_NUMBERS, _UNITS = word_codes(NUMBER_WORDS), word_codes(UNITS)
+NUM, NAME, UNIT = (run_hashes(points(x), np.zeros(1, np.int64))[0] for x in ("<num>", "<name>", "<unit>"))
+
+
 def _hashed(code: np.ndarray, n: int, size: int, start: int) -> np.ndarray:
     x = np.full(n, start, np.uint64)
     for k in range(size):
@@ -153,10 +172,6 @@ def _hashed(code: np.ndarray, n: int, size: int, start: int) -> np.ndarray:
     return x
 
 
-def _value(raw: bytes) -> str:
-    return "".join(c for c in raw.decode("utf-8", "replace").lower() if c.isalnum())
-
-
 class BitTable:
     """Whether hashes may be among the benchmark's: two places of each, in a table of 2 ** bits bits."""
 
@@ -184,12 +199,18 @@ class BitTable:
         return k[self._has(hashes[k] << np.uint64(32) >> shift)]
 
 
-def common_words(docs: DataFrame, benchmark: DataFrame, share: float = COMMON) -> frozenset[str]:
-    """Words found in lower case in at least ``share`` of all texts."""
-    texts = docs.select("text").unionByName(benchmark.select("text"))
-    words = texts.select(F.explode(F.array_distinct(F.split("text", r"[^\p{L}]+"))).alias("word")).where("word <> '' and lower(word) = word")
-    often = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(1, math.ceil(share * texts.count())))
-    return frozenset(often.select("word").toArrow().column(0).to_pylist())
+def common_words(docs: DataFrame, benchmark: DataFrame, share: float = COMMON) -> list[str]:
+    """The benchmark's capitalised words that all texts together have in lower case ``share`` times a text or more."""
+    split = lambda df: df.select(F.explode(F.split("text", "[ \\n]")).alias("word"))
+    capital = F.regexp_extract("word", r"^[^\p{L}\p{N}]*(\p{Lu}[\p{Ll}'’]+)", 1)
+    asked = written(split(benchmark).select(F.lower(F.regexp_replace(capital, "['’]", "")).alias("asked")).where("asked <> ''").distinct(), "bench-capitals")
+    words, texts = split(docs.select("text").unionByName(benchmark.select("text"))), docs.count() + benchmark.count()
+    if asked.count() <= FEW_WORDS:
+        counted = words.join(F.broadcast(asked), F.col("word") == F.col("asked"), "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(asked, F.col("word") == F.col("asked"), "left_semi")
+    # no more words than the benchmark has
+    return counted.where(F.col("n") >= max(1, math.ceil(share * texts))).select("word").toArrow().column(0).to_pylist()
 
 
 def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -206,20 +227,19 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def _slots(tokens: Tokens, at: int, size: int) -> list[str]:
-    return [f"{k}:{_value(tokens.raw(at + k))}" for k in np.flatnonzero(tokens.slot[at : at + size]).tolist()]
+    return [f"{k}:{tokens.value(at + k)}" for k in np.flatnonzero(tokens.slot[at : at + size]).tolist()]
 
 
-def benchmark_windows(benchmark: DataFrame, common: frozenset[str] = frozenset(), window: int = WINDOW) -> DataFrame:
+def benchmark_windows(benchmark: DataFrame, common: list[str], window: int = WINDOW) -> DataFrame:
     """item (digest), at, hash, exact, slots, of, width, tokens; both readings of every window of every distinct item text."""
     spark = benchmark.sparkSession
-    shared = spark.sparkContext.broadcast(common)
+    shared = spark.sparkContext.broadcast(word_codes(common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Lookup(shared.value)
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tokens = Tokens([text.as_py()], known)
+                tokens = Tokens([text.as_py()], shared.value)
                 if not (n := len(tokens.code)):
                     continue
                 size = min(window, n)
@@ -245,19 +265,18 @@ def _batch(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(list(c), _TYPES[n]) for n, c in zip(names, columns)], names=list(names))
 
 
-def document_windows(docs: DataFrame, table: BitTable, widths: list[int], common: frozenset[str]) -> DataFrame:
+def document_windows(docs: DataFrame, table: BitTable, widths: list[int], common: list[str]) -> DataFrame:
     """doc_id, text (digest), at, hash, exact, slots of the documents' windows that the table lets pass."""
-    shared = docs.sparkSession.sparkContext.broadcast((table, common))
+    shared = docs.sparkSession.sparkContext.broadcast((table, word_codes(common)))
     kind_of_id = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes, usual = shared.value
-        known = Lookup(usual)
         for batch in batches:
             keys, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             rows, at_row = [], []
             for low, high in _chunks(texts):
-                tokens = Tokens(texts[low:high], known)
+                tokens = Tokens(texts[low:high], usual)
                 for size in widths:
                     template, own, kind = tokens.windows(size)
                     for exact, hashes in ((False, template), (True, own)):
@@ -269,7 +288,6 @@ def document_windows(docs: DataFrame, table: BitTable, widths: list[int], common
             out = _batch(rows, ("text", *_SHAPE))
             ids = batch.column(0).take(pa.array(at_row, pa.int64()))
             yield pa.record_batch([ids, *out.columns], names=["doc_id", *out.schema.names])
-        del known
         trim()
 
     texts = docs.select("doc_id", digest().alias("digest"), "text")

@@ -5,16 +5,16 @@ from corpusloom.llm import decontam, queries
 
 
 def test_canonical_slots():
-    got = decontam.Tokens(["Then Alice bought 12 kg of rice for 3.5km.\nBob left", None, "", "kg. He 5"], decontam.Lookup(frozenset(["then", "he"])))
+    got = decontam.Tokens(["Then Alice bought 12 kg of rice for 3.5km.\nBob left", None, "", "kg. He 5"], decontam.word_codes(["then", "he"]))
     assert got.slot.astype(int).tolist() == [0, 1, 0, 1, 1, 0, 0, 0, 1, 1, 1, 0, 0, 0, 1]
     assert got.code[1] == got.code[10] == decontam.NAME and got.code[3] == decontam.NUM and got.code[4] == decontam.UNIT
-    assert got.raw(1) == b"Alice" and got.raw(11) == b"left" and got.text.tolist() == [0] * 12 + [3] * 3 and got.first.tolist() == [0, 12, 12, 12, 15]
+    assert got.value(1) == "alice" and got.value(11) == "left" and got.text.tolist() == [0] * 12 + [3] * 3 and got.first.tolist() == [0, 12, 12, 12, 15]
 
 
 def test_batches_equal_single_texts(texts):
     """Tokens and windows of a batch of texts are those of each text alone."""
     some = [texts[d] for d in sorted(texts)[:40]] + [None, "", "x"]
-    known = decontam.Lookup(frozenset("the der die el la le".split()))
+    known = decontam.word_codes("the der die el la le".split())
     whole = decontam.Tokens(some, known)
     for k, t in enumerate(some):
         one = decontam.Tokens([t], known)
