@@ -7,7 +7,8 @@ better; similarity is the negated distance. ``farthest_first`` sorts the other w
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from ..functions.text import deep_link, file_type, rerank_context
 from ..functions.urls import under_prefix
 
 TOP, TOP_FILTERED, RESULTS = 50, 1000, 15
+BLOCK, GROUP_BYTES = 256, 64 << 20
 
 
 def squared_l2(v: Column, q: list[float]) -> Column:
@@ -69,10 +71,57 @@ def nearest_with_prefix(chunks: DataFrame, q: list[float], prefix: str | None, k
     return nearest(chunks, q, k).where(under_prefix(F.col("url"), prefix))
 
 
-def batch_nearest(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, sub_id, distance, rank of the k nearest of each query (query_id, q); the query set is a stated one and small."""
-    d = F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda a, x: a + x)
-    pairs = chunks.crossJoin(queries).select("query_id", "sub_id", F.round(d, 6).alias("distance"))
+def _closest(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Position of each query, and ids and exact distances of its k nearest of a batch, ties by id."""
+    norms = np.einsum("ij,ij->i", vectors, vectors)
+    for at in range(0, len(queries), BLOCK):
+        block = queries[at : at + BLOCK]
+        rough = norms - 2 * block @ vectors.T + np.einsum("ij,ij->i", block, block)[:, None]
+        last = np.partition(rough, k - 1, axis=1)[:, k - 1] if k < len(ids) else rough.max(axis=1)
+        # the product cancels digits, so all that may be among the k by the exact, rounded distance stay
+        slack = 2e-6 + 1e-9 * np.abs(rough).max(axis=1)
+        for i, row in enumerate(rough):
+            near = np.flatnonzero(row <= last[i] + slack[i])
+            difference = vectors[near] - block[i]
+            exact = np.round(np.einsum("ij,ij->i", difference, difference), 6)
+            best = np.lexsort((ids[near], exact))[:k]
+            yield at + i, ids[near][best], exact[best]
+
+
+def batch_nearest(chunks: DataFrame, queries: DataFrame, k: int = 10, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """query_id, sub_id, distance, rank of the k nearest of each query (query_id, q); rows without a vector are left out.
+
+    Queries are dealt by hash to groups of about ``group_bytes``. Each group meets each Arrow batch of
+    chunks as one matrix product, which leaves k rows a query; these alone are shuffled.
+    """
+    spark = chunks.sparkSession
+    asked = queries.where("q is not null").select("query_id", F.col("q").cast("array<double>").alias("q"))
+    size = asked.agg(F.sum(F.size("q") * 8).alias("n")).first().n or 0
+    n = max(1, -(-size // group_bytes))
+    rows = chunks.where("embedding is not null").select("sub_id", "embedding")
+    kinds = [asked.schema["query_id"].dataType.simpleString(), rows.schema["sub_id"].dataType.simpleString()]
+    schema = f"query_id {kinds[0]}, sub_id {kinds[1]}, distance double"
+
+    def search(group: int) -> DataFrame:
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == group).toPandas()
+        held = spark.sparkContext.broadcast((own["query_id"].to_numpy(), np.stack(own["q"].to_numpy()) if len(own) else np.empty((0, 0))))
+
+        def nearest_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, matrix = held.value
+            for batch in batches:
+                if not len(batch) or not len(names):
+                    continue
+                found = list(_closest(np.stack(batch["embedding"].to_numpy()).astype(np.float64), batch["sub_id"].to_numpy(), matrix, k))
+                counts = [len(ids) for _, ids, _ in found]
+                yield pd.DataFrame({
+                    "query_id": np.repeat(names[[at for at, _, _ in found]], counts),
+                    "sub_id": np.concatenate([ids for _, ids, _ in found]),
+                    "distance": np.concatenate([d for _, _, d in found]),
+                })
+
+        return rows.mapInPandas(nearest_of, schema)
+
+    pairs = reduce(DataFrame.unionByName, [search(g) for g in range(n)])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "sub_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -122,7 +171,21 @@ def projected(rows: DataFrame) -> DataFrame:
     )
 
 
-def fused(corpus: DataFrame, knowledge: DataFrame, k: int = 10) -> DataFrame:
-    """Two ranked branches (source, id, title, content, score) in one ranking."""
+def fused(corpus: DataFrame, knowledge: DataFrame, k: int = 10, scorer: Callable[[Column], Column] | None = None, top_n: int = RESULTS) -> DataFrame:
+    """Two ranked branches (source, id, title, content, score) in one ranking: by score, or the best ``top_n`` by a scorer over the content."""
     named = knowledge.withColumn("title", F.concat(F.lit("[KB] "), "title"))
-    return corpus.unionByName(named).orderBy(F.desc("score"), "source", "id").limit(k)
+    rows = corpus.unionByName(named)
+    if scorer is not None:
+        rows, k = rows.withColumn("score", scorer(F.col("content"))), top_n
+    return rows.orderBy(F.desc("score"), "source", "id").limit(k)
+
+
+def article_results(chunks: DataFrame, base: str) -> DataFrame:
+    """Chunks of knowledge-base articles (number, title, chunk, score) in the result columns."""
+    none = F.lit(None).cast("string")
+    return chunks.select(
+        F.col("chunk").alias("precise_content"), F.col("chunk").alias("context_content"), "score", F.concat(F.lit("[KB] "), "title").alias("title"),
+        none.alias("source_url"), F.lit("/").alias("header_path"), none.alias("file_url"), F.lit("kb").alias("file_type"), none.alias("search_text_start"),
+        none.alias("search_text_end"), F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("double").alias("page_confidence"),
+        F.lit(None).cast("double").alias("html_confidence"), F.lit(f"knowledge base {base}").alias("node_hierarchy"),
+    )
