@@ -1,11 +1,17 @@
-"""Markdown operators on whole texts, line by line, in the JVM."""
+"""Markdown operators on whole texts, line by line; in the JVM but for the cut at headers."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
+from ..functions.udfs import arrow_function
+
+_HEADER = re.compile(r"(#+)\s(.*)", re.DOTALL)
 
 
 def _strip(c: Column) -> Column:
@@ -79,32 +85,40 @@ def reduction(before: Column, after: Column) -> Column:
     return F.coalesce(F.try_divide((F.length(before) - F.length(after)) * 100.0, F.length(before)), F.lit(0.0))
 
 
+@arrow_function("array<struct<level:int,title:string,header_path:string,text:string>>")
+def _cut_at_headers(texts: pd.Series) -> pd.Series:
+    def one(text: str | None) -> list[dict]:
+        if text is None:
+            return []
+        found: list[tuple[int, str, list[str]]] = [(0, "", [])]
+        fenced = False
+        for line in text.split("\n"):
+            if line.lstrip(" ").startswith("```"):
+                fenced = not fenced
+            elif not fenced and (head := _HEADER.match(line)):
+                found.append((len(head[1]), head[2].strip(), []))
+            found[-1][2].append(line)
+        rows, open_ = [], []
+        for level, title, lines in found:
+            # a header ends all open ones of its level or below
+            while open_ and open_[-1][0] >= level:
+                open_.pop()
+            path = f"/{'/'.join(t for _, t in open_)}/" if open_ else "/"
+            if level:
+                open_.append((level, title))
+            if body := "\n".join(lines).strip():
+                rows.append({"level": level, "title": title, "header_path": path, "text": body})
+        return rows
+
+    return texts.map(one)
+
+
 def sections(docs: DataFrame) -> DataFrame:
-    """doc_id, ord, level, title, header_path, text of every section between headers outside code fences.
+    """doc_id, ord, level, title, header_path, text of every section between headers outside code fences, plus other columns of docs.
 
-    header_path names the ancestors between slashes, or is / alone. Blank sections are left out.
+    header_path names the ancestors between slashes, or is / alone. Blank sections are left out. A text
+    is cut where it is, so nothing is shuffled.
     """
-    rows = docs.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    fence = F.startswith(F.ltrim("line"), F.lit("```"))
-    fenced = F.sum(fence.cast("int")).over(upto) % 2 == 1
-    head = ~fence & ~fenced & F.col("line").rlike(r"(?U)^#+\s")
-    marked = rows.withColumn("head", head).withColumn("section", F.sum(F.col("head").cast("int")).over(upto))
-    parts = F.sort_array(F.collect_list(F.struct("pos", "line")))
-    own = marked.groupBy("doc_id", "section").agg(
-        _strip(F.array_join(F.transform(parts, lambda x: x["line"]), "\n")).alias("text"), F.max(F.when(F.col("head"), F.col("line"))).alias("line")
-    )
-    own = own.select(
-        "doc_id", "section", "text",
-        F.coalesce(F.length(F.regexp_extract("line", "^(#+)", 1)), F.lit(0)).alias("level"),
-        F.coalesce(_strip(F.regexp_extract("line", r"(?U)^#+\s(.*)$", 1)), F.lit("")).alias("title"),
-    )
-    ahead = F.collect_list(F.struct("level", "title")).over(Window.partitionBy("doc_id").orderBy("section").rowsBetween(Window.unboundedPreceding, -1))
-    kind = "array<struct<level:int,title:string>>"
-    # a header ends all open ones of its level or below
-    stack = F.aggregate(ahead, F.array().cast(kind), lambda open_, h: F.concat(F.filter(open_, lambda o: o["level"] < h["level"]), F.array(h)).cast(kind))
-    chain = own.withColumn("stack", stack).withColumn("stack", F.expr("filter(stack, o -> o.level > 0 and (o.level < level or level = 0))"))
-    path = F.when(F.size("stack") > 0, F.concat(F.lit("/"), F.array_join(F.transform("stack", lambda o: o["title"]), "/"), F.lit("/"))).otherwise("/")
-    kept = chain.withColumn("header_path", path).where(F.col("text") != "")
-    ord_ = (F.row_number().over(Window.partitionBy("doc_id").orderBy("section")) - 1).alias("ord")
-    return kept.select("doc_id", ord_, "level", "title", "header_path", "text")
+    kept = [c for c in docs.columns if c not in ("doc_id", "text", "ord", "level", "title", "header_path")]
+    cut = docs.select("doc_id", *kept, F.posexplode(_cut_at_headers("text")).alias("ord", "_s"))
+    return cut.select("doc_id", "ord", *[F.col(f"_s.{c}") for c in ("level", "title", "header_path", "text")], *kept)

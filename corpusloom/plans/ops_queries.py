@@ -38,12 +38,12 @@ def snapshot_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH RECURSIVE e AS (SELECT page_id AS a, (page_id * 3 + k) % (SELECT count(*) FROM pages) AS b FROM pages, (VALUES (1), (2)) t(k)),
- f AS (SELECT 0::BIGINT AS page, 0 AS depth UNION SELECT e.b, f.depth + 1 FROM f JOIN e ON f.page = e.a WHERE f.depth < 6) SELECT page, min(depth)::INT AS depth FROM f GROUP BY page""")
+ f AS (SELECT 0::BIGINT AS page, 0 AS depth UNION SELECT e.b, f.depth + 1 FROM f JOIN e ON f.page = e.a WHERE f.depth < 15) SELECT page, min(depth)::INT AS depth FROM f GROUP BY page""")
 def crawl_bfs(spark: SparkSession, sf: str) -> DataFrame:
     """Breadth-first over links, depth by depth; each round reads only the newest pages."""
     pages = table(spark, sf, "pages")
     edges = pages.select(F.col("page_id").alias("page"), F.explode(F.array(F.lit(1), F.lit(2))).alias("pos")).withColumn("url", (F.col("page") * 3 + F.col("pos")) % pages.count())
-    return breadth_first(edges, spark.createDataFrame([(0,)], "url long"), 6).select(F.col("url").alias("page"), "depth")
+    return breadth_first(edges, spark.createDataFrame([(0,)], "url long")).select(F.col("url").alias("page"), "depth")
 
 
 @query("""SELECT b AS url, page, pos FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY page, pos) AS r FROM (SELECT page_id AS page, k AS pos, (page_id * 3 + k) % (SELECT count(*) FROM pages) AS b FROM pages, generate_series(1, 60) t(k) WHERE k <= 50)

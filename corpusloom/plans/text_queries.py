@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html, text, urls
@@ -141,20 +141,44 @@ def md_size_totals(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").agg(F.sum(n).alias("before_chars"), F.sum(F.when(F.contains("text", F.lit("|")), n)).alias("table_chars"))
 
 
-MARKDOWN = "intro\n# A\ntext a\n## B\ntext b\n```\n# no header\n```\n### C\n\n## D\ntext d\n# E\n\n# F\ntext f"
-FLAT = "## SECTION I\nx\n## Chapitre 2\n## Article 3 b\n## Other"
+def _lined(*parts: str | Column) -> Column:
+    """Texts (strings) and columns, one below the other; null columns are empty."""
+    return F.concat_ws("\n", *[F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("")) for p in parts])
 
 
-@query("""SELECT * FROM (VALUES (1::BIGINT, 0, 0, '', '/', 'intro'), (1, 1, 1, 'A', '/', '# A' || chr(10) || 'text a'),
- (1, 2, 2, 'B', '/A/', '## B' || chr(10) || 'text b' || chr(10) || '```' || chr(10) || '# no header' || chr(10) || '```'), (1, 3, 3, 'C', '/A/B/', '### C'), (1, 4, 2, 'D', '/A/', '## D' || chr(10) || 'text d'),
- (1, 5, 1, 'E', '/', '# E'), (1, 6, 1, 'F', '/', '# F' || chr(10) || 'text f')) t(doc_id, ord, level, title, header_path, text)""")
+def _marked_up(docs: DataFrame) -> DataFrame:
+    """Documents with headers of several levels round them, and a fence."""
+    title, lang, body = F.concat(F.lit("# "), F.coalesce("source", F.lit(""))), F.concat(F.lit("## "), F.coalesce("lang", F.lit(""))), F.col("text")
+    return docs.select("doc_id", _lined("intro", title, body, lang, "```", "# no header", "```", "### Deep", body, "## Last", "# End").alias("text"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, concat_ws(chr(10), 'intro', '# ' || coalesce(source, ''), coalesce(text, ''), '## ' || coalesce(lang, ''), '```', '# no header', '```', '### Deep', coalesce(text, ''), '## Last', '# End') AS text FROM documents),
+ l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+ f AS (SELECT *, starts_with(ltrim(line), '```') AS fence, sum(starts_with(ltrim(line), '```')::INT) OVER (PARTITION BY doc_id ORDER BY pos) % 2 = 1 AS fenced FROM l),
+ h AS (SELECT *, NOT fence AND NOT fenced AND regexp_matches(line, '^#+\s') AS head FROM f),
+ s AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM h),
+ o AS (SELECT doc_id, section, regexp_replace(string_agg(line, chr(10) ORDER BY pos), '^\s+|\s+$', '', 'g') AS text, max(line) FILTER (head) AS head FROM s GROUP BY doc_id, section),
+ g AS (SELECT doc_id, section, text, coalesce(length(regexp_extract(head, '^(#+)', 1)), 0) AS level, coalesce(trim(regexp_extract(head, '^#+\s(.*)$', 1)), '') AS title FROM o),
+ a AS (SELECT g.doc_id, g.section, string_agg(p.title, '/' ORDER BY p.section) AS path FROM g JOIN g p ON p.doc_id = g.doc_id AND p.section < g.section AND p.level > 0 AND p.level < g.level
+  WHERE NOT EXISTS (SELECT 1 FROM g x WHERE x.doc_id = g.doc_id AND x.section > p.section AND x.section < g.section AND x.level <= p.level) GROUP BY g.doc_id, g.section)
+ SELECT g.doc_id, (row_number() OVER (PARTITION BY g.doc_id ORDER BY g.section) - 1)::INT AS ord, level::INT AS level, title, coalesce('/' || path || '/', '/') AS header_path, text
+ FROM g LEFT JOIN a ON a.doc_id = g.doc_id AND a.section = g.section WHERE text <> ''""")
 def md_sections(spark: SparkSession, sf: str) -> DataFrame:
-    return markdown.sections(spark.createDataFrame([(1, MARKDOWN)], "doc_id long, text string"))
+    return markdown.sections(_marked_up(table(spark, sf, "documents")))
 
 
-@query("""SELECT * FROM (VALUES (1::BIGINT, true, '# SECTION I' || chr(10) || 'x' || chr(10) || '## Chapitre 2' || chr(10) || '### Article 3 b' || chr(10) || '## Other'), (2, false, '# T' || chr(10) || '## SECTION I')) t(doc_id, flat, text)""")
+@query(r"""WITH d AS (SELECT doc_id, concat_ws(chr(10), CASE WHEN doc_id % 3 = 0 THEN '# Top' END, '## SECTION ' || coalesce(source, ''), '## Chapitre 2', '## Article ' || doc_id || ' b', '## Other', coalesce(text, '')) AS text FROM documents),
+ l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM d),
+ f AS (SELECT *, len(list_filter(ls, lambda x: regexp_matches(trim(x), '^##([^#]|$)'))) > 0 AND len(list_filter(ls, lambda x: regexp_matches(trim(x), '^#([^#]|$)|^###'))) = 0 AS flat FROM l)
+ SELECT doc_id, flat, CASE WHEN NOT flat THEN text ELSE array_to_string(list_transform(ls, lambda x: CASE
+  WHEN regexp_matches(trim(x), '(?i)^## SECTION\s') THEN '# ' || substr(trim(x), 4) WHEN regexp_matches(trim(x), '(?i)^## (CHAPITRE|TITRE)\s') THEN trim(x)
+  WHEN regexp_matches(trim(x), '(?i)^## Art(icle)?\.?\s+\d+') THEN '### ' || substr(trim(x), 4) ELSE x END), chr(10)) END AS text FROM f""")
 def md_hierarchy_fix(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, FLAT), (2, "# T\n## SECTION I")], "doc_id long, text string")
+    top = F.when(F.col("doc_id") % 3 == 0, "# Top")
+    id_ = F.concat(F.lit("## Article "), F.col("doc_id").cast("string"), F.lit(" b"))
+    section = F.concat(F.lit("## SECTION "), F.coalesce("source", F.lit("")))
+    parts = F.concat_ws("\n", top, section, F.lit("## Chapitre 2"), id_, F.lit("## Other"), F.coalesce("text", F.lit("")))
+    rows = table(spark, sf, "documents").select("doc_id", parts.alias("text"))
     return rows.select("doc_id", markdown.is_flat(F.col("text")).alias("flat"), markdown.repaired(F.col("text")).alias("text"))
 
 
