@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html
 from ..operators import anchors, chunking, diagnostics, search
+from ..sources import index
 from .registry import query, table
 
 LINES = "SELECT doc_id, p - 1 AS pos, ls[p] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(generate_series(1, len(string_split(text, chr(10))))) AS p FROM documents)"
@@ -125,6 +126,14 @@ def fuzzy_best_name(spark: SparkSession, sf: str) -> DataFrame:
     return anchors.best_names(names, table(spark, sf, "supplier").select(F.col("s_name").alias("name")))
 
 
+@query()
+def index_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page as Markdown, through the build's steps up to linked nodes."""
+    name = F.concat(F.col("page_id").cast("string"), F.lit(".md"))
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), name.alias("file_name"), F.col("url").alias("source_url"), html.to_markdown("html").alias("text"))
+    return index.index_nodes(pages)
+
+
 # Retrieval: sub_id = vec_id, child = vec_id div 2, parent = vec_id div 6
 
 
