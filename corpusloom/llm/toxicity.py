@@ -3,12 +3,16 @@
 Folding lower-cases, maps homoglyphs and accented letters to base letters, undoes digit and sign
 substitutions inside words, and drops zero-width characters. The lexicon holds words and word
 beginnings (``stem*``) with weights. Weights are log odds of a term in toxic against other labelled
-rows; a seed list of common insults has a default weight where the labelled rows lack a term. Hits
-count at word starts only, the heaviest term of a place once, and not within an exception phrase.
-The sum of weights and its ratio to the length go through a logistic function fitted on the labels.
+rows; a seed list of common insults has a default weight where the labelled rows lack a term. Words
+are runs of letters of any script; scripts written without spaces have pairs and triples of
+characters as terms. Hits count at word starts only (anywhere in unspaced scripts), the heaviest
+term of a place once, and not within an exception phrase: a given one, or two words around a hit
+that labelled rows show to be harmless. The sum of weights and its ratio to the length go through a
+logistic function fitted on the labels.
 
-Terms, weights and the function are fitted on a bounded sample of labelled rows: ``FIT_ROWS`` in
-hash order, and at most ``LEXICON`` terms, documented parameters. Whole texts are scored.
+Terms, weights, learnt exceptions and the function are fitted on a bounded sample of labelled rows:
+``FIT_ROWS`` in hash order, and at most ``LEXICON`` terms and as many exceptions, documented
+parameters. Whole texts are scored.
 
 Null and empty texts have no hits and get the score of a text without hits. Without labels of both
 classes the seed list and a fixed function score. Repeated rows get equal results, other columns
@@ -19,17 +23,20 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, written
 
 FIT_ROWS, LEXICON = 20_000, 4_000
 SEED_WEIGHT = 3.0
@@ -52,7 +59,10 @@ _ZERO_WIDTH = re.compile("[­​-‏⁠﻿]")
 _NEEDS_LEET = re.compile(r"[a-z][0-9@$€]|[0-9@$€][a-z]")
 _LEET_WORD = re.compile(r"[a-z0-9@$€]*(?:[a-z][0-9@$€]|[0-9@$€][a-z])[a-z0-9@$€]*")
 _BANG = re.compile(r"(?<=[a-z])[!|](?=[a-z])")
-_WORD = re.compile(r"[a-z]+")
+# Thai and Lao, Burmese, Khmer, Japanese kana, Han.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff"
+_UNSPACED_CHAR = re.compile(f"[{_UNSPACED}]")
+_WORD = regex.compile(rf"(?V1)[{_UNSPACED}]++|[\p{{L}}--[{_UNSPACED}]][[\p{{L}}\p{{M}}]--[{_UNSPACED}]]*+")
 _SPELLED = re.compile(r"(?<![a-z])(?:[a-z][.\-_*]){2,}[a-z](?![a-z])")
 
 
@@ -84,10 +94,38 @@ def fold(text: str | None) -> str:
     return _SPELLED.sub(lambda m: re.sub(r"[^a-z]", "", m[0]), text) if re.search(r"[.\-_*][a-z][.\-_*]", text) else text
 
 
+def _unspaced(c: str) -> bool:
+    return not c.isascii() and _UNSPACED_CHAR.match(c) is not None
+
+
+def _joins(c: str) -> bool:
+    """Part of a word of a script that has spaces."""
+    return c.isalpha() if c.isascii() else (c.isalpha() or unicodedata.category(c)[0] == "M") and not _unspaced(c)
+
+
 def terms_of(folded: str) -> set[str]:
-    """Words and word beginnings of a folded text."""
-    words = set(_WORD.findall(folded))
-    return {w for w in words if len(w) > 2} | {f"{w[:k]}*" for w in words for k in PREFIXES if len(w) > k}
+    """Words and word beginnings of a folded text; pairs and triples of characters of unspaced scripts."""
+    out = set()
+    for w in set(_WORD.findall(folded)):
+        if _unspaced(w[0]):
+            out.update(w[k : k + size] for size in (2, 3) for k in range(len(w) - size + 1))
+        else:
+            out.update([w] if len(w) > 2 else [], (f"{w[:k]}*" for k in PREFIXES if len(w) > k))
+    return out
+
+
+def phrases_of(folded: str, starts: set[int]) -> set[str]:
+    """Two words with one space between them, one of which begins at one of the starts."""
+    words = [m.span() for m in _WORD.finditer(folded)]
+    near = (p for p in zip(words, words[1:]) if p[0][0] in starts or p[1][0] in starts)
+    return {folded[a:d] for (a, b), (c, d) in near if folded[b:c] == " " and not _unspaced(folded[a]) and not _unspaced(folded[c])}
+
+
+def _uncovered(found: dict[int, float], spans: list[tuple[int, int]]) -> dict[int, float]:
+    """What begins in none of the spans (first, last)."""
+    spans = sorted(spans)
+    firsts, reach = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+    return {s: w for s, w in found.items() if not (k := bisect_right(firsts, s)) or reach[k - 1] < s}
 
 
 class Lexicon:
@@ -121,18 +159,17 @@ class Lexicon:
         n = len(folded)
         for last, (size, own) in self.automaton().iter(folded):
             start = last - size + 1
-            if start and folded[start - 1].isalpha():
+            spaced = not _unspaced(folded[start])
+            if spaced and start and _joins(folded[start - 1]):
                 continue
-            open_end = last + 1 < n and folded[last + 1].isalpha()
+            open_end = spaced and last + 1 < n and _joins(folded[last + 1])
             for weight, prefix in own:
                 if weight is None:
                     if not open_end:
                         excused.append((start, last))
                 elif prefix == open_end and weight > found.get(start, 0.0):  # a beginning must go on, a word must end
                     found[start] = weight
-        if excused:
-            found = {s: w for s, w in found.items() if not any(a <= s <= b for a, b in excused)}
-        return found
+        return _uncovered(found, excused) if excused else found
 
     def measures(self, text: str | None) -> tuple[float, float]:
         """Sum of weights, and its ratio to the length, both dampened."""
@@ -170,37 +207,41 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lexicon:
     """docs: doc_id, text; labels: doc_id, toxic, training rows only."""
     seeds = {s: SEED_WEIGHT for s in SEEDS}
     some = labels.where("doc_id is not null and toxic is not null").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
-    # at most ``rows`` short rows
-    picked = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("toxic", "text")
+    # at most ``rows`` short rows are broadcast; the sample is written, so that the documents are read once
+    own = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").repartition(32, "doc_id")
+    picked = written(own.select("toxic", "text"), "tox-sample")
+
+    def counted(found_in, name: str) -> DataFrame:  # noqa: ANN001
+        """name, toxic, clean: rows of either label in which a string is found."""
 
-    def count(allowed: frozenset[str] | None, toxic: int):  # noqa: ANN202
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                seen: Counter[str] = Counter()
+                seen = Counter(), Counter()
                 for kind, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    if (kind > 0) == bool(toxic):
-                        own = terms_of(fold(text.as_py()))
-                        seen.update(own if allowed is None else own & allowed)
-                        seen[""] += 1
-                yield pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
-
-        return picked.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-
-    # terms in enough toxic rows; the most frequent ones, ten times as many as the lexicon takes
-    often = count(None, 1).where(f"n >= {MIN_ROWS}").orderBy(F.desc("n"), "term").limit(10 * LEXICON).toPandas()
-    toxic = dict(zip(often["term"], often["n"]))
-    n_toxic = toxic.pop("", 0)
-    if not n_toxic:
-        return Lexicon(seeds)
-    other = count(frozenset(toxic) | frozenset(SEEDS), 0).toPandas()
-    clean = dict(zip(other["term"], other["n"]))
-    if not (n_clean := clean.pop("", 0)):
+                    seen[kind <= 0].update(found_in(fold(text.as_py())))
+                keys = list(seen[0] | seen[1])
+                yield pa.record_batch([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in seen)], names=[name, "toxic", "clean"])
+
+        return picked.mapInArrow(run, f"{name} string, toxic long, clean long").groupBy(name).agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+    # seeds, and terms in enough toxic rows: the most frequent ones, ten times as many as the lexicon takes
+    fixed = F.col("term").isin("", *SEEDS)
+    often = counted(lambda t: terms_of(t) | {""}, "term").where(fixed | (F.col("toxic") >= MIN_ROWS))
+    counts = {r["term"]: (r["toxic"], r["clean"]) for r in often.orderBy(~fixed, F.desc("toxic"), "term").limit(10 * LEXICON + len(SEEDS) + 1).collect()}
+    n_toxic, n_clean = counts.pop("", (0, 0))
+    if not n_toxic or not n_clean:
         return Lexicon(seeds)
-    odds = {t: (n + 0.5) / (n_toxic + 1) / ((clean.get(t, 0) + 0.5) / (n_clean + 1)) for t, n in toxic.items()}
-    best = sorted((t for t, o in odds.items() if o >= MIN_ODDS), key=lambda t: (-toxic[t] * np.log(odds[t]), t))[:LEXICON]
-    weights = {s: w for s, w in seeds.items() if clean.get(s, 0) <= 2 + 0.002 * n_clean}
-    weights |= {t: float(min(6.0, np.log(odds[t]))) for t in best}
-    lexicon = Lexicon(weights)
+    odds = {t: (n + 0.5) / (n_toxic + 1) / ((c + 0.5) / (n_clean + 1)) for t, (n, c) in counts.items() if n >= MIN_ROWS}
+    best = sorted((t for t, o in odds.items() if o >= MIN_ODDS), key=lambda t: (-counts[t][0] * np.log(odds[t]), t))[:LEXICON]
+    terms = {t: float(min(6.0, np.log(odds[t]))) for t in best}
+    plain = Lexicon(seeds | terms)
+    harmless = (F.col("clean") >= MIN_ROWS) & ((F.col("clean") + 0.5) / (n_clean + 1) >= MIN_ODDS * (F.col("toxic") + 0.5) / (n_toxic + 1))
+    learnt = counted(lambda t: phrases_of(t, set(plain.hits(t))), "phrase").where(harmless).orderBy(F.desc("clean"), "phrase").limit(LEXICON).collect()
+    exceptions = EXCEPTIONS + tuple(r["phrase"] for r in learnt)
+    # seeds that other rows hold often, outside exceptions too, are no insults there
+    own_seeds = Lexicon(seeds, exceptions)
+    used = counted(lambda t: {_WORD.match(t, k)[0] for k in own_seeds.hits(t)}, "seed").where(F.col("clean") > 2 + 0.002 * n_clean).collect()
+    lexicon = Lexicon({s: w for s, w in seeds.items() if s not in {r["seed"] for r in used}} | terms, exceptions)
 
     @F.pandas_udf("a double, b double")
     def measured(texts: pd.Series) -> pd.DataFrame:
