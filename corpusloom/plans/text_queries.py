@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, text, urls
 from ..operators import chunking, filters, markdown
+from ..sources.files import missing_conversions
 from .registry import query, table
 
 LINES = "SELECT doc_id, p - 1 AS pos, ls[p] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(generate_series(1, len(string_split(text, chr(10))))) AS p FROM documents)"
@@ -304,6 +305,8 @@ def outcome_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT lang, count(*) AS missing FROM documents d ANTI JOIN labels USING (doc_id) GROUP BY lang")
 def missing_conversion(spark: SparkSession, sf: str) -> DataFrame:
-    missing = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left_anti")
+    path = lambda ending: F.concat(F.lit("library/"), F.col("doc_id").cast("string"), F.lit(ending)).alias("path")
+    sources = table(spark, sf, "documents").select("lang", path(".PDF"))
+    missing = missing_conversions(sources, table(spark, sf, "labels").select(path(".md")))
     return missing.groupBy("lang").agg(F.count(F.lit(1)).alias("missing"))
 
