@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmlmain, langid, lmscore, mixing, neardup, pii, quality, tokenfile, toxicity
-from .common import crc_fold, table, word_count
+from . import decontam, htmlmain, langid, lmscore, mixing, neardup, periodic, pii, quality, tokenfile, toxicity
+from .common import WORD, crc_fold, table, word_count
 
 #: Where the public vocabularies lie; a parameter of the token query.
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
@@ -76,6 +76,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "anomaly", "rule")
 
 
+def _periodic_tenth(docs: DataFrame) -> DataFrame:
+    """The documents, of which about every tenth (crc32 of the id) repeats a stretch of its words up to its end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    n, g = F.greatest(F.size("words"), F.lit(1)), F.floor(h / 10)
+    own = docs.withColumn("words", words).withColumn("a", (g % n).cast("int")).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    rest = F.size("words") - F.col("a")
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    repeated = F.concat_ws(" ", F.slice("words", F.lit(1), F.col("a")), F.slice(again, F.lit(1), rest))
+    return own.select("doc_id", F.when(F.size("words") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(_periodic_tenth(_documents(spark, sf_dir, "doc_id", "text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("short"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    shown = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.short")
+    return shown.select(
+        "doc_id", "n_runs", (-F.col("best.before")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -87,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_main_text": op9_main_text,
     "op10_quality_rules": op10_quality_rules,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 MIX_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5('7:' || doc_id), 1, 8))::BIGINT AS h FROM documents),
