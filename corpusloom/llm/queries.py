@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmlmain, langid, lmscore, mixing, neardup, periodic, pii, quality, tokenfile, toxicity, whitening
+from . import annsearch, decontam, htmlmain, langid, lmscore, mixing, neardup, periodic, pii, quality, tokenfile, toxicity, whitening
 from .common import WORD, crc_fold, table, word_count
 
 #: Where the public vocabularies lie; a parameter of the token query.
@@ -111,6 +111,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annsearch.neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -124,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
 MIX_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5('7:' || doc_id), 1, 8))::BIGINT AS h FROM documents),
