@@ -34,6 +34,16 @@ class Request:
     rerank: bool = True
     url_prefix: str | None = None
     groups: tuple[str, ...] = ()
+    key: str | None = None
+    password: str | None = None
+
+
+@dataclass(frozen=True)
+class Gate:
+    """What requests have to bring: the service's key, and the library's password if it has one."""
+
+    key: str | None
+    password: str | None = None
 
 
 def check_key(given: str | None, expected: str | None) -> None:
@@ -93,8 +103,11 @@ def from_cache(library: Library, rows: list[tuple]) -> DataFrame:
     return search.projected(full.orderBy("position"))
 
 
-def answer(library: Library, request: Request, embed: Callable[[Column], Column] = hashed_words, scorer: Callable[[Column, Column], Column] | None = search.lexical_overlap, cache: ResultCache | None = None) -> DataFrame:
-    """The result columns of a request, best first. Without reranking the cache is neither read nor written."""
+def answer(library: Library, request: Request, embed: Callable[[Column], Column] = hashed_words, scorer: Callable[[Column, Column], Column] | None = search.lexical_overlap, cache: ResultCache | None = None, gate: Gate | None = None) -> DataFrame:
+    """The result columns of a request, best first. Without reranking the cache is neither read nor written. A gate is asked first."""
+    if gate is not None:
+        check_key(request.key, gate.key)
+        check_password(request.password, gate.password)
     check_access(library, request.groups)
     if not request.rerank:
         cache, scorer = None, None
@@ -102,6 +115,7 @@ def answer(library: Library, request: Request, embed: Callable[[Column], Column]
         filters = F.lit(request.url_prefix).cast("string")
         groups = F.array(*[F.lit(g) for g in request.groups]).cast("array<string>")
         key = _one(library, cache_key(F.lit(request.query), F.lit(library.library_id), groups, filters, F.lit(request.top_k)))
+        key = f"{key}@{library.version()}"  # ids are positions: another version's entries are not this one's
         if (rows := cache.get(key)) is not None:
             return from_cache(library, rows)
     best = search.reranked(retrieved(library, request, embed), F.lit(request.query), request.top_k, scorer)

@@ -101,6 +101,8 @@ class KeyedTable:
     def _rows(self, state: dict, buckets: list[str] | None = None) -> DataFrame | None:
         folders = state.get("folders", {})
         paths = [f"{self.root}/data/{folder}/{_BUCKET}={b}" for b, folder in folders.items() if buckets is None or b in buckets]
+        if "path" in state:
+            raise ValueError(f"{self.root} was published whole and has no keys")
         if "schema" not in state:
             return None
         schema = StructType.fromJson(state["schema"])

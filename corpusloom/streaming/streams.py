@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.index import apply_versions
+from ..sources.store import Library
+
 MARKDOWN = "path string, text string"
 
 
@@ -30,6 +33,20 @@ def changed_pages(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     return stream.withWatermark("crawled_at", delay).dropDuplicatesWithinWatermark(["url", "content_hash"])
 
 
+def followed(stream: DataFrame, library: Library, checkpoint: str, available_now: bool = True, **options: object):  # noqa: ANN201
+    """Keeps a built library at the newest versions of a stream (doc_id, file_name, source_url, text, removed, at).
+
+    Each micro-batch is applied as a whole; one that is run again finds nothing to change.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        apply_versions(library, batch.persist(), **options)
+        batch.unpersist()
+
+    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def _timed(stream: DataFrame, delay: str) -> DataFrame:
     """With a watermark on ts, which may come without a time zone."""
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)

@@ -105,7 +105,7 @@ def test_cache(spark, library):
     assert other.counts["misses"] == 0 and other.counts["writes"] == 0
     for q in ("cats", "dogs"):
         rows(held, answers.Request(q))
-    assert len(held.held) == 2 and library.read("cache").count() == 2
+    assert len(held.held) == 2 and held.entries().count() == 2
     held.put("gone", [("no/c/0", "no/p/0", 1.256), ("b.md/c/0", "b.md/p/0", 0.5)])
     assert held.get("gone")[0][2] == 1.26 and answers.from_cache(library, held.get("gone")).count() == 1
     held.clear()
@@ -113,6 +113,147 @@ def test_cache(spark, library):
     assert answers.from_cache(library, []).count() == 0
 
 
+def test_no_stale_hit_after_a_rebuild(spark, tmp_path):
+    """The same id names another passage after a rebuild; neither tier answers with the old one's place."""
+    lib = Library(spark, str(tmp_path), "again", buckets=2)
+    docs = lambda text: spark.createDataFrame([("a.md", "a.md", "u", text)], "doc_id string, file_name string, source_url string, text string")
+    held, request = cache.ResultCache(lib), answers.Request("trains leave")
+    ask = lambda: answers.answer(lib, request, cache=held).first()
+    index.build(lib, docs("# Trains\ntrains leave on time"))
+    assert "on time" in ask().precise_content and ask().node_hierarchy == "cached"
+    index.build(lib, docs("# Boats\nboats stay in the harbour"))
+    again = ask()
+    assert "harbour" in again.precise_content and again.node_hierarchy != "cached" and held.counts["misses"] == 2
+    index.update(lib, docs("# Cars\ncars drive"))
+    assert "drive" in ask().precise_content and held.counts["misses"] == 3
+
+
+def test_cache_of_two_drivers(spark, tmp_path, monkeypatch):
+    """Writes during a compaction and compactions at the same time lose no entry."""
+    lib = Library(spark, str(tmp_path), "shared")
+    a, b = cache.ResultCache(lib, files=3), cache.ResultCache(lib, files=1000)
+    entry = lambda n: [(f"c{n}", "p", n / 3)]
+    a.put("1", entry(1)), b.put("2", entry(2))
+    assert cache.ResultCache(lib).get("1") == [("c1", "p", 0.33)] and cache.ResultCache(lib).get("2") is not None
+    newest = cache.ResultCache._newest
+
+    def meanwhile(self, parts):
+        out = newest(self, parts)
+        if self is a and not b.held.get("4"):
+            b.put("4", entry(4))
+        return out
+
+    monkeypatch.setattr(cache.ResultCache, "_newest", meanwhile)
+    real, late = b._open, []
+
+    def closed_meanwhile():
+        """b learns the open part, then a compacts, then b writes."""
+        state = real()
+        if not late:
+            late.append(1)
+            assert a.compact()
+        return state
+
+    b._open = closed_meanwhile
+    b.put("3", entry(3))
+    monkeypatch.undo()
+    assert {r.key for r in cache.ResultCache(lib).entries().collect()} == {"1", "2", "3", "4"}
+    for n in range(5, 9):
+        a.put(str(n), entry(n))
+    number, state = a.log.latest()
+    assert len(state["closed"]) == 1 and number >= 5
+    a.put("1", entry(9))
+    fresh = cache.ResultCache(lib, most=3)
+    asked = spark.createDataFrame([("1",), ("7",), ("no",)], "key string")
+    assert {r.key: r.rows and r.rows[0][0] for r in fresh.lookup(asked).collect()} == {"1": "c9", "7": "c7", "no": None}
+    assert fresh.compact() and {r.key for r in fresh.entries().collect()} == {"1", "8", "7"}
+    fresh.put_all(spark.createDataFrame([("x", entry(7), 1e12)], cache.ENTRY))
+    assert fresh.get("x") == [("c7", "p", 2.33)]
+
+
+def test_gate_of_a_request(spark, library):
+    gate = answers.Gate("k", "p")
+    for key, password, status in ((None, "p", 422), ("x", "p", 403), ("k", None, 401), ("k", "x", 403)):
+        with pytest.raises(answers.Refused) as caught:
+            answers.answer(library, answers.Request("cats", key=key, password=password), gate=gate)
+        assert caught.value.status == status
+    assert answers.answer(library, answers.Request("cats", key="k", password="p"), gate=gate).count() > 0
+
+
+PAGES = "doc_id long, file_name string, source_url string, text string"
+
+
+def tables(lib):
+    nodes = {tuple(r) for r in lib.read("hierarchy").select("doc_id", "node_id", "level", "text", "parent_id", "prev_id", "next_id", "file_name", "header_path").collect()}
+    vectors = {(r.sub_id, r.child_id, r.text, tuple(r.embedding)) for r in lib.read("vectors").collect()}
+    return nodes, vectors, {tuple(r) for r in lib.read("snapshot").collect()}
+
+
+def test_update_equals_a_build(spark, sf, tmp_path):
+    """Two crawls of the pages: removed, altered, added, renamed and unchanged ones."""
+    from corpusloom.functions import html
+    from corpusloom.sources.kb import hashed_words
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet").where("page_id < 60").select(F.col("page_id").alias("doc_id"), F.concat(F.col("page_id").cast("string"), F.lit(".md")).alias("file_name"), F.col("url").alias("source_url"), html.to_markdown("html").alias("text"))
+    pages = spark.createDataFrame(pages.collect(), PAGES)
+    old = pages.where("doc_id % 10 <> 0")
+    name = F.when(F.col("doc_id") % 13 == 0, "moved.md").otherwise(F.col("file_name"))
+    text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("\n\n# More\nrevised"))).otherwise(F.col("text"))
+    new = pages.where("doc_id % 11 <> 0").withColumn("text", text).withColumn("file_name", name)
+    lib, full = Library(spark, str(tmp_path), "inc", buckets=4), Library(spark, str(tmp_path), "full", buckets=4)
+    read = spark.sparkContext.accumulator(0)
+
+    def embed(column):
+        @F.pandas_udf("int")
+        def seen(x):
+            read.add(len(x))
+            return x.str.len()
+
+        return F.when(seen(column) >= 0, hashed_words(column))
+
+    assert index.update(lib, old) == {"added": old.count(), "changed": 0, "removed": 0, "unchanged": 0}
+    counts = index.update(lib, new, embed)
+    ids = {r.doc_id for r in new.collect()}
+    was = {r.doc_id for r in old.collect()}
+    changed = {d for d in ids & was if d % 7 == 0 or d % 13 == 0}
+    assert counts == {"added": len(ids - was), "changed": len(changed), "removed": len(was - ids), "unchanged": len((ids & was) - changed)}
+    index.build(full, new)
+    assert tables(lib) == tables(full)
+    fresh = full.read("vectors").where(F.col("doc_id").isin(*(changed | (ids - was)))).count()
+    assert read.value == fresh < full.read("vectors").count() / 2
+    version = lib.version()
+    assert index.update(lib, new, embed) == {"added": 0, "changed": 0, "removed": 0, "unchanged": len(ids)}
+    assert read.value == fresh and lib.version() == version and lib.status()["num_documents"] == len(ids)
+
+
+def test_given_hashes(spark, tmp_path):
+    """Hashes of a crawl are trusted; an unknown one means a change."""
+    lib = Library(spark, str(tmp_path), "hashes", buckets=2)
+    docs = lambda *rows: spark.createDataFrame(rows, f"{PAGES}, hash string")
+    index.update(lib, docs((1, "a", "u", "text one", "h1"), (2, "b", "u", "text two", None)), cut=index.plain_nodes)
+    got = index.update(lib, docs((1, "a", "u", "not looked at", "h1"), (2, "b", "u", "text 2", None)), cut=index.plain_nodes)
+    assert got == {"added": 0, "changed": 1, "removed": 0, "unchanged": 1}
+    assert {r.text for r in lib.read("hierarchy").collect()} == {"text one", "text 2"}
+
+
+def test_followed_stream(spark, tmp_path):
+    """Versions and removals as they come, with a stop between, lead to the build of the newest ones."""
+    from corpusloom.streaming import streams
+
+    schema = f"{PAGES}, removed boolean, at long"
+    row = lambda d, text, at, removed=False: (d, f"{d}.md", "u", text, removed, at)
+    lib, full = Library(spark, str(tmp_path), "inc", buckets=2), Library(spark, str(tmp_path), "full", buckets=2)
+    index.build(lib, spark.createDataFrame([row(d, f"first text {d}", 0)[:4] for d in (1, 2, 3)], PAGES), cut=index.plain_nodes)
+    stream = lambda: spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    put = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    put(row(1, "second", 1), row(1, "third", 2), row(4, "new", 1))
+    streams.followed(stream(), lib, f"{tmp_path}/ck", cut=index.plain_nodes).awaitTermination()
+    put(row(2, None, 3, True), row(4, "newer", 3), row(3, "first text 3", 3))
+    streams.followed(stream(), lib, f"{tmp_path}/ck", cut=index.plain_nodes).awaitTermination()
+    index.build(full, spark.createDataFrame([row(1, "third", 0)[:4], row(3, "first text 3", 0)[:4], row(4, "newer", 0)[:4]], PAGES), cut=index.plain_nodes)
+    assert tables(lib) == tables(full)
+
+
 def test_gates(spark, library, tmp_path):
     def status(check, *args):
         with pytest.raises(answers.Refused) as caught:
