@@ -87,7 +87,7 @@ class ResultCache:
         rounded = [(child, context, None if score is None else round(score, 2)) for child, context, score in rows]
         self._hold(key, rounded)
         new = self.library.spark.createDataFrame([(key, rounded, time.time())], ENTRY)
-        self._append(new)
+        self._append(new.coalesce(1))
         self.counts["writes"] += 1
 
     def put_all(self, entries: DataFrame) -> None:
@@ -98,7 +98,7 @@ class ResultCache:
     def _append(self, new: DataFrame) -> None:
         while True:
             part = self._open()[1]["open"]
-            new.coalesce(1).write.parquet(f"{self.log.root}/data/{part}/{uuid.uuid4().hex}")
+            new.write.parquet(f"{self.log.root}/data/{part}/{uuid.uuid4().hex}")
             if self._open()[1]["open"] == part:
                 break  # a compaction that comes now will read it
         if len(self.log.names(f"data/{part}")) >= self.files:
