@@ -91,20 +91,3 @@ def anchored(nodes: DataFrame, fragments: DataFrame, pages: DataFrame) -> DataFr
 def without_anchor(nodes: DataFrame) -> DataFrame:
     """Children that have neither fragment nor page."""
     return nodes.where("parent_id is not null and search_text_start is null and page_number is null")
-
-
-def best_names(names: DataFrame, targets: DataFrame, threshold: float = 85) -> DataFrame:
-    """Rename plan: name, target, score of names whose best target (ties by name) reaches the threshold and differs.
-
-    Both listings are of files of one library; pairs are limited to lengths that can reach the threshold.
-    """
-    from ..functions.fuzzy import ratio_of
-
-    a, b = names.select("name", F.length("name").alias("n")).distinct(), targets.select(F.col("name").alias("target"), F.length("name").alias("m")).distinct()
-    # 2 * min / (n + m) bounds the ratio, so lengths meet in few buckets
-    span = threshold / (200.0 - threshold)
-    spread = a.withColumn("m", F.explode(F.sequence(F.ceil(F.col("n") * span).cast("int"), F.floor(F.col("n") / span).cast("int"))))
-    rows = spread.join(b, "m").withColumn("score", F.round(ratio_of("name", "target"), 0))
-    best = rows.groupBy("name").agg(F.min_by("target", F.struct(-F.col("score"), F.col("target"))).alias("target"), F.max("score").alias("score"))
-    taken = b.select(F.col("target").alias("name"))
-    return best.where((F.col("score") >= threshold) & (F.col("name") != F.col("target"))).join(taken, "name", "left_anti")

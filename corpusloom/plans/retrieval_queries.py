@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html
-from ..operators import anchors, chunking, diagnostics, search
+from ..operators import anchors, chunking, diagnostics, names, search
 from ..sources import index
 from .registry import query, table
 
@@ -120,10 +120,15 @@ def annotation_audit(spark: SparkSession, sf: str) -> DataFrame:
     return kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""WITH t AS (SELECT p_partkey AS k, substr(md5(p_partkey::VARCHAR), 1, 28) || '.md' AS target FROM part), n AS (SELECT *, length(target) AS m, CASE WHEN k % 3 = 0 THEN 'copy of ' || target ELSE substr(target, 1, 5) || '~' || substr(target, 7) || '.pdf' END AS name FROM t),
+ s AS (SELECT name, target, round(CASE WHEN k % 3 = 0 THEN 200.0::DOUBLE * m / (2 * m + 8) ELSE 200.0::DOUBLE * (m - 1) / (2 * m + 4) END) AS score FROM n) SELECT * FROM s WHERE score >= 85""")
 def fuzzy_best_name(spark: SparkSession, sf: str) -> DataFrame:
-    names = table(spark, sf, "supplier").select(F.regexp_replace("s_name", "#", "-").alias("name"))
-    return anchors.best_names(names, table(spark, sf, "supplier").select(F.col("s_name").alias("name")))
+    """Copies with slips of file names, one for each part, find the file they come from among all."""
+    target = F.concat(F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 28), F.lit(".md"))
+    files = table(spark, sf, "part").select("p_partkey", target.alias("name"))
+    slip = F.concat(F.substring("name", 1, 5), F.lit("~"), F.substring("name", 7, 200), F.lit(".pdf"))
+    copies = files.select(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("copy of "), "name")).otherwise(slip).alias("name"))
+    return names.best_names(copies, files)
 
 
 @query()
