@@ -44,6 +44,17 @@ def failure_report(failed: DataFrame, samples: int = 10) -> DataFrame:
     return counts.withColumn("pct", pct).join(few, "error")
 
 
+def crawl_summary(visits: DataFrame) -> DataFrame:
+    """visited, failed, sites and the last visit of visits (site, failed, at)."""
+    return visits.agg(F.count(F.lit(1)).alias("visited"), F.count_if("failed").alias("failed"), F.countDistinct("site").alias("sites"), F.max("at").alias("last"))
+
+
+def count_match(remote: DataFrame, local: DataFrame) -> DataFrame:
+    """Rows of both listings, and whether they are as many."""
+    counts = remote.agg(F.count(F.lit(1)).alias("remote")).join(local.agg(F.count(F.lit(1)).alias("local")))
+    return counts.withColumn("same", F.col("remote") == F.col("local"))
+
+
 # Files
 
 
@@ -109,6 +120,11 @@ def node_classes(nodes: DataFrame) -> DataFrame:
     return nodes.join(up, F.col("parent_id") == F.col("up_id"), "left").withColumn("kind", kind).drop("up_id", "up_parent")
 
 
+def nodes_per_document(files: DataFrame) -> DataFrame:
+    """documents and nodes per file name of files (file_name, nodes)."""
+    return files.groupBy("file_name").agg(F.count(F.lit(1)).alias("documents"), F.sum("nodes").alias("nodes"))
+
+
 def coverage(rows: DataFrame, fields: list[str], by: str) -> DataFrame:
     """field, <by>, present, total, pct, status of fields that are neither null nor empty."""
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), (F.coalesce(F.col(f).cast("string"), F.lit("")) != "").alias("there")) for f in fields])).alias("x")

@@ -63,7 +63,7 @@ def failure_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT count(*) AS visited, count(*) FILTER (event_type = 'error') AS failed, count(DISTINCT user_id) AS sites, max(event_id) AS last FROM events")
 def crawl_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").agg(F.count(F.lit(1)).alias("visited"), F.count_if(F.col("event_type") == "error").alias("failed"), F.countDistinct("user_id").alias("sites"), F.max("event_id").alias("last"))
+    return D.crawl_summary(table(spark, sf, "events").select(F.col("user_id").alias("site"), (F.col("event_type") == "error").alias("failed"), F.col("event_id").alias("at")))
 
 
 FILES = f"SELECT 'site' || {PATH} || CASE page_id % 3 WHEN 0 THEN '.html' WHEN 1 THEN '.PDF' ELSE '' END AS path, length(html) AS size FROM pages"
@@ -86,20 +86,20 @@ def size_rollup_by_depth(spark: SparkSession, sf: str) -> DataFrame:
     return D.depth_rollup(_files(spark, sf))
 
 
-@query("SELECT (SELECT count(*) FROM documents) AS remote, (SELECT count(DISTINCT doc_id) FROM documents) AS local, (SELECT count(*) FROM documents) = (SELECT count(DISTINCT doc_id) FROM documents) AS same")
+@query("SELECT (SELECT count(*) FROM documents) AS remote, (SELECT count(DISTINCT doc_id) FROM labels) AS local, (SELECT count(*) FROM documents) = (SELECT count(DISTINCT doc_id) FROM labels) AS same")
 def count_match(spark: SparkSession, sf: str) -> DataFrame:
-    out = table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("remote"), F.countDistinct("doc_id").alias("local"))
-    return out.withColumn("same", F.col("remote") == F.col("local"))
+    """Documents against the distinct ones that have labels."""
+    return D.count_match(table(spark, sf, "documents"), table(spark, sf, "labels").select("doc_id").distinct())
 
 
-ACL = [(1, ["staff", "Admin"]), (2, ["PUBLIC"]), (3, []), (4, ["other"]), (5, None)]
-
-
-@query("SELECT * FROM (VALUES (1, true, true), (2, true, false), (3, true, true), (4, false, false), (5, false, false)) t(library_id, listed, searchable)")
+@query("""SELECT c_custkey AS library_id, CASE c_custkey % 5 WHEN 1 THEN true WHEN 2 THEN true WHEN 4 THEN false ELSE lower(c_mktsegment) = 'building' END AS listed,
+ CASE c_custkey % 5 WHEN 0 THEN c_mktsegment = 'BUILDING' WHEN 2 THEN true ELSE false END AS searchable FROM customer""")
 def acl_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """A null list, which stands for an unreadable one, is closed."""
-    rows = spark.createDataFrame(ACL, "library_id int, groups array<string>")
-    return rows.select("library_id", D.may_list(F.col("groups"), ["ADMIN"]).alias("listed"), D.may_search(F.col("groups"), ["staff"]).alias("searchable"))
+    """Groups as customers' segments, in capitals or not, public, none, or unreadable (null), which is closed."""
+    seg, k = F.col("c_mktsegment"), F.col("c_custkey") % 5
+    groups = F.when(k == 0, F.array(seg)).when(k == 1, F.array(F.lit("PUBLIC"))).when(k == 2, F.array().cast("array<string>")).when(k == 3, F.array(F.lower(seg), F.lit("x")))
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("library_id"), groups.alias("groups"))
+    return rows.select("library_id", D.may_list(F.col("groups"), ["building"]).alias("listed"), D.may_search(F.col("groups"), ["BUILDING"]).alias("searchable"))
 
 
 @query("""SELECT label AS library_id, count(*) AS n, label % 3 = 0 AS is_public FROM embeddings WHERE label % 3 = 0 OR label = 4 GROUP BY label""")
@@ -172,16 +172,20 @@ def url_resolution(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT source AS file_name, count(*) AS documents, sum(len(string_split(text, chr(10))))::BIGINT AS nodes FROM documents GROUP BY source")
 def nodes_per_document(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").groupBy(F.col("source").alias("file_name")).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size(F.split("text", "\n"))).alias("nodes"))
-
-
-MODELS = [("a", 4096, 32, 32, 8, None, "bfloat16"), ("b", 2048, 16, 16, None, 128, "float32"), ("c", 1024, 8, 8, 4, None, None), ("d", 512, 4, 8, 2, 64, "int4")]
+    return D.nodes_per_document(table(spark, sf, "documents").select(F.col("source").alias("file_name"), F.size(F.split("text", "\n")).alias("nodes")))
 
 
-@query("""SELECT name, b AS bytes, round(b / 1048576, 2) AS mb, round(b / 1073741824, 2) AS gb FROM (SELECT name, 2.0::DOUBLE * layers * 32768 * coalesce(kv, heads) * coalesce(dim, hidden // heads) * CASE dtype WHEN 'bfloat16' THEN 2 WHEN 'int4' THEN 0.5 ELSE 4 END AS b
- FROM (VALUES ('a', 4096, 32, 32, 8, NULL, 'bfloat16'), ('b', 2048, 16, 16, NULL, 128, 'float32'), ('c', 1024, 8, 8, 4, NULL, NULL), ('d', 512, 4, 8, 2, 64, 'int4')) t(name, hidden, layers, heads, kv, dim, dtype))""")
+@query("""SELECT name, b AS bytes, round(b / 1048576, 2) AS mb, round(b / 1073741824, 2) AS gb FROM (SELECT p_partkey AS name, 2.0::DOUBLE * p_size * 32768 * CASE WHEN p_partkey % 3 = 0 THEN 8 ELSE 32 END * CASE WHEN p_partkey % 4 = 0 THEN 128 ELSE p_size * 64 // 32 END
+ * CASE p_partkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 0.5 WHEN 2 THEN 1 ELSE 4 END AS b FROM part)""")
 def kv_cache_sizing(spark: SparkSession, sf: str) -> DataFrame:
-    return D.kv_cache(spark.createDataFrame(MODELS, "name string, hidden_size int, layers int, heads int, kv_heads int, head_dim int, dtype string"))
+    """Models in the sizes of parts: some without own key heads or head size, some of an unknown type."""
+    k = F.col("p_partkey")
+    kind = F.when(k % 5 == 0, "bfloat16").when(k % 5 == 1, "int4").when(k % 5 == 2, "int8").when(k % 5 == 3, "unknown")
+    models = table(spark, sf, "part").select(
+        k.alias("name"), (F.col("p_size") * 64).alias("hidden_size"), F.col("p_size").alias("layers"), F.lit(32).alias("heads"),
+        F.when(k % 3 == 0, 8).alias("kv_heads"), F.when(k % 4 == 0, 128).alias("head_dim"), kind.alias("dtype"),
+    )
+    return D.kv_cache(models)
 
 
 @query("""WITH o AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

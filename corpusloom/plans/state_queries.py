@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.remote import remote
 from ..sources import index
 from ..sources.cache import ResultCache
 from ..sources.shared import new_folder
@@ -13,6 +14,23 @@ from ..streaming import frontier
 from .registry import query, table
 from .retrieval_queries import PARENTS
 
+
+
+def _model(payloads: list[str]) -> list[int]:
+    """A stand-in of a remote model that can't answer to some texts."""
+    if any(len(p) % 11 == 0 for p in payloads):
+        raise ConnectionError("no answer")
+    return [2 * len(p) for p in payloads]
+
+
+@query("SELECT doc_id, CASE WHEN length(text) % 11 <> 0 THEN 2 * length(text) END AS answer, CASE WHEN length(text) % 11 = 0 THEN 'ConnectionError' END AS error FROM documents")
+def remote_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents sent to a model with planted failures, eight at a time."""
+    asked = remote(_model, "bigint", size=8, retries=1, wait=0.0)
+    rows = table(spark, sf, "documents").select("doc_id", asked(F.col("text")).alias("asked"))
+    return rows.select("doc_id", "asked.answer", "asked.error")
+
+
 FEW = 8  # buckets of the queries' libraries
 
 

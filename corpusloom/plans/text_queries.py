@@ -209,16 +209,22 @@ def kb_chunk_context(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", text.kb_chunk(F.col("role"), F.col("conv_id").cast("string"), F.col("text")).alias("chunk"))
 
 
-@query("SELECT * FROM (VALUES (1, 'a1,b2', 'IT_Support'), (2, '', 'General'), (3, 'c', 'Achats_é-1')) t(id, ids, folder)")
+@query(r"""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN conv_id || ',' || turn ELSE '' END AS ids,
+ CASE WHEN turn % 3 = 2 THEN 'General' ELSE coalesce(replace(trim(regexp_replace(text, '[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\s\p{Z}-]', '', 'g')), ' ', '_'), 'General') END AS folder FROM conversations""")
 def kb_id_category(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "['a1', \"b2\"]", "IT Support!"), (2, None, None), (3, "[c]", " Achats é-1")], "id int, raw string, category string")
-    return rows.select("id", text.kb_ids(F.col("raw")).alias("ids"), text.safe_category(F.col("category")).alias("folder"))
+    """Id lists as they are written by hand, and every turn's text as a folder's name."""
+    turns = table(spark, sf, "conversations")
+    raw = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("['"), F.col("conv_id").cast("string"), F.lit("', \""), F.col("turn").cast("string"), F.lit("\"]")))
+    category = F.when(F.col("turn") % 3 != 2, F.col("text"))
+    return turns.select("conv_id", "turn", text.kb_ids(raw).alias("ids"), text.safe_category(category).alias("folder"))
 
 
-@query("SELECT * FROM (VALUES (1, 'été', 'été'), (2, 'plain', 'plain'), (3, 'Ã alone', 'Ã alone')) t(id, fixed, want)")
+@query("SELECT doc_id, text AS fixed FROM documents")
 def mojibake_repair(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "Ã©tÃ©", "été"), (2, "plain", "plain"), (3, "Ã alone", "Ã alone")], "id int, raw string, want string")
-    return rows.select("id", text.repair_mojibake(F.col("raw")).alias("fixed"), "want")
+    """Half of the documents read in the wrong code come back; the others stay."""
+    docs = table(spark, sf, "documents")
+    raw = F.when(F.col("doc_id") % 2 == 0, F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).otherwise(F.col("text"))
+    return docs.select("doc_id", text.repair_mojibake(raw).alias("fixed"))
 
 
 @query(r"""SELECT vec_id, round(v, 2) AS score FROM (SELECT vec_id, vec_id * 0.013::DOUBLE + 0.0001::DOUBLE AS v FROM embeddings)""")
@@ -276,10 +282,15 @@ COLLAPSIBLE = """<body><p>shown</p><button data-toggle="collapse" data-target="#
 <details><summary>More</summary><p>inner</p></details><details open><p>open</p></details><div aria-hidden="true"><p>aria</p></div><div class="d-none"><p>none</p></div><div class="collapse show"><p>shown too</p></div></body>"""
 
 
-@query("""SELECT * FROM (VALUES (0, 'shown', true, NULL), (1, 'folded', false, 'Open me'), (2, 'inner', false, 'More'), (3, 'open', true, NULL), (4, 'aria', false, NULL), (5, 'none', false, NULL), (6, 'shown too', true, NULL)) t(pos, text, visible, title)""")
+@query("""SELECT page_id, pos, t.text || ' ' || url AS text, visible, title || ' ' || url AS title FROM pages, (VALUES (0, 'shown', true, NULL), (1, 'folded', false, 'Open me'), (2, 'inner', false, 'More'), (3, 'open', true, NULL), (4, 'aria', false, NULL), (5, 'none', false, NULL), (6, 'shown too', true, NULL)) t(pos, text, visible, title)""")
 def visible_elements(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(COLLAPSIBLE,)], "html string").select(F.explode(html.elements("html")).alias("e"))
-    return rows.select("e.pos", "e.text", "e.visible", "e.title")
+    """Every page's address in folded, hidden and open places."""
+    address = F.concat(F.lit(" "), F.replace("url", F.lit("&"), F.lit("&amp;")))
+    page = F.lit(COLLAPSIBLE)
+    for mark in ("</p>", "</button>", "</summary>"):
+        page = F.replace(page, F.lit(mark), F.concat(address, F.lit(mark)))
+    rows = table(spark, sf, "pages").select("page_id", F.explode(html.elements(page)).alias("e"))
+    return rows.select("page_id", "e.pos", "e.text", "e.visible", "e.title")
 
 
 @query()
