@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.remote import remote
 from ..sources import index
 from ..sources.cache import ResultCache
+from ..sources.docstore import migrate_docstore
 from ..sources.shared import new_folder
 from ..sources.store import Library
 from ..streaming import frontier
@@ -106,3 +110,36 @@ def crawl_state(spark: SparkSession, sf: str) -> DataFrame:
         stream = spark.readStream.schema(frontier.EVENT).parquet(f"{at}/in")
         frontier.crawled(frontier.frontier(stream), f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{at}/out").select(F.col("url").cast("long").alias("url"), "attempt", "seq", F.col("referrer").cast("long").alias("referrer"))
+
+
+def _as_stores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One JSON document store of each partition's entries, line by line."""
+    yield pd.DataFrame({"value": ['{"docstore/metadata": {}, "docstore/data": {']})
+    comma = ""
+    for batch in batches:
+        if len(batch):
+            lines = batch["entry"].tolist()
+            yield pd.DataFrame({"value": [comma + lines[0], *("," + line for line in lines[1:])]})
+            comma = ","
+    yield pd.DataFrame({"value": ['}, "docstore/ref_doc_info": {}}']})
+
+
+@query("""SELECT 'n' || doc_id AS key, '1' AS kind, text, CASE WHEN doc_id % 3 > 0 THEN 'n' || (doc_id - doc_id % 3) END AS parent_id, (SELECT count(*) FROM documents) AS nodes, (SELECT count(*) FROM documents WHERE doc_id % 3 = 0) AS parents FROM documents""")
+def docstore_migration(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as nodes of JSON stores, of which every third one is the next two's parent, migrated and read from the key/value table."""
+    name = lambda k: F.concat(F.lit("n"), k.cast("string"))
+    up = F.when(F.col("doc_id") % 3 > 0, name(F.col("doc_id") - F.col("doc_id") % 3))
+    links = F.when(up.isNotNull(), F.create_map(F.lit("4"), F.struct(up.alias("node_id"))))
+    data = F.to_json(F.struct(name(F.col("doc_id")).alias("id_"), "text", links.alias("relationships")), {"ignoreNullFields": "false"})
+    entry = F.concat(F.lit('"'), name(F.col("doc_id")), F.lit('": {"__data__": '), data, F.lit(', "__type__": "1"}'))
+    at, library = new_folder(spark, "docstore"), _library(spark, "migrated")
+    table(spark, sf, "documents").select(entry.alias("entry")).mapInPandas(_as_stores, "value string").write.text(at)
+    told = migrate_docstore(spark, at, library)
+    if told["status"] != "success":
+        raise RuntimeError(told)
+    value = F.parse_json("value")
+    field = lambda path: F.try_variant_get(value, path, "string")
+    return library.get_all().select(
+        "key", field("$.__type__").alias("kind"), field("$.__data__.text").alias("text"), field("$.__data__.relationships['4'].node_id").alias("parent_id"),
+        F.lit(told["nodes"]).cast("long").alias("nodes"), F.lit(told["parent_nodes"]).cast("long").alias("parents"),
+    )

@@ -108,21 +108,3 @@ class Library:
             return {"library_id": self.library_id, "status": "not_found"}
         latest = self.spark.read.schema(STATUS).parquet(f"{self.root}/status").agg(F.max_by(F.struct("*"), "at").alias("s")).first()[0]
         return latest.asDict()
-
-
-def migrate_docstore(spark: SparkSession, path: str, library: Library, dry_run: bool = False) -> dict:
-    """A JSON document store (collections of key to value) into the node table, with a status and counts."""
-    if library._current("nodes"):
-        return {"status": "already_migrated"}
-    if not library._exists(path):
-        return {"status": "no_json"}
-    raw = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("v"))
-    if raw.where("v is null").count():
-        return {"status": "corrupted_json"}
-    data = raw.select(F.try_variant_get("v", "$['docstore/data']", "map<string,variant>").alias("m"))
-    rows = data.select(F.explode("m").alias("key", "value")).select("key", F.to_json("value").alias("value"))
-    n = rows.count()
-    if dry_run:
-        return {"status": "dry_run", "nodes": n}
-    library.put_all(rows)
-    return {"status": "success", "nodes": n}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import filters
-from corpusloom.sources import files, kb, store
+from corpusloom.sources import docstore, files, kb, store
 from corpusloom.streaming import streams
 
 
@@ -82,11 +82,42 @@ def test_migration(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps({"docstore/data": {"n1": {"text": "a"}, "n2": {"text": "b"}}}))
     (tmp_path / "bad.json").write_text("{")
     lib = store.Library(spark, str(tmp_path / "l"), "m")
-    run = lambda name, **k: store.migrate_docstore(spark, str(tmp_path / name), lib, **k)["status"]
+    run = lambda name, **k: docstore.migrate_docstore(spark, str(tmp_path / name), lib, **k)["status"]
     assert run("none.json") == "no_json" and run("bad.json") == "corrupted_json" and run("d.json", dry_run=True) == "dry_run"
     assert run("d.json") == "success" and run("d.json") == "already_migrated" and json.loads(lib.get("n1"))["text"] == "a"
 
 
+def test_migration_of_wrapped_nodes(spark, tmp_path):
+    """Splits within a file, strings that look like keys, all collections, node types, statuses."""
+    odd = 'a "__data__": {"x"} and \\"__type__\\": "1"}, "k": { \n é 😀 ' + "long " * 3000
+    node = lambda k, up: {"__data__": {"id_": k, "text": f"{k} {odd}", "metadata": {}, "relationships": {"4": {"node_id": up}} if up else {}}, "__type__": "1"}
+    nodes = {f"p{k}": node(f"p{k}", None) for k in range(3)} | {f'c"{k}': node(f'c"{k}', f"p{k % 3}") for k in range(20)} | {f"s{k}": node(f"s{k}", f'c"{k % 20}') for k in range(40)}
+    whole = {"docstore/metadata": {"p0": {"doc_hash": "x"}}, "docstore/data": nodes, "docstore/ref_doc_info": {"d1": {"node_ids": ["p0"]}, "d2": {"node_ids": []}}}
+    (tmp_path / "s.json").write_text(json.dumps(whole), encoding="utf-8")
+    lib = store.Library(spark, str(tmp_path / "l"), "m", buckets=4)
+    run = lambda name, **k: docstore.migrate_docstore(spark, str(tmp_path / name), lib, **k)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")  # many splits of the one file
+    try:
+        assert docstore._records(spark, str(tmp_path / "s.json")).rdd.getNumPartitions() > 5
+        counts = {"nodes": 63, "parent_nodes": 3, "child_nodes": 20, "subchunks": 40, "ref_doc_entries": 2, "metadata_entries": 1}
+        got = run("s.json", backup=True)
+        assert got["status"] == "success" and {k: got[k] for k in counts} == counts
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r.key: json.loads(r.value) for r in lib.get_all().collect()} == nodes
+    assert json.loads(lib.get("p0", "metadata")) == {"doc_hash": "x"} and lib.count("ref_docs") == 2
+    assert not (tmp_path / "s.json").exists() and run("s.json")["status"] == "already_migrated"
+    assert run("s.json", force=True)["status"] == "success"
+    text = json.dumps(whole)
+    for name, bad in (("cut.json", text[:-1]), ("half.json", text[: len(text) // 2]), ("key.json", text.replace('"p1": {"__data__"', '"other": {"__data__"'))):
+        (tmp_path / name).write_text(bad)
+        assert run(name, force=True)["status"] == "corrupted_json", name
+    fresh = store.Library(spark, str(tmp_path / "f"), "m")
+    fresh.keyed = lambda name: (_ for _ in ()).throw(OSError("disk"))
+    assert docstore.migrate_docstore(spark, str(tmp_path / "s.json"), fresh)["status"] == "write_error" and not fresh._current("nodes")
+
+
 def test_knowledge_base(spark):
     def fetch(base, offset, size):
         if base == "k2" and offset:
