@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -10,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions import html, text
 from ..operators.chunking import recursive_chunks
@@ -72,6 +73,116 @@ def articles(spark: SparkSession, fetch: Fetch, bases: str) -> DataFrame:
     return spark.read.format("knowledge_base").option("bases", re.sub(r"[\[\]'\" ]", "", bases)).load()
 
 
+CHANGES = f"{ARTICLE}, base string, error string, after string, upto string, skip int"
+#: Articles of a base that were updated after one time and up to another, by time and id: (base, after, upto, offset, size).
+FetchChanges = Callable[[str, str, str, int, int], list[dict]]
+TRIES = 3
+
+
+def _window(fetch: FetchChanges, base: str, after: str, upto: str, skip: int = 0) -> Iterator[tuple]:
+    """The articles of a window of update times, page by page; what can't be read ends it with an error row that tells where."""
+    none = (None,) * 6
+    while True:
+        for turn in range(TRIES):
+            try:
+                rows = fetch(base, after, upto, skip, PAGE_SIZE)
+                break
+            except Exception as error:  # noqa: BLE001
+                if turn == TRIES - 1:
+                    yield (*none, base, type(error).__name__, after, upto, skip)
+                    return
+        if not rows:
+            return
+        for r in rows:
+            yield (*(_plain(r.get(c)) for c in ("sys_id", "number", "short_description", "text", "kb_category", "sys_updated_on")), base, None, after, upto, skip)
+        skip += len(rows)
+
+
+def kb_changes_source(fetch: FetchChanges, newest: Callable[[str], str]) -> type[DataSource]:
+    """A stream of articles as they change, and the same for stated windows as a batch.
+
+    The offset is each base's newest update time; a micro-batch has one partition per base that moved,
+    the window between two offsets, which gives the same rows whenever it is read. A base whose
+    newest time can't be had stays where it was and is asked again at the next trigger.
+    """
+
+    class Window(InputPartition):
+        def __init__(self, base: str, after: str, upto: str, skip: int = 0) -> None:
+            self.base, self.after, self.upto, self.skip = base, after, upto, skip
+
+    class Stream(DataSourceStreamReader):
+        def __init__(self, bases: list[str]) -> None:
+            self.bases, self.known = bases, {}
+
+        def initialOffset(self) -> dict:  # noqa: N802
+            return dict.fromkeys(self.bases, "")
+
+        def latestOffset(self) -> dict:  # noqa: N802
+            for base in self.bases:
+                try:
+                    self.known[base] = max(newest(base) or "", self.known.get(base, ""))
+                except Exception:  # noqa: BLE001
+                    self.known.setdefault(base, "")
+            return dict(self.known)
+
+        def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+            return [Window(b, start.get(b, ""), upto) for b, upto in sorted(end.items()) if upto > start.get(b, "")]
+
+        def read(self, partition: InputPartition) -> Iterator[tuple]:
+            return _window(fetch, partition.base, partition.after, partition.upto)
+
+    class Batch(DataSourceReader):
+        def __init__(self, windows: list[list]) -> None:
+            self.windows = windows
+
+        def partitions(self) -> list[InputPartition]:
+            return [Window(*w) for w in self.windows]
+
+        def read(self, partition: InputPartition) -> Iterator[tuple]:
+            return _window(fetch, partition.base, partition.after, partition.upto, partition.skip)
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "knowledge_base_changes"
+
+        def schema(self) -> str:
+            return CHANGES
+
+        def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: ANN001, N802
+            return Stream([b for b in self.options.get("bases", "").split(",") if b])
+
+        def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
+            return Batch(json.loads(self.options.get("windows", "[]")))
+
+    return Source
+
+
+def article_changes(spark: SparkSession, fetch: FetchChanges, newest: Callable[[str], str], bases: str) -> DataFrame:
+    """A stream of CHANGES: articles, and rows with an error for windows that broke off."""
+    spark.dataSource.register(kb_changes_source(fetch, newest))
+    return spark.readStream.format("knowledge_base_changes").option("bases", re.sub(r"[\[\]'\" ]", "", bases)).load()
+
+
+def pulled_again(spark: SparkSession, fetch: FetchChanges, broken: DataFrame) -> DataFrame:
+    """What is left of windows that broke off (error rows: one a window, so few), from where they did."""
+    windows = [[r.base, r.after, r.upto, r.skip] for r in broken.where("error is not null").select("base", "after", "upto", "skip").distinct().collect()]
+    if not windows:
+        return spark.createDataFrame([], CHANGES)
+    spark.dataSource.register(kb_changes_source(fetch, lambda base: ""))
+    return spark.read.format("knowledge_base_changes").option("windows", json.dumps(windows)).load()
+
+
+def found_live(spark: SparkSession, find: Callable[[str, int], tuple[int, list[dict]]], query: str, limit: int = LIVE_LIMIT) -> DataFrame:
+    """At most ``limit`` articles that the service finds for the query's keywords; another status than 200 is an error."""
+    words = spark.range(1).select(text.keywords(F.lit(query)).alias("k")).first()[0]
+    status, rows = find(words, limit)
+    if status != 200:
+        raise ConnectionError(f"the knowledge base answered {status}")
+    fields = [f.split()[0] for f in ARTICLE.split(", ")]
+    return spark.createDataFrame([tuple(_plain(r.get(c)) for c in fields) for r in rows[:limit]], ARTICLE)
+
+
 def catalogue(spark: SparkSession, fetch: Callable[[int], list[dict]]) -> DataFrame:
     """id and title of active bases, at most 100; an error gives an empty list."""
     try:

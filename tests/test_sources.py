@@ -134,6 +134,48 @@ def test_knowledge_base(spark):
     assert kb.live_search(found, "the word", top_k=3).count() == 3
 
 
+def test_articles_as_a_stream(spark, sf, tmp_path):
+    """Two pulls over conversations as articles: each comes once; a window that breaks off is told and pulled again."""
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").selectExpr("concat(conv_id, '-', turn) AS id", "text", "conv_id % 2 AS base").collect()
+    service = [{"sys_id": r.id, "number": {"display_value": r.id}, "text": r.text, "sys_updated_on": f"2024-01-{1 + k % 28:02d}", "base": f"k{r.base}"} for k, r in enumerate(turns)]
+    upto = tmp_path / "newest"
+
+    def fetch(base, after, until, offset, size, broken=None):
+        rows = sorted((r for r in service if r["base"] == base and after < r["sys_updated_on"] <= until), key=lambda r: (r["sys_updated_on"], r["sys_id"]))
+        if broken and base == "k1" and offset >= 100:
+            raise TimeoutError
+        return rows[offset : offset + size]
+
+    def newest(base):
+        if base == "gone":
+            raise OSError
+        return upto.read_text()
+
+    def pull(call):
+        stream = kb.article_changes(spark, call, newest, "['k0', 'k1', 'gone']")
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+        return spark.read.schema(kb.CHANGES).parquet(f"{tmp_path}/out")
+
+    upto.write_text("2024-01-10")
+    first = pull(fetch).collect()
+    assert {r.sys_id for r in first} == {r["sys_id"] for r in service if r["sys_updated_on"] <= "2024-01-10"} and len(first) == len({r.sys_id for r in first})
+    upto.write_text("2024-01-28")
+    both = pull(lambda *a: fetch(*a, broken=True))
+    (error,) = both.where("error is not null").collect()
+    assert (error.base, error.error, error.after, error.upto, error.skip) == ("k1", "TimeoutError", "2024-01-10", "2024-01-28", 100)
+    rest = kb.pulled_again(spark, fetch, both)
+    ids = [r.sys_id for r in both.where("error is null").unionByName(rest).collect()]
+    assert sorted(ids) == sorted(r["sys_id"] for r in service)
+    assert pull(fetch).count() == both.count() and kb.pulled_again(spark, fetch, rest).count() == 0
+
+
+def test_live_fetch(spark):
+    found = kb.found_live(spark, lambda words, n: (200, [{"sys_id": words, "number": {"value": str(k)}} for k in range(20)]), "where is the printer")
+    assert found.count() == 10 and "printer" in found.first().sys_id.lower()
+    with pytest.raises(ConnectionError, match="503"):
+        kb.found_live(spark, lambda words, n: (503, []), "printer")
+
+
 def test_toc_classifier(spark):
     nodes = spark.createDataFrame([(1, "a | b"), (2, "plain text"), (3, "contents here"), (4, "x | y")], "id int, text string")
     verdict = lambda c: F.when(c.contains("a |"), True).when(c.contains("x |"), None).otherwise(False)
