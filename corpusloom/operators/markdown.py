@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
@@ -47,14 +48,30 @@ def repaired(c: Column) -> Column:
     return F.when(is_flat(c), hierarchy_restored(c)).otherwise(c)
 
 
+_EDGE = re.compile(r"^[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+|[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+\Z")
+
+
+def once(text: Column, mark: str = "#") -> Column:
+    """The text without header lines that stood before; any line counts as a header when mark is empty."""
+
+    def kept(lines: list[str]) -> Iterator[str]:
+        met: set[str] = set()
+        for line in lines:
+            key = _EDGE.sub("", line)
+            if not key.startswith(mark) or key not in met:
+                yield line
+            met.add(key)
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else "\n".join(kept(t.split("\n"))))
+
+    return cut(text)
+
+
 def first_of_repeated(docs: DataFrame, mark: str = "#") -> DataFrame:
-    """doc_id, text without header lines that stood before; any line counts as a header when mark is empty."""
-    rows = docs.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).withColumn("key", _strip(F.col("line")))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("pos"))
-    head = F.startswith("key", F.lit(mark))
-    kept = rows.withColumn("nth", nth).where(~head | (F.col("nth") == 1))
-    parts = F.sort_array(F.collect_list(F.struct("pos", "line")))
-    return kept.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("text"))
+    """doc_id, text of documents that have a text, without header lines that stood before; nothing is shuffled."""
+    return docs.where("text is not null").select("doc_id", once(F.col("text"), mark).alias("text"))
 
 
 def whitespace_cleaned(c: Column) -> Column:
@@ -85,6 +102,12 @@ def reduction(before: Column, after: Column) -> Column:
     return F.coalesce(F.try_divide((F.length(before) - F.length(after)) * 100.0, F.length(before)), F.lit(0.0))
 
 
+def size_totals(rows: DataFrame) -> DataFrame:
+    """before_chars, after_chars and reduction in per cent of rows (before, after)."""
+    sums = rows.agg(F.sum(F.length("before")).alias("before_chars"), F.sum(F.length("after")).alias("after_chars"))
+    return sums.withColumn("reduction", F.round((F.col("before_chars") - F.col("after_chars")) * 100.0 / F.col("before_chars"), 4))
+
+
 @arrow_function("array<struct<level:int,title:string,header_path:string,text:string>>")
 def _cut_at_headers(texts: pd.Series) -> pd.Series:
     def one(text: str | None) -> list[dict]:

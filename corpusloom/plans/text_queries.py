@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import html, text, urls
 from ..operators import chunking, filters, markdown
 from ..sources.files import missing_conversions
-from .registry import query, table
+from .registry import SQL, query, table
 
 LINES = "SELECT doc_id, p - 1 AS pos, ls[p] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(generate_series(1, len(string_split(text, chr(10))))) AS p FROM documents)"
 PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
@@ -136,10 +136,18 @@ def md_whitespace_clean(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "clean", F.round(markdown.reduction(F.col("text"), F.col("clean")), 6).alias("reduction"))
 
 
-@query("SELECT sum(length(text))::BIGINT AS before_chars, sum(length(text)) FILTER (contains(text, '|'))::BIGINT AS table_chars FROM documents")
+@query(f"""WITH t AS (SELECT (SELECT sum(length(text)) FROM documents)::BIGINT AS before_chars, (SELECT sum(length(clean)) FROM ({SQL['md_whitespace_clean']}))::BIGINT AS after_chars)
+ SELECT *, round((before_chars - after_chars) * 100.0::DOUBLE / before_chars, 4) AS reduction FROM t""")
 def md_size_totals(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.length("text")
-    return table(spark, sf, "documents").agg(F.sum(n).alias("before_chars"), F.sum(F.when(F.contains("text", F.lit("|")), n)).alias("table_chars"))
+    clean = markdown.whitespace_cleaned(F.col("text"))
+    return markdown.size_totals(table(spark, sf, "documents").select(F.col("text").alias("before"), clean.alias("after")))
+
+
+@query(rf"""WITH l AS ({LINES}), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, trim(line) ORDER BY pos) AS n FROM l)
+ SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM k WHERE n = 1 OR NOT regexp_matches(trim(line), '^D') GROUP BY doc_id""")
+def md_dedup_marked(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that begin with a mark (here D) are headers and stay once; other lines may repeat."""
+    return markdown.first_of_repeated(table(spark, sf, "documents"), mark="D")
 
 
 def _lined(*parts: str | Column) -> Column:

@@ -13,6 +13,7 @@ from ..functions.urls import cache_key
 from ..operators import search
 from ..operators.diagnostics import may_list
 from .cache import ResultCache
+from .index import PLACE
 from .kb import hashed_words
 from .store import Library
 
@@ -78,10 +79,11 @@ def _one(library: Library, value: Column) -> object:
 
 def _in_full(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """found (child_id, context_id, ..) with the child's fields and both texts; rows whose nodes are gone are left out."""
-    child = nodes.select(F.col("node_id").alias("child_id"), F.col("text").alias("precise_content"), "file_name", "source_url", "header_path")
+    fields = PLACE | {"source_filename": "string", "page_number": "int"}
+    own = [F.col(c).cast(t).alias(c) if c in nodes.columns else F.lit(None).cast(t).alias(c) for c, t in fields.items()]
+    child = nodes.select(F.col("node_id").alias("child_id"), F.col("text").alias("precise_content"), "file_name", "source_url", "header_path", *own)
     context = nodes.select(F.col("node_id").alias("context_id"), F.col("text").alias("context_content"))
-    none = {c: F.lit(None).cast(t) for c, t in {"source_filename": "string", "search_text_start": "string", "search_text_end": "string", "page_number": "int", "page_confidence": "double"}.items()}
-    return found.join(child, "child_id").join(context, "context_id").withColumns(none)
+    return found.join(child, "child_id").join(context, "context_id")
 
 
 def retrieved(library: Library, request: Request, embed: Callable[[Column], Column] = hashed_words) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import chunking, filters, markdown
+from ..operators import anchors, chunking, filters, markdown
 from ..operators.diagnostics import snapshot_diff
 from .kb import hashed_words
 from .keyed import Commits
@@ -25,9 +25,7 @@ CARRY = ("file_name", "source_url", "header_path")
 
 def prepared(docs: DataFrame) -> DataFrame:
     """docs (doc_id, file_name, source_url, text) with levels restored, repeated headers and alignment taken out."""
-    restored = docs.withColumn("text", markdown.repaired(F.col("text")))
-    once = markdown.first_of_repeated(restored.select("doc_id", "text"))
-    return docs.drop("text").join(once.withColumn("text", markdown.whitespace_cleaned(F.col("text"))), "doc_id")
+    return docs.withColumn("text", markdown.whitespace_cleaned(markdown.once(markdown.repaired(F.col("text")))))
 
 
 def index_nodes(docs: DataFrame, classify: Callable[[Column], Column] | None = None, **limits: object) -> DataFrame:
@@ -36,6 +34,22 @@ def index_nodes(docs: DataFrame, classify: Callable[[Column], Column] | None = N
     return chunking.halves_linked(chunking.section_hierarchy(sections, CARRY), **limits)
 
 
+#: What says where in its source a node's text stands; null where nothing was found.
+PLACE = {"search_text_start": "string", "search_text_end": "string", "page_number": "long", "page_confidence": "double"}
+
+
+def located(nodes: DataFrame, pages: DataFrame | None = None, elements: DataFrame | None = None) -> DataFrame:
+    """A node table with PLACE: page numbers from the pages (doc_id, page, text) of children, text fragments from elements (see ``fragment_locations``)."""
+    children = nodes.where("level = 'child'")
+    found = nodes.withColumns({c: F.lit(None).cast(t) for c, t in PLACE.items()})
+    if pages is not None:
+        found = found.drop("page_number", "page_confidence").join(anchors.page_locations(children.select("doc_id", "node_id", "ord", "text"), pages), "node_id", "left")
+    if elements is not None:
+        own = anchors.fragment_locations(children.select("doc_id", "node_id", "text"), elements)
+        found = found.drop("search_text_start", "search_text_end").join(own.drop("anchor_type"), "node_id", "left")
+    return found.select(*nodes.columns, *PLACE)
+
+
 def plain_nodes(docs: DataFrame) -> DataFrame:
     """The node table of plain texts, line by line, with the fields that nodes carry."""
     lines = docs.select("doc_id", "file_name", "source_url", F.lit("/").alias("header_path"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))

@@ -180,6 +180,21 @@ def test_gate_of_a_request(spark, library):
     assert answers.answer(library, answers.Request("cats", key="k", password="p"), gate=gate).count() > 0
 
 
+def test_places_reach_the_results(spark, tmp_path):
+    """A child's page makes a deep link, its fragment the search texts, through build, cache and update."""
+    body = {n: " ".join(f"{n}{k} word{k}" for k in range(60)) for n in ("alpha", "beta")}
+    docs = spark.createDataFrame([("a.pdf", "a.pdf", "https://x.org/a.pdf", "\n".join(f"# {n.title()}\n{t * 3}" for n, t in body.items()))], "doc_id string, file_name string, source_url string, text string")
+    pages = spark.createDataFrame([("a.pdf", 0, "cover page with nothing that is searched for"), ("a.pdf", 1, body["alpha"] * 3), ("a.pdf", 2, body["beta"] * 3)], "doc_id string, page int, text string")
+    lib = Library(spark, str(tmp_path), "places", buckets=2)
+    cut = lambda d: index.located(index.index_nodes(d), pages)
+    index.build(lib, docs, cut=cut)
+    held = cache.ResultCache(lib)
+    for _ in range(2):
+        row = answers.answer(lib, answers.Request("beta7 beta8 beta9"), cache=held).first()
+        assert (row.page_number, row.file_url, row.file_type) == (3, "https://x.org/a.pdf#page=3", "pdf") and row.page_confidence > 90
+    assert held.counts["ram_hits"] == 1
+
+
 PAGES = "doc_id long, file_name string, source_url string, text string"
 
 
