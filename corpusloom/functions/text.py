@@ -189,3 +189,8 @@ def repair_mojibake(c: Column) -> Column:
     fits = ~c.rlike(r"[^\x00-\xFF]") & c.rlike(r"[\xC2-\xF4][\x80-\xBF]")
     again = F.try_validate_utf8(F.encode(c, "ISO-8859-1").cast("string"))
     return F.when(fits, F.coalesce(again, c)).otherwise(c)
+
+
+def score_rounded(c: Column) -> Column:
+    """Scores as they are kept: two decimals, ties to the even one."""
+    return F.bround(c, 2)

@@ -39,6 +39,11 @@ def table_like(c: Column) -> Column:
     return c.rlike(r"\||-{4,}|\.{5,}|_{4,}")
 
 
+def without_marks(line: Column, *marks: str) -> Column:
+    """Lines of a log that have none of the marks in them."""
+    return ~F.exists(F.array(*[F.lit(m) for m in marks]).cast("array<string>"), lambda m: F.contains(line, m))
+
+
 def in_folder(path: Column, *names: str) -> Column:
     return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(n) for n in names]))
 

@@ -196,7 +196,7 @@ def md_hierarchy_fix(spark: SparkSession, sf: str) -> DataFrame:
 def line_predicates(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return rows.groupBy("doc_id").agg(
-        F.count_if(~F.contains("line", F.lit("the"))).alias("kept_lines"), F.count_if(filters.table_like(F.col("line"))).alias("tables"), F.count_if(text.has_punctuation(F.col("line"))).alias("marked")
+        F.count_if(filters.without_marks(F.col("line"), "the")).alias("kept_lines"), F.count_if(filters.table_like(F.col("line"))).alias("tables"), F.count_if(text.has_punctuation(F.col("line"))).alias("marked")
     )
 
 
@@ -237,7 +237,7 @@ def mojibake_repair(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(r"""SELECT vec_id, round(v, 2) AS score FROM (SELECT vec_id, vec_id * 0.013::DOUBLE + 0.0001::DOUBLE AS v FROM embeddings)""")
 def score_round(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", F.round(F.col("vec_id") * F.lit(0.013) + F.lit(0.0001), 2).cast("double").alias("score"))
+    return table(spark, sf, "embeddings").select("vec_id", text.score_rounded(F.col("vec_id") * F.lit(0.013) + F.lit(0.0001)).alias("score"))
 
 
 # HTML
