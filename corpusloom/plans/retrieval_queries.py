@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html
+from ..functions.urls import under_prefix
 from ..operators import anchors, chunking, diagnostics, names, search
+from ..operators.cells import CellTable
 from ..sources import index
+from ..sources.shared import new_folder
 from .registry import query, table
 
 LINES = "SELECT doc_id, p - 1 AS pos, ls[p] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(generate_series(1, len(string_split(text, chr(10))))) AS p FROM documents)"
@@ -82,14 +85,15 @@ def recursive_split(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.recursive_split(table(spark, sf, "documents").select("doc_id", "text"))
 
 
-@query(f"""WITH RECURSIVE l AS (SELECT doc_id, length(line) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM ({LINES}) WHERE trim(line) <> ''),
+@query(f"""WITH RECURSIVE l AS (SELECT doc_id, pos, length(line) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM ({LINES}) WHERE trim(line) <> ''),
  f AS (SELECT doc_id, r, n AS chars, 0 AS grp, n >= 500 AS closed FROM l WHERE r = 1 UNION ALL
   SELECT l.doc_id, l.r, CASE WHEN NOT f.closed AND f.chars < 500 AND f.chars + l.n <= 5000 THEN f.chars + l.n ELSE l.n END, CASE WHEN NOT f.closed AND f.chars < 500 AND f.chars + l.n <= 5000 THEN f.grp ELSE f.grp + 1 END,
   CASE WHEN NOT f.closed AND f.chars < 500 AND f.chars + l.n <= 5000 THEN false ELSE l.n >= 500 END FROM f JOIN l ON l.doc_id = f.doc_id AND l.r = f.r + 1)
- SELECT doc_id, (min(r) - 1)::INT AS first, count(*)::INT AS n, max(chars) AS chars FROM f GROUP BY doc_id, grp""")
+ SELECT f.doc_id, (min(f.r) - 1)::INT AS first, count(*)::INT AS n, max(chars) AS chars, string_agg(pos, ',' ORDER BY f.r) AS merged FROM f JOIN l ON f.doc_id = l.doc_id AND f.r = l.r GROUP BY f.doc_id, grp""")
 def small_anchor_merge(spark: SparkSession, sf: str) -> DataFrame:
     rows = chunking.line_nodes(table(spark, sf, "documents"))
-    return chunking.small_anchors_merged(rows.select("doc_id", "pos", F.length("text").alias("chars")))
+    found = chunking.small_anchors_merged(rows.select("doc_id", "pos", F.length("text").alias("chars")))
+    return found.withColumn("merged", F.array_join(F.transform("merged", lambda x: x.cast("string")), ","))
 
 
 def _page_nodes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -202,6 +206,20 @@ def search_numpy_twin(spark: SparkSession, sf: str) -> DataFrame:
     return search.nearest(_chunks(spark, sf), _query(spark, sf), batch=True)
 
 
+@query(f"WITH h AS ({NEAR} ORDER BY distance, sub_id LIMIT 50), {ROLLUP} SELECT sub_id, sub_id // 2 AS child_id, sub_id // 6 AS parent_id, distance FROM p ORDER BY distance, sub_id LIMIT 15")
+def search_cells_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """search_topk_rollup from a table by cells, of which those too far away aren't read."""
+    held = CellTable.write(_chunks(spark, sf), new_folder(spark, "cells"))
+    return search.top_results(_rollup(held.nearest(_query(spark, sf), search.TOP))).select("sub_id", "child_id", "parent_id", "distance")
+
+
+@query(f"SELECT sub_id, distance FROM ({URLS}) WHERE starts_with({PATH}, '/fr/') ORDER BY distance, sub_id LIMIT 1000")
+def search_cells_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest 1,000 below a prefix, read cell by cell until there are as many."""
+    held = CellTable.write(_with_url(spark, sf), new_folder(spark, "cells"))
+    return held.nearest(_query(spark, sf), search.TOP_FILTERED, under_prefix(F.col("url"), "fr")).select("sub_id", "distance")
+
+
 @query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 6) AS cosine FROM embeddings ORDER BY cosine DESC, vec_id LIMIT 20")
 def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     q = F.array(*[F.lit(float(x)) for x in _query(spark, sf)])

@@ -14,12 +14,14 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import anchors, chunking, filters, markdown
-from ..operators.diagnostics import snapshot_diff
+from ..operators import anchors, chunking, filters, markdown, reports
+from ..operators.diagnostics import backfilled, snapshot_diff
 from .kb import hashed_words
 from .keyed import Commits
 from .store import Library
 
+#: Files that a backfill's report names at most.
+UNFIXABLE = 1000
 CARRY = ("file_name", "source_url", "header_path")
 
 
@@ -160,6 +162,24 @@ def apply_versions(library: Library, versions: DataFrame, embed: Callable[[Colum
     return _changed(library, present, find, embed, cut or (lambda due: index_nodes(due, classify, **limits)))
 
 
+def backfill_urls(library: Library, sidecars: DataFrame, dry_run: bool = False) -> dict:
+    """Fills missing source URLs of a library's nodes and vectors from sidecars (file_name, url); the number of nodes by outcome, and the files that have none.
+
+    Only documents with filled nodes are rewritten, and none in a dry run.
+    """
+    nodes = library.read("hierarchy")
+    judged = backfilled(nodes, sidecars)
+    counts = {r.outcome: r.nodes for r in reports.backfill_report(judged).collect()}
+    lost = [r.file_name for r in reports.unfixable_files(judged).orderBy(F.desc("nodes"), "file_name").limit(UNFIXABLE).collect()]
+    if counts.get("filled") and not dry_run:
+        stale = judged.where("outcome = 'filled'").select("doc_id").distinct()
+        library.keyed("hierarchy", "doc_id").replace(stale, judged.join(stale, "doc_id", "left_semi").select(*nodes.columns))
+        vectors = library.read("vectors")
+        fixed = backfilled(vectors.join(stale, "doc_id", "left_semi"), sidecars).select(*vectors.columns)
+        library.keyed("vectors", "doc_id").replace(stale, fixed)
+    return dict.fromkeys(("kept", "filled", "unfixable"), 0) | counts | {"files": lost}
+
+
 def rebuild_all(libraries: Iterable[Library], documents: Callable[[Library], DataFrame], exclude: Iterable[str] = (), stop_on_error: bool = False, **options: object) -> dict[str, str]:
     """One library after the other; outcome by library id: done, excluded, or failed with its error's kind."""
     outcomes: dict[str, str] = {}

@@ -195,6 +195,19 @@ def test_places_reach_the_results(spark, tmp_path):
     assert held.counts["ram_hits"] == 1
 
 
+def test_backfill_of_a_library(spark, tmp_path):
+    docs = [("a", "a.md", None, "text of a"), ("b", "b.md", "", "text of b"), ("c", "c.md", "https://own", "text of c"), ("d", "d.md", None, "text of d")]
+    lib = Library(spark, str(tmp_path), "back", buckets=2)
+    index.build(lib, spark.createDataFrame(docs, "doc_id string, file_name string, source_url string, text string"), cut=index.plain_nodes)
+    side = spark.createDataFrame([("a.md", "https://a"), ("b.md", "https://b"), ("c.md", "https://other")], "file_name string, url string")
+    version, want = lib.version(), {"kept": 2, "filled": 4, "unfixable": 2, "files": ["d.md"]}
+    assert index.backfill_urls(lib, side, dry_run=True) == want and lib.version() == version
+    assert index.backfill_urls(lib, side) == want
+    for name in ("hierarchy", "vectors"):
+        assert {(r.doc_id, r.source_url) for r in lib.read(name).collect()} == {("a", "https://a"), ("b", "https://b"), ("c", "https://own"), ("d", None)}
+    assert index.backfill_urls(lib, side)["filled"] == 0
+
+
 PAGES = "doc_id long, file_name string, source_url string, text string"
 
 
