@@ -66,7 +66,7 @@ def library(spark, tmp_path_factory):
         ("b.md", "b.md", "https://x.org/en/b", "# Trains\n" + "trains leave the station on time. " * 12),
         ("n.md", "n.md", None, None),
     ]
-    lib = Library(spark, str(tmp_path_factory.mktemp("libs")), "animals")
+    lib = Library(spark, str(tmp_path_factory.mktemp("libs")), "animals", buckets=2)
     rows = spark.createDataFrame(docs, "doc_id string, file_name string, source_url string, text string")
     assert index.build(lib, rows)["status"] == "done"
     return lib
@@ -130,7 +130,7 @@ def test_no_stale_hit_after_a_rebuild(spark, tmp_path):
 
 def test_cache_of_two_drivers(spark, tmp_path, monkeypatch):
     """Writes during a compaction and compactions at the same time lose no entry."""
-    lib = Library(spark, str(tmp_path), "shared")
+    lib = Library(spark, str(tmp_path), "shared", buckets=2)
     a, b = cache.ResultCache(lib, files=3), cache.ResultCache(lib, files=1000)
     entry = lambda n: [(f"c{n}", "p", n / 3)]
     a.put("1", entry(1)), b.put("2", entry(2))
@@ -291,7 +291,7 @@ def test_gates(spark, library, tmp_path):
     assert [status(answers.check_key, *a) for a in ((None, "k"), ("x", "k"), ("x", None))] == [422, 403, 500]
     assert [status(answers.check_password, *a) for a in ((None, "p"), ("x", "p"))] == [401, 403]
     answers.check_key("k", "k"), answers.check_password(None, None), answers.check_password("p", "p")
-    closed = Library(spark, str(tmp_path), "closed")
+    closed = Library(spark, str(tmp_path), "closed", buckets=2)
     assert status(answers.check_access, closed, ()) == 404
     index.build(closed, spark.createDataFrame([("a", "a", "u", "# T\nbody text")], "doc_id string, file_name string, source_url string, text string"))
     answers.check_access(closed, ())
@@ -302,7 +302,7 @@ def test_gates(spark, library, tmp_path):
 
 def test_rebuild_all(spark, tmp_path):
     docs = spark.createDataFrame([("a", "a", "u", "# T\nbody text")], "doc_id string, file_name string, source_url string, text string")
-    libs = [Library(spark, str(tmp_path), n) for n in ("one", "bad", "out", "two")]
+    libs = [Library(spark, str(tmp_path), n, buckets=2) for n in ("one", "bad", "out", "two")]
     pick = lambda lib: docs if lib.library_id != "bad" else docs.where("false")
     assert index.rebuild_all(libs, pick, exclude=["out"]) == {"one": "done", "bad": "failed: ValueError", "out": "excluded", "two": "done"}
     assert libs[1].status()["status"] == "failed" and "two" not in index.rebuild_all(libs, pick, stop_on_error=True)

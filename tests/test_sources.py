@@ -61,7 +61,7 @@ def test_page_metadata(spark, tmp_path):
 
 
 def test_store(spark, tmp_path):
-    lib = store.Library(spark, str(tmp_path), "lib-1")
+    lib = store.Library(spark, str(tmp_path), "lib-1", buckets=2)
     assert lib.status()["status"] == "not_found" and lib.count() == 0
     pairs = lambda *p: spark.createDataFrame(list(p), "key string, value string")
     lib.put_all(pairs(("a", "1"), ("b", "2")))
@@ -81,7 +81,7 @@ def test_store(spark, tmp_path):
 def test_migration(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps({"docstore/data": {"n1": {"text": "a"}, "n2": {"text": "b"}}}))
     (tmp_path / "bad.json").write_text("{")
-    lib = store.Library(spark, str(tmp_path / "l"), "m")
+    lib = store.Library(spark, str(tmp_path / "l"), "m", buckets=2)
     run = lambda name, **k: docstore.migrate_docstore(spark, str(tmp_path / name), lib, **k)["status"]
     assert run("none.json") == "no_json" and run("bad.json") == "corrupted_json" and run("d.json", dry_run=True) == "dry_run"
     assert run("d.json") == "success" and run("d.json") == "already_migrated" and json.loads(lib.get("n1"))["text"] == "a"
