@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.pdf import pdf_problem
+
 # Words of tables of contents in four languages.
 TOC_WORDS = ("table des matières", "table of contents", "sommaire", "inhaltsverzeichnis", "indice", "contents", "chapitre", "chapter", "kapitel")
 SOURCE_TYPES = ("pdf", "docx", "html", "htm", "pptx", "xlsx")
@@ -49,8 +51,14 @@ def in_folder(path: Column, *names: str) -> Column:
 
 
 def pdf_reject_reason(content: Column) -> Column:
-    """Null for what begins like a PDF; rejected rows are marked, never deleted."""
-    return F.when(content.isNull() | (F.substring(content, 1, 5) != F.encode(F.lit("%PDF-"), "UTF-8")), "invalid_pdf_signature")
+    """Null for a PDF that can be opened, has pages and a first page that can be read; rejected rows are marked, never deleted."""
+    signature = F.coalesce(F.substring(content, 1, 5) == F.encode(F.lit("%PDF-"), "UTF-8"), F.lit(False))
+    return F.when(~signature, "invalid_pdf_signature").otherwise(pdf_problem(content))
+
+
+def rejected_header(content: Column) -> Column:
+    """What a file begins with instead of a signature: up to five bytes, as far as they are text."""
+    return F.make_valid_utf8(F.decode(F.substring(content, 1, 5), "ISO-8859-1"))
 
 
 def file_outcomes(files: DataFrame, converted: DataFrame) -> DataFrame:

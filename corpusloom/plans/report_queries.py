@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import anchors, diagnostics, reports
+from ..operators import anchors, diagnostics, filters, reports
 from ..sources.files import missing_conversions
 from .ops_queries import FILES, _files
 from .registry import query, table
@@ -111,3 +111,16 @@ def unanchored_children(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("page_id")
     nodes = table(spark, sf, "pages").select(k.alias("node_id"), F.when(k % 10 != 0, "p").alias("parent_id"), F.when(k % 3 == 0, urls.url_path(F.col("url"))).alias("search_text_start"), F.when(k % 5 == 0, k).alias("page_number"))
     return anchors.without_anchor(nodes).select("node_id")
+
+
+@query("""SELECT doc_id, CASE WHEN text IS NULL THEN 'invalid_pdf_signature' WHEN doc_id % 5 = 1 THEN 'invalid_pdf_signature' WHEN doc_id % 5 = 2 THEN 'pdf_no_pages' WHEN doc_id % 5 = 3 THEN 'pdf_validation_error' WHEN doc_id % 5 = 4 THEN 'pdf_unreadable' END AS reason FROM documents""")
+def pdf_reject_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as PDFs, four of five broken: another signature, no pages, no catalog, a first page that doesn't inflate."""
+    k = F.col("doc_id") % 5
+    pick = lambda n, broken, whole: F.when(k == n, broken).otherwise(F.lit(whole))
+    parts = [
+        pick(1, "<html>", "%PDF-1.4"), F.lit("1 0 obj << /Type"), pick(3, "/Nothing", "/Catalog"), F.lit("/Pages 2 0 R >> endobj 2 0 obj << /Type /Pages /Kids"), pick(2, "[]", "[3 0 R]"),
+        F.lit(">> endobj 3 0 obj << /Type /Page /Contents 4 0 R >> endobj 4 0 obj <<"), pick(4, "/Filter /FlateDecode", ""), F.lit(">> stream\nBT ("), F.col("text"), F.lit(") Tj ET\nendstream endobj"),
+    ]
+    content = F.encode(F.concat(*[x for part in parts for x in (part, F.lit(" "))]), "UTF-8")
+    return table(spark, sf, "documents").select("doc_id", filters.pdf_reject_reason(content).alias("reason"))

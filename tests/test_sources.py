@@ -13,12 +13,14 @@ from corpusloom.streaming import streams
 @pytest.fixture
 def tree(tmp_path):
     for path, content in {
-        "a/guide.pdf": b"%PDF-1.7 x", "a/bad.pdf": b"<html>", "b/Guide.html": b"<p>x</p>", "b/metadata.json": b"{}", "b/page.html": b"x", "c/old.doc": b"x", "c/slides.PPTX": b"x",
+        "a/guide.pdf": PDF, "a/bad.pdf": b"<html>", "b/Guide.html": b"<p>x</p>", "b/metadata.json": b"{}", "b/page.html": b"x", "c/old.doc": b"x", "c/slides.PPTX": b"x",
     }.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_bytes(content)
     return str(tmp_path)
 
+PDF = b"%PDF-1.7 1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj 2 0 obj << /Type /Pages /Kids [3 0 R] >> endobj 3 0 obj << /Type /Page >> endobj"
+
 
 def test_scan_and_validate(spark, tree):
     rows = {r.path: r for r in files.validated(files.scan_sources(spark, tree, content=True)).collect()}
