@@ -237,7 +237,8 @@ def hybrid_union_rank(spark: SparkSession, sf: str) -> DataFrame:
     return search.fused(corpus, kb.orderBy(F.desc("score"), "id").limit(20))
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower('[Document: ' || coalesce(source, 'Unknown') || ' | Section: ' || lang || ']' || chr(10) || chr(10) || text), '[\p{L}\p{M}\p{Nd}\p{Pc}]+') AS words FROM documents)
+ SELECT doc_id, len(list_filter(['the', 'of', 'and', 'with'], lambda q: list_contains(words, q)))::DOUBLE AS score FROM w ORDER BY score DESC NULLS LAST, doc_id LIMIT 15""")
 def rerank_lexical_stub(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").select("doc_id", F.col("source").alias("file_name"), F.concat(F.lit("/"), "lang", F.lit("/")).alias("header_path"), F.col("text").alias("context_content"), F.col("doc_id").alias("base_rank"))
     return search.reranked(rows, F.lit("the of and with")).select("doc_id", "score")
