@@ -1,11 +1,13 @@
 """Cross-entropy difference of a target and a background language model.
 
 Tokens are characters (lower-cased). Both n-gram models share one vocabulary, counted over the whole
-corpus: every character it has, up to ``SYMBOLS``, beyond which the rarest share one symbol. The models
-are matched: the background model is counted on documents outside the target, taken in the order of a
-hash until they have as many tokens as the target (and the other way round if there are fewer others).
+corpus: every character it has, up to ``SYMBOLS``, beyond which the rarest share one symbol.
 A document is never scored by a model that has seen its text: texts fall into two folds by hash, and
-each fold is scored by the models counted on the other one.
+each fold is scored by the models counted on the other one. In each fold the models are matched: the
+background model is counted on documents outside the target, taken in the order of a hash of id and text
+until they have as many tokens as the target (and the other way round if there are fewer others). The
+document that reaches the number is the last one taken, so a sample is never empty and exceeds the
+number by less than one document (rows of equal id and text are taken together).
 
 Counts are exact and grow with the corpus: a Spark table of all n-grams of ``ORDER`` characters, from
 which the lower orders and the contexts are summed. Each order's probability is smoothed with the next
@@ -38,6 +40,7 @@ from .common import fresh, small_batches, trim, written
 ORDER, A = 4, 6.0
 SYMBOLS = 65_533
 FEW_GRAMS, FEW_IDS = 2_000_000, 1_000_000
+STEP = 16
 _OTHER, _BITS, _PIECE = SYMBOLS + 1, 16, 1 << 20
 KINDS = ("target", "background")
 RESULTS = ("score", "target_loss", "background_loss", "n_tokens")
@@ -97,12 +100,43 @@ def sampled(docs: DataFrame, target: DataFrame) -> DataFrame:
     ids = ids.withColumn("own", F.lit(True))
     ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids.hint("merge")
     flagged = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("tid"), "left").select("doc_id", "text", F.coalesce("own", F.lit(False)).alias("own"))
-    sizes = {r.own: r.n or 0 for r in flagged.groupBy("own").agg(F.sum(F.length("text")).alias("n")).collect()}
-    ours, others = sizes.get(True, 0), sizes.get(False, 0)
-    share = lambda n, most: 1.0 if not most or n <= most else most / n
-    taken = F.when(F.col("own"), F.lit(share(ours, others))).otherwise(F.lit(share(others, ours)))
-    part = F.when(_hash(1) < taken * (1 << 20), F.when(F.col("own"), 1).otherwise(2)).otherwise(0)
-    return flagged.select("doc_id", "text", _fold().alias("fold"), part.alias("part"))
+    flagged = flagged.withColumn("fold", _fold()).withColumn("h", F.xxhash64(F.lit(1), F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))))
+    sizes = written(flagged.groupBy("fold", "own", "h").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("n")).where("n > 0"), "lm-sizes")
+    last = {k: _last_taken(sizes.where((F.col("fold") == k[0]) & (F.col("own") == k[1])), most) for k, most in _wanted(sizes).items()}
+    taken = F.lit(True)
+    for (fold, own), h in last.items():
+        taken = F.when((F.col("fold") == fold) & (F.col("own") == own), F.col("h") <= h).otherwise(taken)
+    part = F.when(taken, F.when(F.col("own"), 1).otherwise(2)).otherwise(0)
+    return flagged.select("doc_id", "text", "fold", part.alias("part"))
+
+
+def _wanted(sizes: DataFrame) -> dict[tuple[int, bool], int]:
+    """The larger side of a fold, and the tokens it is cut to."""
+    total = {(r.fold, r.own): r.n for r in sizes.groupBy("fold", "own").agg(F.sum("n").alias("n")).collect()}
+    found = {}
+    for fold in (0, 1):
+        ours, others = total.get((fold, True), 0), total.get((fold, False), 0)
+        if ours and others and ours != others:
+            found[fold, ours > others] = min(ours, others)
+    return found
+
+
+def _last_taken(sizes: DataFrame, most: int) -> int:
+    """The least h whose rows, and those below it, have ``most`` tokens: found by its bits from the top, ``STEP`` of them a pass."""
+    rows = sizes.withColumn("u", F.col("h").bitwiseXOR(F.lit(-(1 << 63))))  # unsigned order
+    prefix, bits = 0, 0
+    while bits < 64:
+        bits += STEP
+        held = rows.where(F.shiftrightunsigned("u", 64 - bits + STEP) == prefix) if prefix or bits > STEP else rows
+        counted = held.groupBy(F.shiftrightunsigned("u", 64 - bits).alias("k")).agg(F.sum("n").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
+        for r in sorted(counted.collect()):  # at most 2 ** STEP rows
+            if r.n >= most:
+                break
+            most -= r.n
+        if r.low == r.high:
+            return r.low
+        prefix = r.k
+    return r.low
 
 
 def gram_counts(flagged: DataFrame, points: np.ndarray) -> DataFrame:

@@ -43,8 +43,9 @@ def test_against_dictionaries(spark, texts):
     target = spark.createDataFrame([(d,) for d in docs if d % 3 == 0], "doc_id long")
     rows = {r.doc_id: (r.text, r.fold, r.part) for r in lmscore.sampled(df, target).collect()}
     assert {r[2] for r in rows.values()} == {0, 1, 2} and {r[1] for r in rows.values()} == {0, 1}
-    sizes = [sum(len(t or "") for t, _, p in rows.values() if p == k) for k in (1, 2)]
-    assert 0.5 < sizes[1] / sizes[0] < 2
+    for fold in (0, 1):
+        sizes = [sum(len(t or "") for t, f, p in rows.values() if p == k and f == fold) for k in (1, 2)]
+        assert abs(sizes[1] - sizes[0]) < max(len(t or "") for t, _, _ in rows.values())
     want = dict(zip(rows, brute(rows.values())))
     for few in (lmscore.FEW_GRAMS, 0):
         got = {r.doc_id: r for r in lmscore.cross_entropy_difference(df, target, few).collect()}
@@ -53,6 +54,30 @@ def test_against_dictionaries(spark, texts):
             assert abs(got[d].score - (t - b)) < 1e-9
 
 
+def test_samples_by_running_sums(spark):
+    """Rows in the order of the hash up to the one that reaches the number, against plain running sums; copies of a long text don't empty a sample."""
+    rows = [(k, "one long text that very many rows repeat " * 40) for k in range(50)] + [(50 + k, f"row {k} says this " * (1 + k % 5)) for k in range(100)] + [(None, "no id"), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for target in (list(range(50, 60)), list(range(60)), [7]):
+        got = lmscore.sampled(df, spark.createDataFrame([(d,) for d in target], "doc_id long"))
+        got = got.withColumn("h", lmscore.F.xxhash64(lmscore.F.lit(1), lmscore.F.col("doc_id").cast("string"), "text")).collect()
+        assert len(got) == len(rows)
+        for fold in (0, 1):
+            side = {own: sorted((r.h, len(r.text), r.part) for r in got if r.fold == fold and (r.doc_id in target) == own) for own in (True, False)}
+            total = {own: sum(n for _, n, _ in held) for own, held in side.items()}
+            most = min(total.values())
+            for own, held in side.items():
+                run, want = 0, set()
+                for h, n, _ in held:
+                    if not most or run < most:
+                        want.add(h)
+                    run += n
+                assert [bool(p) for _, _, p in held] == [h in want for h, _, _ in held]
+                assert all(p in (0, 1 if own else 2) for _, _, p in held) and (not held or want)
+    scored = lmscore.cross_entropy_difference(df, spark.createDataFrame([(d,) for d in range(50, 60)], "doc_id long")).collect()
+    assert len({round(r.background_loss, 6) for r in scored}) > 10
+
+
 def test_target_scores_lower(spark):
     """Rows of the target's kind that were no part of it score lower than others."""
     kinds = ("the cat sat on the mat and saw a rat", "zwölf boxkämpfer jagen viktor quer über den deich")
