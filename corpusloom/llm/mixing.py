@@ -7,11 +7,13 @@ order of cap_i / w_i, which equals clamping and resharing until nothing is above
 
 A document of a source with rate r = target / size is taken floor(r) times; a seeded sample of the
 source is taken once more. The sample is cut where its words reach the fractional rest: documents
-above 1 % of their source (at most 100) are settled first, taken in hash order as they fit, the
-others in the order of a seeded hash.
-The hash is cut into buckets whose sums locate the edge, so only the edge bucket is sorted and no
-source is ever gathered in one task. The realised words miss the target by half a document of at
-most 1 % of its source (more only if a source has nothing but larger documents).
+above 1 % of their source (at most 100) are settled first, in the order of a seeded hash. One is taken
+if it fits into the large documents' proportional share of the rest, or if the rest can't be reached
+without it by all that come after it and is missed by less with it than without. The others follow in
+the order of the hash until the rest is full.
+The hash is cut into buckets whose sums locate the edge, so only the edge bucket (one of 2 **
+``BUCKET_BITS``) is sorted and no source is ever gathered in one task. The realised words miss the target
+by at most half a document: one of at most 1 % of its source where the small ones can fill the rest.
 
 Nulls: a null text has 0 words; null is a source of its own; null ids hash as one value. Equal
 (source, id, size) rows get equal repetitions. Empty input gives an empty result. Other columns
@@ -29,7 +31,7 @@ from .common import word_count, written
 WEIGHTS = (5, 2, 1)
 #: Salts spread the join with the few source rows when the planner can't broadcast them.
 SALTS = 32
-BUCKET_BITS = 10
+BUCKET_BITS = 16
 
 
 def _hash(doc_id: Column, seed: int) -> Column:
@@ -76,18 +78,25 @@ def plan_mix(sized: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS
     )
     rows = _joined(docs, targets)
     large = rows.where(F.col("size") * 100 > F.col("source_size"))
-    # at most 100 rows of a source can be that large: a fold takes them in hash order as long as they fit
+    # at most 100 rows of a source can be that large: a fold settles them in hash order
     grouped = large.groupBy("source", "doc_id", "size", "_h", "source_size", "_quota").agg(F.sum("size").alias("_sum"))
     listed = grouped.groupBy("source", "source_size", "_quota").agg(
         F.sort_array(F.collect_list(F.struct("_h", "doc_id", "size", "_sum"))).alias("_list"), F.sum("_sum").alias("_all")
     )
     most = F.col("_quota") * F.col("_all") / F.col("source_size")
-    kind = "struct<used:bigint,took:array<struct<_h:bigint,doc_id:bigint,size:bigint,_sum:bigint>>>"
-    none = F.struct(F.lit(0).cast("long").alias("used"), F.array().alias("took")).cast(kind)
-    fits = lambda acc, x: F.when(
-        acc["used"] + x["_sum"] <= most, F.struct((acc["used"] + x["_sum"]).alias("used"), F.concat(acc["took"], F.array(x)).alias("took")).cast(kind)
-    ).otherwise(acc)
-    first = listed.select("source", F.explode(F.aggregate("_list", none, fits)["took"]).alias("_d")).select("source", "_d.*")
+    kind = "struct<used:bigint,left:bigint,took:array<struct<_h:bigint,doc_id:bigint,size:bigint,_sum:bigint>>>"
+    none = F.struct(F.lit(0).cast("long").alias("used"), F.col("source_size").alias("left"), F.array().alias("took")).cast(kind)
+
+    def settle(acc: Column, x: Column) -> Column:
+        used, left = acc["used"] + x["_sum"], acc["left"] - x["_sum"]  # with x; all that comes after x
+        short = F.col("_quota") - (acc["used"] + left)
+        take = (used <= most) | (short > 0) & (used - F.col("_quota") < short)
+        return F.struct(
+            F.when(take, used).otherwise(acc["used"]).alias("used"), left.alias("left"), F.when(take, F.concat(acc["took"], F.array(x))).otherwise(acc["took"]).alias("took")
+        ).cast(kind)
+
+    listed = listed.withColumn("_took", F.aggregate("_list", none, settle)["took"])
+    first = listed.select("source", F.explode("_took").alias("_d")).select("source", "_d.*")
     first = written(first.select("source", "doc_id", "size", "_sum"), "mix-large")
     used = first.groupBy("source").agg(F.sum("_sum").alias("_used")).withColumnRenamed("source", "_usource")
     left = (

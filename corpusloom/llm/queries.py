@@ -140,14 +140,16 @@ MIX_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all
  q AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, floor(target / source_size)) ELSE 0 END::BIGINT AS reps FROM t),
  r AS (SELECT *, greatest(0, target - reps * source_size) AS quota FROM q),
  j AS (SELECT d.*, source_size, target, reps, quota FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
- big AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) AS n, quota * sum(size) OVER (PARTITION BY source) / source_size AS most FROM j WHERE size * 100 > source_size),
- f AS (SELECT source, doc_id, n, size <= most AS took, CASE WHEN size <= most THEN size ELSE 0 END AS used FROM big WHERE n = 1 UNION ALL
-  SELECT b.source, b.doc_id, b.n, f.used + b.size <= b.most, CASE WHEN f.used + b.size <= b.most THEN f.used + b.size ELSE f.used END FROM f JOIN big b ON b.source IS NOT DISTINCT FROM f.source AND b.n = f.n + 1),
+ big AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) AS n, quota * sum(size) OVER (PARTITION BY source) / source_size AS most,
+  source_size - sum(size) OVER (PARTITION BY source ORDER BY h, doc_id) AS later FROM j WHERE size * 100 > source_size),
+ f AS (SELECT source, doc_id, n, size <= most OR quota > later AND size - quota < quota - later AS took, CASE WHEN size <= most OR quota > later AND size - quota < quota - later THEN size ELSE 0 END AS used FROM big WHERE n = 1 UNION ALL
+  SELECT source, doc_id, n, took, CASE WHEN took THEN used + size ELSE used END FROM (SELECT b.source, b.doc_id, b.n, b.size, f.used,
+   f.used + b.size <= b.most OR quota > f.used + later AND f.used + b.size - quota < quota - (f.used + later) AS took FROM f JOIN big b ON b.source IS NOT DISTINCT FROM f.source AND b.n = f.n + 1)),
  u AS (SELECT r.source, r.quota - coalesce((SELECT max(used) FROM f WHERE f.source IS NOT DISTINCT FROM r.source), 0) AS rest FROM r),
- m AS (SELECT *, h >> 22 AS b FROM j WHERE size * 100 <= source_size),
+ m AS (SELECT *, h >> 16 AS b FROM j WHERE size * 100 <= source_size),
  c AS (SELECT source, b, sum(size) AS own, sum(sum(size)) OVER (PARTITION BY source ORDER BY b) AS cum FROM m GROUP BY source, b),
  e AS (SELECT u.source, u.rest, min(c.b) AS b0, min(c.cum - c.own) AS below FROM u LEFT JOIN c ON c.source IS NOT DISTINCT FROM u.source AND c.cum > u.rest GROUP BY u.source, u.rest),
- x AS (SELECT m.doc_id, m.b < coalesce(e.b0, 1024) OR m.b = e.b0 AND sum(m.size) OVER (PARTITION BY m.source, m.b ORDER BY m.h, m.doc_id) - m.size / 2.0 <= e.rest - e.below AS took FROM m JOIN e ON m.source IS NOT DISTINCT FROM e.source
+ x AS (SELECT m.doc_id, m.b < coalesce(e.b0, 65536) OR m.b = e.b0 AND sum(m.size) OVER (PARTITION BY m.source, m.b ORDER BY m.h, m.doc_id) - m.size / 2.0 <= e.rest - e.below AS took FROM m JOIN e ON m.source IS NOT DISTINCT FROM e.source
   UNION ALL SELECT doc_id, took FROM f)
  SELECT j.doc_id, j.size, j.source_size, j.target, CASE WHEN j.size > 0 THEN j.size * (j.reps + CASE WHEN x.took THEN 1 ELSE 0 END) ELSE 0 END AS taken FROM j LEFT JOIN x ON j.doc_id = x.doc_id"""
 

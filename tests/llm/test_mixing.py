@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -54,6 +55,35 @@ def test_caps_bind(spark):
     assert got["a"].n == 120 and got[None].n == 21 and abs(got["b"].n - want["b"]) <= 40
 
 
+def test_large_documents(spark):
+    """Large documents make up what the others can't, and the target is missed by at most half a document."""
+    rnd = random.Random(5)
+    shapes = {"a": [400] + [10] * 60, "b": [100] * 10, "c": [400, 300, 300], "d": [900] + [1] * 100, "e": [rnd.randrange(1, 400) for _ in range(30)], "f": [5] * 3000, "g": [250, 250, 250] + [2] * 125}
+    rows, sizes = [], {}
+    for s, held in shapes.items():
+        sizes[s] = sum(held)
+        rows += [(len(rows) + k, s, n) for k, n in enumerate(held)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    for seed, weights in ((1, (5, 2, 1)), (2, (3, 4, 2)), (7, (1, 1, 1))):
+        plan, more, sized = mixing.plan_mix(df, seed, weights)
+        got = mixing.apply_mix(sized, plan, more, seed).groupBy("source").agg(F.max("target").alias("t"), F.sum(F.col("size") * F.col("reps")).alias("n"), F.max("reps").alias("r")).collect()
+        want = water_fill(sizes, weights)
+        for r in got:
+            assert abs(r.t - want[r.source]) < 1e-6 * r.t and r.r <= 3
+            assert abs(r.n - r.t) <= max(shapes[r.source]) / 2, (seed, r)
+
+
+def test_made_up(spark):
+    """A source of 1,000 words of which 783 are due: one document of 400 words and 60 of 10."""
+    rows = [(k, "a", 400 if not k else 10) for k in range(61)] + [(100 + k, "b", 10) for k in range(0, 2132)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    for seed in range(4):
+        weights = (1.0, 21537 / 783)
+        plan, more, sized = mixing.plan_mix(df, seed, weights)
+        r = mixing.apply_mix(sized, plan, more, seed).where("source = 'a'").agg(F.max("target").alias("t"), F.sum(F.col("size") * F.col("reps")).alias("n")).first()
+        assert 780 < r.t < 786 and abs(r.n - r.t) <= 8, (seed, r)
+
+
 def test_odd_rows(odd, none):
     got = mixing.mix(odd)
     assert got.count() == odd.count() and {"source_size", "target", "reps"} <= set(got.columns)
@@ -73,12 +103,15 @@ def test_clashing_names(odd):
     assert again.columns == df.columns and all(r.target == "own target" and r.col == "own col" for r in again.collect())
 
 
-def test_sql(spark, sf):
+def test_sql(spark, sf, tmp_path):
     import duckdb
 
     con = duckdb.connect()
-    for where in (sf, "/root/testdata/sf0.1"):
-        con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{where}/documents.parquet'")
+    made = str(tmp_path)
+    rows = [(k, s, "w " * n) for k, (s, n) in enumerate([("a", 400)] + [("a", 10)] * 60 + [("b", 100)] * 10 + [("c", n) for n in (400, 300, 300)] + [("d", 5)] * 3000 + [(None, 9), (None, 4)])]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{made}/documents.parquet")
+    for where in (sf, "/root/testdata/sf0.1", made):
+        con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{where}/documents.parquet{'/*.parquet' if where == made else ''}')")
         want = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({queries.SQL['op7_source_mix']})").fetchall()}
         got = {r.doc_id: (r.size, r.source_size, r.target, r.taken) for r in queries.op7_source_mix(spark, where).collect()}
         assert got == want
