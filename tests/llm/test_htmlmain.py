@@ -83,6 +83,64 @@ def test_host_paths_follow_the_page(spark):
     assert htmlmain.host_paths(df).where("host = 'many.org'").first().paths.__len__() == 12
 
 
+ARTICLE = "<div class=post><h1>Title</h1><p>What the article says.</p><p>And its end.</p></div>"
+SAID = "A reader says much more than the article ever did, and says it all over again. " * 4
+
+
+def thread(name, tag="div", n=5):
+    return f"<div {name}><{tag} class=c-list>" + "".join(f"<{'li' if tag in ('ul', 'ol') else 'div'} class='item depth-{k}'><p>{SAID}</p></{'li' if tag in ('ul', 'ol') else 'div'}>" for k in range(n)) + f"</{tag}></div>"
+
+
+def test_long_threads():
+    """Readers' comments longer than the article: by their names, and by their marks alone."""
+    want = "Title\nWhat the article says.\nAnd its end."
+    for name in ("id=comments class=comments-area", "class=user-comments", "class=reader-comments", "class=fb-comments", "class=commentlist", "id=disqus_thread", "class='post-comments wide'", "class=comment-section"):
+        for tag in ("ol", "div"):
+            page = f"<body><div class=wrap>{ARTICLE}{thread(name, tag)}</div></body>"
+            assert htmlmain.main_text(page, []) == want, (name, tag)
+            assert htmlmain.vote(page) == path(">div.wrap>div.post")
+    marked = [
+        "<div class=m><span class=author>Ann</span> <time>May 1</time><p>{}</p></div>",
+        "<li class=m><img class=avatar src=x><span class=posted>May 1</span><div>{}</div></li>",
+        "<div class=m><b>Ann</b><p>{}</p><a href=#r>Reply</a></div>",
+        "<article class=m><p>{}</p><a href=#r class=reply-link>&rarr;</a></article>",
+    ]
+    for block in marked:
+        page = f"<body><div class=wrap>{ARTICLE}<div class=talk>{''.join(block.format(SAID) for _ in range(4))}</div></div></body>"
+        assert htmlmain.main_text(page, []) == want, block
+    wordpress = f"<body><main>{ARTICLE}<section class=responses><ol>{''.join(f'<li class=comment><article class=comment-body><p>{SAID}</p></article></li>' for _ in range(3))}</ol></section></main></body>"
+    assert htmlmain.main_text(wordpress, []) == want
+
+
+def test_no_threads():
+    """What bears some of the marks, or all of the page, is kept."""
+    by = "<div class=post><h1>Title</h1><p class=byline>By <span class=author>Ann</span>, <time>May 1</time></p><p>The text of it.</p></div>"
+    assert htmlmain.main_text(f"<body>{by}</body>", []) == "Title\nBy Ann, May 1\nThe text of it."
+    parts = "".join(f"<div class=entry><h2>Day {k}</h2><span class=author>Ann</span> <time>May {k}</time><p>Long entry of a diary, part by part.</p></div>" for k in range(2))
+    assert htmlmain.main_text(f"<body><article><h1>Diary</h1>{parts}</article></body>", []).count("Long entry") == 2
+    assert htmlmain.main_text("<body><div class='single comments-open'><p>All.</p></div></body>", []) == "All."
+    assert htmlmain.main_text(f"<body><div id=comments-page-wrap class=comments>{ARTICLE}</div></body>", []) == "Title\nWhat the article says.\nAnd its end."
+    assert htmlmain.main_text("<body><div class=commentary><p>On the second verse.</p></div></body>", []) == "On the second verse."
+
+
+def test_bars_and_adverts():
+    gone = (
+        "<div class=google-ad>Buy this</div><div class=cookiebar>We use cookies</div><div id=cookie-law-info-bar class=cookie-law-info>More cookies</div>"
+        "<ul id=topnav><li>Home</li><li>About</li></ul><div class=sharebar>Tweet</div>"
+    )
+    assert htmlmain.main_text(f"<body><div class=wrap><div class=text><p>One text.</p>{gone}<p>Its end.</p></div></div></body>", [path(">div.wrap>div.text")]) == "One text.\nIts end."
+
+
+def test_host_path_outweighs_the_page(spark):
+    """Two pages of a host whose other eight vote for the article: blocks without marks, longer than the article, don't win."""
+    page = lambda talk: f"<body><div class=story><p>{'The article of the page. ' * 6}</p></div><div class=talk>{talk}</div></body>"
+    rows = [(k, f"http://h.org/{k}", page("<p>No remarks.</p>" if k < 8 else "<p>Chatter of the readers. </p>" * 20)) for k in range(10)]
+    got = htmlmain.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {" ".join(["The article of the page."] * 6)}
+    led = htmlmain.host_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).first()
+    assert led.votes == [8, 2] and led.paths[0] == path(">div.story")
+
+
 def test_clashing_names(spark):
     names = ["paths", "_paths", "host", "_host", "_led_host", "_led_paths", "n_chars", "path", "n"]
     df = spark.createDataFrame([(1, "http://a/", "<p>x", "t", *range(9)), (1, "http://a/", "<p>x", "t", *range(9))], "page_id long, url string, html string, text string, " + ", ".join(f"{n} int" for n in names))
