@@ -2,6 +2,8 @@
 
 Texts become sequences of tokens in which numbers, names and units are typed placeholders: a number
 has digits or is a number word; a unit is a unit word right behind a number; a name is capitalised.
+Names of up to ``MOST_NAMES`` words and numbers of several number words are one token, if only blanks stand
+between; a number is parted from the word a hyphen ties to it ('5-year-old').
 At the start of a sentence or line a capital says little: there a word is a name unless the benchmark
 has it capitalised too and it is common in lower case: in all documents and items together (counted in
 Spark) at least ``COMMON`` times a text.
@@ -62,13 +64,36 @@ BITS_EACH, MOST_BITS = 64, 29
 LITERALS, MIN_TOKENS = 4, 5
 #: Tokens of an excerpt that is reported at any coverage.
 VERBATIM = 13
+#: Longer runs of capitalised words are headings or lists, not a name.
+MOST_NAMES = 3
 #: Document windows of one hash that a task joins.
 HOT = 20_000
 
 # Number words and units (English, German, French, Spanish).
-NUMBER_WORDS = frozenset(
-    "two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million billion zwei drei vier fünf sechs sieben acht neun zehn elf zwölf hundert tausend deux trois quatre cinq sept huit dix cent mille dos tres cuatro cinco seis siete ocho nueve diez cien mil".split()
+_EN_ONES, _DE_ONES, _FR_ONES, _ES_ONES = (
+    x.split() for x in ("one two three four five six seven eight nine", "ein zwei drei vier fünf sechs sieben acht neun", "un deux trois quatre cinq six sept huit neuf", "uno dos tres cuatro cinco seis siete ocho nueve")
 )
+_EN_TENS, _DE_TENS, _FR_TENS, _ES_TENS = (
+    x.split()
+    for x in (
+        "twenty thirty forty fifty sixty seventy eighty ninety", "zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig", "vingt trente quarante cinquante soixante quatrevingt",
+        "treinta cuarenta cincuenta sesenta setenta ochenta noventa",
+    )
+)
+_TEENS = (
+    "ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn "
+    "dix onze douze treize quatorze quinze seize dixsept dixhuit dixneuf diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve"
+).split()
+_SCALES = "hundred thousand million billion hundert tausend cent cents mille quatrevingts cien ciento doscientos trescientos quinientos mil veinte".split()
+_NO_NUMBERS = frozenset("un uno ein".split())  # articles and pronouns as well
+# Compounds up to 99, by rule, as letters without hyphens.
+NUMBER_WORDS = frozenset(
+    [*_EN_ONES, *_DE_ONES, *_FR_ONES, *_ES_ONES, *_EN_TENS, *_DE_TENS, *_FR_TENS, *_ES_TENS, *_TEENS, *_SCALES]
+    + [t + o for t in _EN_TENS for o in _EN_ONES]
+    + [f"{o}und{t}" for t in _DE_TENS for o in _DE_ONES]
+    + [t + o for t in _FR_TENS for o in (*_FR_ONES, "etun", "dix", "onze", "etonze", "douze", "treize", "quatorze", "quinze", "seize", "dixsept", "dixhuit", "dixneuf")]
+    + [f"veinti{o}" for o in ("uno", "ún", "dós", "trés", "cuatro", "cinco", "séis", "siete", "ocho", "nueve")]
+) - _NO_NUMBERS
 UNITS = frozenset(
     "km m cm mm kg g mg lb lbs oz l ml mile miles meter meters metre metres inch inches foot feet yard yards gram grams liter liters litre litres pound pounds ounce ounces hour hours hr hrs minute minutes min second seconds sec day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees volt volts watt watts mph kmh stunde stunden tag tage jahr jahre heure heures jour jours an ans hora horas día días año años".split()
 )
@@ -103,6 +128,9 @@ class Tokens:
         begins = space.astype(np.int32)
         for k in np.flatnonzero((kind[:-1] & _DIGIT > 0) & (kind[1:] & _GLUE > 0)).tolist():
             begins[k + 1] += _GLUED.match(joined, k + 1) is not None
+        # and so is a number that a hyphen ties to a word
+        ties = np.flatnonzero(chars[1:-1] == ord("-")) + 1
+        begins[ties[(kind[ties - 1] & _DIGIT > 0) & (kind[ties + 1] & (_WORD | _DIGIT) == _WORD)]] += 1
         self.at = at = np.flatnonzero(kind & _WORD)
         token = np.cumsum(begins, dtype=np.int32)[at]
         self.runs = runs = np.flatnonzero(np.diff(token, prepend=-1)) if len(at) else np.empty(0, np.int64)
@@ -124,13 +152,23 @@ class Tokens:
         before = np.searchsorted(ends, start)
         opens = np.ones(len(runs), bool)
         opens[1:] = before[1:] > before[:-1]
-        self.text = np.searchsorted(border, start)
-        self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
         name = capital.copy()
         doubtful = np.flatnonzero(capital & opens)
         name[doubtful] = ~among(self.own[doubtful], common)
         number = (digits > 0) & (2 * digits >= size) | among(self.own, _NUMBERS)
         name &= ~number
+        # words with nothing but blanks between that make one name or number
+        blank = np.cumsum(~space | (kind & _BREAK > 0), dtype=np.int32)
+        one = np.zeros(len(runs), bool)
+        one[1:] = (blank[start[1:] - 1] == blank[at[runs[1:] - 1]]) & (name[1:] & name[:-1] | number[1:] & number[:-1] & (digits[1:] == 0))
+        whole = np.cumsum(~one) - 1
+        if one.any():
+            one &= ~(name & (np.bincount(whole)[whole] > MOST_NAMES))
+            name, number, start = name[~one], number[~one], start[~one]
+            self.runs = runs = runs[~one]
+            self.own = run_hashes(self.low[at], runs)
+        self.text = np.searchsorted(border, start)
+        self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
         unit = among(self.own, _UNITS)
         unit[1:] &= number[:-1] & (self.text[1:] == self.text[:-1])
         unit[:1] = False

@@ -121,6 +121,40 @@ def test_generated_problems(spark):
     pairs = {(r.doc_id, r.item_id) for r in found}
     assert sum((100 + k, k) in pairs for k in range(60)) >= 57
     assert not any(d >= 1000 for d, _ in pairs)
+    full = [f"{n} {m}" for n, m in zip(NAMES, NAMES[7:] + NAMES[:7])]
+    numbers = "thirteen;sixty;twenty-one;ninety".split(";")
+    docs = [(100 + k, problem(k, [full[(k + 3) % 16], full[(k + 7) % 16], full[(k + 12) % 16]], [numbers[(k + j) % 4] for j in range(4)])) for k in range(60)]
+    again = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(docs + clean, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sum((100 + k, k) in again for k in range(60)) >= 57 and not any(d >= 1000 for d, _ in again)
+
+
+def test_longer_names_and_number_words(spark):
+    """Names of two words in place of one, number words, numbers tied by a hyphen."""
+    items = {
+        1: "Natalia sold 48 clips to her friends. Weng baked 12 cakes for them. Tina paid 30 dollars for all of it.",
+        2: "the old baker put thirteen loaves on the shelf and took nineteen of them back to the shop later",
+        3: "a 5-year-old horse ran the 3-mile race in less time than its owner had hoped for that day",
+        4: "der alte Mann hat zwanzig Äpfel und dreizehn Birnen auf den Markt gebracht und wieder mitgenommen",
+        5: "le marchand a vendu quinze pommes et trente poires au voisin avant de rentrer chez lui hier",
+    }
+    docs = {
+        1: "Mary Jane sold 15 clips to her friends. Jo Ann baked 7 cakes for them. Ana Maria paid 99 dollars for all of it.",
+        2: "the old baker put sixty two loaves on the shelf and took seventeen of them back to the shop later",
+        3: "a 7-year-old horse ran the 12-mile race in less time than its owner had hoped for that day",
+        4: "der alte Mann hat 31 Äpfel und siebenundvierzig Birnen auf den Markt gebracht und wieder mitgenommen",
+        5: "le marchand a vendu vingt-deux pommes et soixante-dix poires au voisin avant de rentrer chez lui hier",
+        6: "the old baker put his loaves on the shelf and then he took some time to look at the horse and the race",
+    }
+    made = lambda rows, name: spark.createDataFrame([(k, t) for k, t in rows.items()], f"{name} long, text string")
+    got = decontam.contaminated(made(docs, "doc_id"), made(items, "item_id")).collect()
+    assert {(r.doc_id, r.item_id, r.kind) for r in got} == {(k, k, "reparameterised") for k in range(1, 6)}
+
+
+def test_joined_tokens():
+    none = decontam.word_codes([])
+    tokens = decontam.Tokens(["he met Mary  Jane, Jo\nAnn and two hundred men of The New Old Big House at 3 million or 5 6"], none)
+    assert [tokens.value(k) for k in range(len(tokens.code))] == "he met maryjane jo ann and twohundred men of the new old big house at 3million or 5 6".split()
+    assert [tokens.value(k) for k in range(4)] == ["he", "met", "maryjane", "jo"] and tokens.code[2] == decontam.NAME and tokens.code[6] == decontam.NUM
 
 
 def test_rows_are_told_apart_by_their_texts(spark):
