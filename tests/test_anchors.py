@@ -52,3 +52,31 @@ def test_pipeline_invariants(spark, sf):
     assert whole(children).exceptAll(whole(chunking.line_nodes(docs))).count() == 0
     split = chunking.split_oversized(docs.select("doc_id", "text"), tokens=4000)
     assert split.where("half is not null").count() > 0 and split.select("doc_id").distinct().count() == docs.count()
+
+
+def test_few_comparisons(spark, monkeypatch):
+    """A page that contains a node ends the search, and others are ruled out by their grams; results stay those of all pairs."""
+    from corpusloom.functions import fuzzy
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmno", k=7))
+    texts = [" ".join(word() for _ in range(7)) for _ in range(3)]
+    slips = [t[:20] + "zz" + t[23:] for t in texts] + [t[30:] + texts[0][:60] for t in texts]
+    ratio = anchors._ratios()
+    for a in texts + slips:
+        for b in texts + slips:
+            short, long = sorted((a, b), key=len)
+            whole = max(fuzzy.ratio(short, long[max(0, k) : k + len(short)]) for k in range(1 - len(short), len(long)))
+            assert anchors._contained(a, b) == (whole == 100.0)
+            for cutoff in (0.0, 50.0, 90.0, 95.0):
+                assert abs(ratio(a, b, cutoff) - (whole if whole >= cutoff else 0.0)) < 1e-9
+    calls = []
+    monkeypatch.setattr(fuzzy, "_lcs", lambda *x: calls.append(x) or 0)
+    ratio = anchors._ratios()
+    assert all(ratio(a, b, 90.0) == 0.0 for a in texts for b in texts if a is not b) and not calls
+    # comparing is dealt to as many tasks as asked for, however few bytes the texts have
+    docs = spark.createDataFrame([(k, f"n{k}", 1, t) for k, t in enumerate(texts)], "doc_id long, node_id string, ord int, text string")
+    pages = docs.selectExpr("doc_id", "0 as page", "text")
+    found = anchors.page_locations(docs, pages)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {tuple(r) for r in found.collect()} == {(f"n{k}", 1, 100.0) for k in range(len(texts))}
