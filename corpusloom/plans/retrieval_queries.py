@@ -119,8 +119,8 @@ def fragment_locator(spark: SparkSession, sf: str) -> DataFrame:
 def annotation_audit(spark: SparkSession, sf: str) -> DataFrame:
     nodes, elements, _ = _page_nodes(spark, sf)
     found = anchors.fragment_locations(nodes, elements)
-    rows = found.select("node_id", F.lit("html").alias("ext"), F.lit("p").alias("parent_id"))
-    kinds = anchors.anchored(rows, found, found.select("node_id", F.lit(None).cast("long").alias("page_number")))
+    rows = nodes.select("node_id", F.lit("html").alias("ext"), F.lit("p").alias("parent_id"))
+    kinds = anchors.anchored(rows, found, nodes.select("node_id", F.lit(None).cast("long").alias("page_number")).limit(0))
     return kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
 
 
