@@ -67,8 +67,10 @@ def kb_ids(c: Column) -> Column:
     return F.coalesce(F.regexp_replace(c, r"""[\[\]'" ]""", ""), F.lit(""))
 
 
-def human_bytes(c: Column) -> Column:
+def human_bytes(c: Column, largest: str = "TB") -> Column:
+    """Sizes in units of 1,024, up to the ``largest`` one in use."""
     sizes = ["B", "KB", "MB", "GB", "TB"]
+    sizes = sizes[: sizes.index(largest) + 1]
     out = F.lit("0 B")
     x = c.cast("double")
     ladder = F.when(c == 0, out)

@@ -68,7 +68,7 @@ def filename_normalise(spark: SparkSession, sf: str) -> DataFrame:
  FROM (SELECT *, p_size::BIGINT * p_partkey * p_partkey AS b FROM part)""")
 def slug_name_bytes(spark: SparkSession, sf: str) -> DataFrame:
     size = F.col("p_size").cast("long") * F.col("p_partkey") * F.col("p_partkey")
-    return table(spark, sf, "part").select("p_partkey", text.slug(F.col("p_name")).alias("slug"), text.display_name(F.col("p_name")).alias("shown"), text.human_bytes(size).alias("bytes"))
+    return table(spark, sf, "part").select("p_partkey", text.slug(F.col("p_name")).alias("slug"), text.display_name(F.col("p_name")).alias("shown"), text.human_bytes(size, "GB").alias("bytes"))
 
 
 @query(rf"""SELECT page_id, CASE WHEN q = '' THEN bare ELSE split_part(bare, '?', 1) || '?' || array_to_string(list_transform(list_sort(list_transform(string_split(q, '&'),

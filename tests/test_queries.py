@@ -47,3 +47,19 @@ def test_query(spark, sf, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 15
+
+
+def test_sizes_of_large_keys(spark, tmp_path):
+    """Sizes beyond 1,024 GB stay in GB, as the SQL has them."""
+    rows = "SELECT k AS p_partkey, 'Red_ring x' AS p_name, 50 AS p_size FROM (VALUES (0::BIGINT), (1023), (149999), (156385), (1199999)) t(k)"
+    duckdb.sql(f"COPY ({rows}) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    df = entry.queries()["slug_name_bytes"](spark, str(tmp_path))
+    want = con.execute(entry.oracle_sql()["slug_name_bytes"])
+    names = [c[0] for c in want.description]
+    assert rows_of(df, names) == sorted(want.fetchall())
+
+
+def rows_of(df, names):
+    return sorted(tuple(r) for r in df.select(*names).collect())
