@@ -6,7 +6,8 @@ character destroys q of the name's padded q-grams and one that the other name ha
 q - 1, which leaves (2q - 1) L - (q - 1)(n + m - 1) common ones: more than none for q = 3 at the
 thresholds in use. Hence both names have a common gram among their first few, rarest first, and meet
 there. Lengths and counts of common grams rule out most pairs, and the others are compared in full.
-A gram that many targets have is dealt to several tasks by ``BLOCK`` of them.
+A gram that many targets have is dealt to several tasks by ``BLOCK`` of them. All joins merge sorted
+rows: compressed arrays of grams look small enough to be broadcast, and are far larger in the driver.
 
 Names are compared as they are; null names are left out, repeated ones count once.
 """
@@ -58,11 +59,11 @@ def _sets(names: DataFrame, least: float, q: int) -> DataFrame:
 
 def _first(sets: DataFrame, often: DataFrame) -> DataFrame:
     """With ``first``: the grams to look up, rarest first."""
-    each = sets.select("name", "keep", F.explode("grams").alias("gram")).join(often, "gram")
+    each = sets.select("name", "keep", F.explode("grams").alias("gram")).join(often.hint("merge"), "gram")
     ordered = F.array_sort(F.collect_list(F.struct("df", "gram")))
     listed = each.groupBy("name", "keep").agg(ordered.alias("all"))
     first = F.transform(F.slice("all", 1, F.greatest(F.col("keep"), F.lit(0)).cast("int")), lambda x: x["gram"])
-    return sets.drop("keep").join(listed.select("name", first.alias("first")), "name")
+    return sets.drop("keep").join(listed.select("name", first.alias("first")).hint("merge"), "name")
 
 
 def similar_candidates(names: DataFrame, targets: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -74,10 +75,10 @@ def similar_candidates(names: DataFrame, targets: DataFrame, threshold: float =
     a, b = _first(a, often), _first(b, often).withColumnsRenamed({"name": "target", "n": "m", "grams": "others", "first": "seconds"})
     right = b.withColumn("gram", F.explode("seconds"))
     blocks = right.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = right.join(blocks, "gram").withColumn("block", F.pmod(F.xxhash64("target"), F.col("blocks")).cast("int")).drop("blocks")
-    left = a.withColumn("gram", F.explode("first")).join(blocks, "gram").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    dealt = right.join(blocks.hint("merge"), "gram").withColumn("block", F.pmod(F.xxhash64("target"), F.col("blocks")).cast("int")).drop("blocks")
+    left = a.withColumn("gram", F.explode("first")).join(blocks.hint("merge"), "gram").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     span = least / (200 - least)
-    met = left.join(dealt, ["gram", "block"]).where((F.least("n", "m") >= F.greatest("n", "m") * span - 1e-9))
+    met = left.join(dealt.hint("merge"), ["gram", "block"]).where((F.least("n", "m") >= F.greatest("n", "m") * span - 1e-9))
     once = F.array_intersect("first", "seconds")[0] == F.col("gram")
     enough = F.size(F.array_intersect("grams", "others")) >= _common(F.col("n"), F.col("m"), least, q)
     return met.where(once).where(enough).select("name", "target")
@@ -89,6 +90,6 @@ def best_names(names: DataFrame, targets: DataFrame, threshold: float = THRESHOL
     Both listings are of files of one library. A name that is a target already stays as it is.
     """
     taken = targets.select("name").distinct()
-    pairs = similar_candidates(names.join(taken, "name", "left_anti"), targets, threshold)
+    pairs = similar_candidates(names.join(taken.hint("merge"), "name", "left_anti"), targets, threshold)
     rows = pairs.withColumn("score", F.round(ratio_of("name", "target"), 0)).where(F.col("score") >= threshold)
     return rows.groupBy("name").agg(F.min_by("target", F.struct(-F.col("score"), F.col("target"))).alias("target"), F.max("score").alias("score"))

@@ -52,3 +52,11 @@ def test_parts(spark, sf):
     assert found == pairs(spark, own, targets, 85, block=10_000)
     least = {(a, t) for a in set(own) for t in set(targets) if ratio(a, t) >= 84.5}
     assert least <= found and len(found) < 0.02 * len(set(own)) * len(set(targets))
+
+
+def test_nothing_is_broadcast(spark):
+    """Names and their grams don't pass through the driver."""
+    frame = spark.createDataFrame([(f"name {k}.md",) for k in range(50)], "name string")
+    df = N.best_names(frame.selectExpr("concat(name, 'x') as name"), frame)
+    df.collect()
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
