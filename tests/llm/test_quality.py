@@ -106,3 +106,30 @@ def test_odd_rows(spark, odd, none):
     assert all(not r.kept for r in got if not (r.text or "").strip())
     assert quality.judge(none, labels.limit(0)).count() == 0
     assert {r.doc_id for r in quality.judge(odd, labels.limit(0)).where("kept").collect()} == set()
+
+
+def test_all_rows_take_part_in_the_fit(spark):
+    """Counts of every document and every labelled row make the model, whatever their number."""
+    rows = [(k, " ".join(f"w{j}" for j in range(60 + k % 40)) + (" # #" * 20 if k % 10 == 0 else "")) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 10 > 0), 0) for k in range(400)], "doc_id long, quality int, toxic int")
+    seen = []
+    plain = quality._by_step
+    quality._by_step = lambda *x: seen.append(plain(*x)) or seen[-1]
+    try:
+        model = quality.fit(docs, labels, F.lit(False))
+    finally:
+        quality._by_step = plain
+    assert all(own[:, 1].sum() == 400 for own in seen[0].values()) and all(own[:, 1].sum() == 400 for own in seen[1].values())
+    assert len(seen[0]) == len(quality.RULES) and all(own[:, 1].sum() == 360 for own in seen[2].values())
+    assert model.cuts
+    got = quality.judge(docs, labels).collect()
+    assert all(r.kept == (r.doc_id % 10 > 0) for r in got if not r.base_failed)
+
+
+def test_steps():
+    values = np.array([0.0, 1e-6, 0.25, 0.2501, 0.5, 1.0, 3.7, 1e5])
+    own = quality.steps(values)
+    assert (np.diff(own) >= 0).all() and own[0] == 0
+    low = quality.from_steps(own)
+    assert (low <= values).all() and (values - low <= values / quality.STEPS).all()
