@@ -195,3 +195,17 @@ def test_streams(spark, tmp_path, sf):
     out = streams.request_windows(events).writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start()
     out.awaitTermination()
     assert spark.sql("SELECT sum(n) FROM windows").first()[0] == 10_000
+
+
+def test_stores_are_read_once(spark, tmp_path):
+    """After the first reading nodes, links and the other collections come from the staged table, source files or not."""
+    from corpusloom.sources import docstore
+
+    nodes = {f"n{k}": {"__data__": {"id_": f"n{k}", "text": "a, \n " * k, "relationships": {"4": {"node_id": "n0"}} if k else {}}, "__type__": "1"} for k in range(4)}
+    path = tmp_path / "s.json"
+    path.write_text(json.dumps({"docstore/metadata": {"n0": {"x": 1}}, "docstore/data": nodes, "docstore/ref_doc_info": {}}, indent=90))
+    found, rest = docstore._read(spark, str(path), str(tmp_path / "staged"))
+    path.unlink()
+    assert {r.key: r.parent for r in found.collect()} == {"n0": None, "n1": "n0", "n2": "n0", "n3": "n0"}
+    assert {r.key: json.loads(r.value) for r in found.collect()} == nodes
+    assert [r.key for r in docstore._entries(rest, docstore.METADATA).collect()] == ["n0"]
