@@ -108,7 +108,7 @@ def _merged(library: Library, due: DataFrame, stale: DataFrame, embed: Callable[
     made = nodes_of(due)
     made.write.parquet(f"{library.root}/{at}")
     nodes = library.spark.read.schema(made.schema).parquet(f"{library.root}/{at}")
-    library.keyed("hierarchy", "doc_id").replace(stale, nodes)
+    library.keyed("hierarchy", "doc_id").replace(stale, nodes, held=True)
     library.keyed("vectors", "doc_id").replace(stale, index_vectors(nodes, embed))
     library.keyed("snapshot", "doc_id").replace(stale, fingerprints(due))
     Commits(library.spark, library.root).delete(at)

@@ -146,16 +146,19 @@ class KeyedTable:
             version = self.commits.latest()[0]
         return version + 1
 
-    def replace(self, keys: DataFrame, rows: DataFrame, expect: int | None = None) -> int:
+    def replace(self, keys: DataFrame, rows: DataFrame, expect: int | None = None, held: bool = False) -> int:
         """Takes out all rows of ``keys`` and puts ``rows`` in; refused if ``expect`` isn't the last commit.
 
         Both are written down first, so that a further try repeats only the merge and they may come
-        from the table itself. Touched buckets alone are read and written. Gives the commit's number.
+        from the table itself; ``held`` rows are read from files that stay, and aren't written again.
+        Touched buckets alone are read and written. Gives the commit's number.
         """
         at = f"{self.root}/staged/{uuid.uuid4().hex}"
         keys.select(F.col(keys.columns[0]).alias(self.key)).distinct().write.parquet(f"{at}/keys")
-        rows.write.parquet(f"{at}/rows")
-        keys, rows = self.spark.read.parquet(f"{at}/keys"), self.spark.read.schema(rows.schema).parquet(f"{at}/rows")
+        keys = self.spark.read.parquet(f"{at}/keys")
+        if not held:
+            rows.write.parquet(f"{at}/rows")
+            rows = self.spark.read.schema(rows.schema).parquet(f"{at}/rows")
         for _ in range(TRIES):
             version, state = self.commits.latest()
             if expect is not None and version != expect:
