@@ -18,6 +18,7 @@ from ..operators import anchors, chunking, filters, markdown, reports
 from ..operators.diagnostics import backfilled, snapshot_diff
 from .kb import hashed_words
 from .keyed import Commits
+from .shared import small_batches
 from .store import Library
 
 #: Files that a backfill's report names at most.
@@ -32,6 +33,7 @@ def prepared(docs: DataFrame) -> DataFrame:
 
 def index_nodes(docs: DataFrame, classify: Callable[[Column], Column] | None = None, **limits: object) -> DataFrame:
     """The node table (children and parents with file_name, source_url, header_path) of documents; ``limits`` go to the cut of oversized nodes."""
+    small_batches(docs.sparkSession)
     sections = filters.without_toc(markdown.sections(prepared(docs)), classify)
     return chunking.halves_linked(chunking.section_hierarchy(sections, CARRY), **limits)
 

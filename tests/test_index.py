@@ -319,3 +319,17 @@ def test_fused_with_reranker(spark):
     assert len(best) == 15 and best[0].title == "[KB] t" and len(search.fused(rows, kb).collect()) == 10
     shown = search.article_results(spark.createDataFrame([("N1", "How", "text", 0.5)], "number string, title string, chunk string, score double"), "B").first()
     assert (shown.title, shown.file_type, shown.precise_content) == ("[KB] How", "kb", "text") and len(shown) == 14
+
+
+def test_links_between_nodes_move_no_texts(spark):
+    """Neighbours are found where a document's nodes are, and Arrow batches of whole documents are bounded."""
+    docs = spark.createDataFrame([(k, "f", "u", f"# a\nline {k}\n\nmore") for k in range(5)], "doc_id long, file_name string, source_url string, text string")
+    plan = index.plain_nodes(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and not any("level" in x for x in plan.split("\n") if "Exchange hashpartitioning" in x)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        assert index.index_nodes(docs).count() == 10
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
