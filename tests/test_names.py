@@ -60,3 +60,33 @@ def test_nothing_is_broadcast(spark):
     df = N.best_names(frame.selectExpr("concat(name, 'x') as name"), frame)
     df.collect()
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def similar(own, targets, twice):
+    return {(i, k) for i, a in enumerate(own) for k, t in enumerate(targets) if ratio(a, t) >= twice / 2}
+
+
+@pytest.mark.parametrize(("m", "letters"), [(31, "0123456789abcdef"), (17, "é€𝒳abc"), (70, "abcdefgh")])
+def test_pieces_against_all_pairs(monkeypatch, m, letters):
+    """Names that meet by rests of pieces are those that all pairs give, for every weight."""
+    rng = random.Random(m)
+    targets = sorted({"".join(rng.choices(letters, k=m - 3)) + ".md" for _ in range(120)})
+    own = [rng.choice(targets) for _ in range(120)]
+    for _ in range(m // 4):
+        own = [slipped(rng, name) if rng.random() < 0.5 else name for name in own]
+    own = sorted({*own, "", "zz"})
+    expected = similar(own, targets, 169)
+    monkeypatch.setattr(N, "DIRECT", 0)
+    monkeypatch.setattr(N, "_cost", lambda n, m: 1e6)
+    for weight in N.WEIGHTS:
+        monkeypatch.setattr(N, "WEIGHTS", (weight,))
+        assert set(zip(*(z.tolist() for z in N.similar_pairs(own, targets, 169, False)))) == expected
+
+
+def test_random_names_meet_no_others(spark):
+    """Only similar names are handed on: pairs with common grams alone grow with the square of the names."""
+    rng = random.Random(2)
+    targets = ["".join(rng.choices("0123456789abcdef", k=28)) + ".md" for _ in range(400)]
+    own = [t[:5] + "~" + t[6:] + ".pdf" for t in targets]
+    found = pairs(spark, own, targets, 85, block=128)
+    assert found == {(own[i], targets[k]) for i, k in similar(own, targets, 169)} and len(found) == 400
